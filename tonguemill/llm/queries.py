@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemill.llm import bpe, decontam, lines, media, pii, simhash, toxicity, url_filter
+from tonguemill.llm import bpe, decontam, lines, media, passages, pii, simhash, suffix, toxicity, url_filter
 from tonguemill.llm.common import documents, small_batches
 
 
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "labels"))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -50,6 +54,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(documents(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -68,5 +76,5 @@ FROM hosts
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_byte_bpe, op3_toxicity, op5_line_dedup, op6_decontamination, op7_simhash, op8_url_filter, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_byte_bpe, op3_toxicity, op4_repeated_passages, op5_line_dedup, op6_decontamination, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_pii)}
 ORACLE_SQL = {"op5_line_dedup": lines.SQL, "op8_url_filter": _url_sql()}
