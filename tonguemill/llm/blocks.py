@@ -29,7 +29,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n, shards = max(4 * least, -(-size // BLOCK_BYTES)), max(least, -(-size // SHARD_BYTES))
+    n, shards = max(least, -(-size // BLOCK_BYTES)), max(-(-least // 2), -(-size // SHARD_BYTES))
     block = F.pmod(row_key(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
     return df.select(block.alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), int(shards)
 
