@@ -34,7 +34,7 @@ def _lines(text):
 
 def _places(lines):
     """Numbers of the non-blank lines, from 0."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: F.trim(F.get(lines, k), F.lit(_BLANK)) != "")
+    return F.filter(F.transform(lines, lambda x, k: F.when(F.trim(x, F.lit(_BLANK)) != "", k)), lambda k: k.isNotNull())
 
 
 def windows(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,18 +64,19 @@ def marked(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str
     return rows.join(later, F.col("_key").eqNullSafe(F.col("_key2")) & F.col(id_col).eqNullSafe(F.col("_id2")), "left").drop("_id2", "_key2", "_key")
 
 
-def _kept(text, starts, run: int):
-    """Lines that stay."""
-    lines = _lines(text)
-    places = _places(lines)
-    gone = F.flatten(F.transform(starts, lambda i: F.slice(places, i + 1, run)))
-    return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda k: F.get(lines, k))
+def _cut(rows: DataFrame, text, run: int) -> DataFrame:
+    """rows with `_new`, the text that stays, and `_places`. Lines are columns of their own, so that no lambda splits a text again."""
+    rows = rows.withColumn("_lines", _lines(text))
+    rows = rows.withColumn("_places", _places(F.col("_lines")))
+    gone = F.flatten(F.transform("_starts", lambda i: F.slice("_places", i + 1, run)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone), lambda k: F.get("_lines", k))
+    return rows.withColumn("_new", F.when(F.col("_starts").isNull(), text).otherwise(F.array_join(kept, "\n")))
 
 
 def dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """df with later repeated runs deleted from text_col; rows that lose all their non-blank lines go if drop_emptied."""
     text = F.col(text_col)
-    rows = marked(df, run, id_col, text_col).withColumn("_new", F.when(F.col("_starts").isNull(), text).otherwise(F.array_join(_kept(text, F.col("_starts"), run), "\n")))
+    rows = _cut(marked(df, run, id_col, text_col), text, run)
     if drop_emptied:
         rows = rows.where(F.col("_starts").isNull() | (F.trim("_new", F.lit(_BLANK + "\n")) != ""))
     return rows.select(*(F.col("_new").alias(c) if c == text_col else F.col(c) for c in df.columns))
@@ -84,11 +85,9 @@ def dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str =
 def report(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_lines (non-blank), n_removed, kept_sha256 (of the remaining text; null text: as empty) for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = marked(df.select(id_col, text_col), run, id_col, text_col)
-    n = F.size(_places(_lines(text)))
+    rows = _cut(marked(df.select(id_col, text_col), run, id_col, text_col), text, run)
     gone = F.when(F.col("_starts").isNull(), 0).otherwise(F.size(F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.sequence(i, i + run - 1))))))
-    new = F.when(F.col("_starts").isNull(), text).otherwise(F.array_join(_kept(text, F.col("_starts"), run), "\n"))
-    return rows.select(id_col, n.cast("bigint").alias("n_lines"), gone.cast("bigint").alias("n_removed"), F.sha2(new, 256).alias("kept_sha256"))
+    return rows.select(id_col, F.size("_places").cast("bigint").alias("n_lines"), gone.cast("bigint").alias("n_removed"), F.sha2("_new", 256).alias("kept_sha256"))
 
 
 SQL = rf"""
