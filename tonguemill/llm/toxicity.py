@@ -32,6 +32,8 @@ BUCKETS, WIDTH, SCALE = 1 << 18, 4, 64.0
 GRAMS = (3, 4, 5)
 #: Buckets in fewer documents of the sample get no embedding.
 MIN_DOCUMENTS = 5
+#: Small samples are gone through more often, up to this many steps.
+LEAST_STEPS = 300
 THRESHOLD = 0.7
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 500_000
@@ -99,6 +101,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batc
     starts = ends - [len(r[0]) for r in rows]
     params = [rng.uniform(-1 / WIDTH, 1 / WIDTH, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(rows) // batch)))
     step, steps = 0, epochs * -(-len(rows) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
