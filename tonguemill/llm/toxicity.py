@@ -8,7 +8,7 @@ The model is linear above the embeddings, so after training each bucket has one
 embedding times the difference of the class weights) and scoring sums those over the whole text.
 
 Training takes a bounded sample of labelled rows (TRAIN_POSITIVE + TRAIN_NEGATIVE documents, chosen by
-a hash of the id); it is fitted on the driver from hashed counts, never from all rows.
+a hash of the id); it is fitted in one task from hashed counts, never from all rows.
 
 Edge cases: null and empty texts have no words and get the score of the bias alone; no usable label
 of one class gives a constant score (the share of toxic labels, 0 without labels); null ids score
@@ -149,11 +149,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns) -> Model:
-    """Trains on the bounded sample."""
-    table = training_rows(docs, labels, **columns).toArrow().sort_by("id")
-    rows = list(zip((np.asarray(x.values) for x in table["buckets"]), (np.asarray(x.values) for x in table["weights"]), table["label"].to_pylist(), strict=True))
-    rows = [r for r in rows if len(r[0])][: TRAIN_POSITIVE + TRAIN_NEGATIVE]
-    return train(rows)
+    """Trains on the bounded sample, in one task; the driver gets the finished numbers of the buckets."""
+
+    def run(batches):
+        parts = [b for b in batches if len(b)]
+        rows = []
+        if parts:
+            table = pa.Table.from_batches(parts).sort_by("id")
+            lists = (table[c].combine_chunks() for c in ("buckets", "weights"))
+            rows = [(np.asarray(x.values), np.asarray(w.values), y) for x, w, y in zip(*lists, table["label"].to_pylist(), strict=True) if len(x.values)]
+        model = train(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([model.value.astype(np.float32)], pa.list_(pa.float32())), pa.array([model.bias], pa.float64())], ["value", "bias"])
+
+    found = training_rows(docs, labels, **columns).repartition(1).mapInArrow(run, "value array<float>, bias double").toArrow()
+    if not len(found):
+        return train([])
+    return Model(found["value"].combine_chunks()[0].values.to_numpy().astype(np.float64), found["bias"][0].as_py())
 
 
 _remembered: dict = {}
