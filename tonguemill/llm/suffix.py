@@ -165,28 +165,34 @@ def _distinct(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return table.take(pa.array(np.unique(back, return_index=True)[1])), back
 
 
-def _coarse(table: pa.Table) -> B.Asked:
-    hashes, second = [], []
-    for _, texts in B.pieces(table):
+def _runs(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors and the place of each one's; anchors of ascending windows ascend, so nothing is sorted."""
+    begins = np.diff(anchors, prepend=-1) != 0
+    return anchors[begins], np.cumsum(begins) - 1
+
+
+def _coarse(table: pa.Table) -> tuple[B.Asked, list]:
+    """What the block asks about, and for each group of texts: rows, texts, bytes, the windows' anchors by place, the anchors' hashes."""
+    groups, second = [], []
+    for rows, texts in B.pieces(table):
         own = _Bytes(texts)
-        a = np.unique(own.anchors(COARSE, own.at))
-        hashes.append(own.hashes(a, a + LENGTH - COARSE))
+        a, back = _runs(own.anchors(COARSE, own.at))
+        groups.append((rows, texts, own, back, own.hashes(a, a + LENGTH - COARSE)))
         second.append(own.second(a, a + LENGTH - COARSE))
-    return B.Asked(hashes, second, [np.zeros(len(h), np.int64) for h in hashes], "count")
+    hashes = [g[4] for g in groups]
+    return B.Asked(hashes, second, [np.zeros(len(h), np.int64) for h in hashes], "count"), groups
 
 
 class _Fine:
     """Fine anchors of the windows that coarse anchors leave, and the contexts that the block asks about."""
 
     def __init__(self, table: pa.Table, shards: int, found: dict[int, bytes]):
-        coarse = _coarse(table)
+        coarse, groups = _coarse(table)
         again = coarse.codes(shards, found) == 1
         self.groups, contexts, keys, second = [], [], [], []
-        for rows, texts in B.pieces(table):
-            own = _Bytes(texts)
-            known, back = np.unique(own.anchors(COARSE, own.at), return_inverse=True)
-            at = own.at[again[coarse.find(own.hashes(known, known + LENGTH - COARSE))][back]] if len(known) else own.at
-            anchor, of = np.unique(own.anchors(FINE, at), return_inverse=True)
+        for rows, texts, own, back, known in groups:
+            at = own.at[again[coarse.find(known)][back]] if len(known) else own.at
+            anchor, of = _runs(own.anchors(FINE, at))
             core_end = anchor + LENGTH - FINE
             text = np.searchsorted(own.ends, anchor, side="right")
             left, right = np.maximum(anchor - FINE, own.begins[text]), np.minimum(core_end + FINE, own.ends[text])
@@ -280,7 +286,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs, shards = B.blocks(df, id_col, text_col)
 
     def ask_coarse(key, table):
-        asked = _coarse(_distinct(table)[0])
+        asked, _ = _coarse(_distinct(table)[0])
         return asked.table(key[0].as_py(), shards, lambda p: (asked.values[p] > 1).astype(np.uint8).tobytes())
 
     def ask_fine(key, table, found):
