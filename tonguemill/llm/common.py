@@ -96,6 +96,13 @@ class PrefixHash:
         """Mixed hash of each [start, end)."""
         return mix((prefix[end] - prefix[start]) * self.back[start] + (end - start).astype(np.uint64))
 
+    def grams(self, prefix: np.ndarray, n: int) -> np.ndarray:
+        """As spans, of every n consecutive bytes."""
+        h = prefix[n:] - prefix[:-n]
+        h *= self.back[: len(h)]
+        h += np.uint64(n)
+        return mix(h)
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser, vectorised."""
@@ -107,24 +114,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     """Winnowing: for each window of w consecutive values, the position of its smallest (leftmost on ties).
 
-    Equal windows pick equal relative positions. Fewer than w values: none.
+    Equal windows pick equal relative positions, and positions ascend. Fewer than w values: none. Only the upper
+    32 bits of a value count; its position (below 2**32) is packed below them, so that a minimum carries its place.
     """
     n = len(h)
     if n < w:
         return np.zeros(0, np.int64)
-    # van Herk: minima of blocks from the left and the right, on values; then the leftmost position by a search
-    pos = np.arange(n, dtype=np.int64)
-    best, at, span = h.copy(), pos.copy(), 1
+    best = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    span = 1
     while span * 2 <= w:  # doubling: best[i] is the minimum of span values from i
-        a, b = best[: n - 2 * span + 1], best[span : n - span + 1]
-        take = b < a
-        at = np.where(take, at[span : n - span + 1], at[: n - 2 * span + 1])
-        best = np.where(take, b, a)
+        best = np.minimum(best[:-span], best[span:])
         span *= 2
-    rest = w - span
-    m = n - w + 1
-    if rest:
-        a, b = best[:m], best[rest : rest + m]
-        take = b < a
-        return np.where(take, at[rest : rest + m], at[:m])
-    return at[:m]
+    if rest := w - span:
+        best = np.minimum(best[:-rest], best[rest:])
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)

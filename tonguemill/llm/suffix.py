@@ -139,12 +139,11 @@ class _Bytes:
         sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
-        n = len(self.data)
         fits = np.maximum(sizes - LENGTH + 1, 0)
         self.at = np.arange(fits.sum()) + np.repeat(self.begins - (np.cumsum(fits) - fits), fits)  # starts of windows
         self.prefix = _ONE.prefix(self.data)
         self.two = None
-        self.grams = _ONE.spans(self.prefix, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1)) if len(self.at) else None
+        self.grams = _ONE.grams(self.prefix, GRAM) if len(self.at) else None
 
     def anchors(self, reach: int, at: np.ndarray) -> np.ndarray:
         return window_minima(self.grams, reach + 1)[at] if len(at) else at
