@@ -4,6 +4,9 @@ A word's vector is the mean of the embeddings of its n-grams (bytes of `<word>`,
 whole), hashed into buckets; a document's vector is the mean of its words' vectors times a fixed
 scale. Misspellings that training never saw share n-grams with words that it did see.
 
+Both classes weigh the same in the loss, and every step shrinks each embedding as a group, so n-grams that
+tell nothing end at zero instead of remembering single documents.
+
 The model is linear above the embeddings, so after training each bucket has one number (its
 embedding times the difference of the class weights) and scoring sums those over the whole text.
 
@@ -33,7 +36,7 @@ GRAMS = (3, 4, 5)
 #: Buckets in fewer documents of the sample get no embedding.
 MIN_DOCUMENTS = 5
 #: Small samples are gone through more often, up to this many steps.
-LEAST_STEPS = 300
+LEAST_STEPS = 600
 THRESHOLD = 0.7
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 500_000
@@ -82,12 +85,13 @@ class Model:
         return np.bincount(owners, self.value[buckets], len(words)) / np.bincount(owners, minlength=len(words))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batch: int = 128, rate: float = 0.03, decay: float = 1e-5, seed: int = 5) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batch: int = 128, rate: float = 0.03, decay: float = 1e-5, shrink: float = 0.5, seed: int = 5) -> Model:
     """rows: buckets, weights, label of each document. Embeddings and softmax learn together by Adam."""
     labels = np.array([r[2] for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         share = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-4), 1 - 1e-4)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    balance = 0.5 * len(labels) / np.bincount(labels, minlength=2)
     rng = np.random.default_rng(seed)
     used, often = np.unique(np.concatenate([r[0] for r in rows]), return_counts=True)
     used = used[often >= MIN_DOCUMENTS]
@@ -99,7 +103,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batc
     weights = np.concatenate([r[1] for r in rows]).astype(np.float32)
     ends = np.cumsum([len(r[0]) for r in rows])
     starts = ends - [len(r[0]) for r in rows]
-    params = [rng.uniform(-1 / WIDTH, 1 / WIDTH, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    params = [rng.uniform(-0.01, 0.01, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     epochs = max(epochs, -(-LEAST_STEPS // -(-len(rows) // batch)))
     step, steps = 0, epochs * -(-len(rows) // batch)
@@ -116,7 +120,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batc
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), labels[pick]] -= 1
-            p /= len(pick)
+            p *= balance[labels[pick], None] / len(pick)
             back = p @ softmax.T
             grads = [np.stack([np.bincount(ids, back[owner, d] * w, len(used)) for d in range(WIDTH)], 1) + decay * embedding, hidden.T @ p, p.sum(0)]
             step += 1
@@ -126,6 +130,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batc
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 params[i] = params[i] - now * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+            norm = np.sqrt((params[0] ** 2).sum(1, keepdims=True))
+            params[0] *= np.maximum(0, 1 - now * shrink / np.maximum(norm, 1e-9)).astype(np.float32)
     embedding, softmax, bias = params
     value = np.zeros(BUCKETS)  # buckets never seen say nothing
     value[used] = embedding @ (softmax[:, 1] - softmax[:, 0]) * SCALE
