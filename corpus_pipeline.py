@@ -6,14 +6,28 @@ a row per remaining document with its tokens' digests.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemill.llm import bpe, decontam, lines, simhash, toxicity
-from tonguemill.llm.common import documents, row_key, small_batches, written
+from tonguemill.llm.common import documents, put_back, row_key, set_aside, small_batches, written
+
+
+def keeps_columns(stage):
+    """The stage, with the documents' columns set aside that are named like those which operators add."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        docs, own = set_aside(docs, ("score", "predicted", "coverage", "item_id", "contaminated"))
+        return put_back(stage(spark, docs, sf_dir), own)
+
+    return run
 
 
+@keeps_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (fitted on the labelled ones not held out) does not reject."""
     small_batches(spark)
@@ -21,12 +35,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
+@keeps_columns
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go, and documents of which nothing is left; n_chars follows the text."""
     left = lines.dedup(docs, drop_emptied=True)
     return left.select(*(F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
+@keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the smallest id (rows equal in id and text once)."""
     small_batches(spark)
@@ -37,6 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return keyed.join(stay, same, "left_semi").dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
 
 
+@keeps_columns
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, whole or in pieces."""
     small_batches(spark)

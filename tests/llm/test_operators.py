@@ -215,9 +215,122 @@ def test_pii(spark, docs):
     assert "[EMAIL]" in clean[9000] and "corp.example" not in clean[9000] and clean[2005] == dict(more)[2005]
 
 
-def test_pipeline(spark):
+CLASHING = ("id", "key", "_key", "_id", "_id2", "_key2", "_lines", "_starts", "_new", "_own__key", "_c", "block", "shard", "lines", "n_bytes", "digest", "fp", "root", "component_id", "coverage", "item_id", "contaminated", "score", "predicted", "base", "added", "at")
+ODD = [(None, None), (None, "words without an id"), (1, None), (1, ""), (2, "the same row"), (2, "the same row"), (2, "another text"), (3, "word " * 30_000), (4, "a\nb\nc\na\nb\nc"), (5, "the same row"), (6, "mail x@y.zz to y")]
+
+
+def odd(spark, rows=ODD):
+    """Every further column's value is its name."""
+    return spark.createDataFrame([(d, t, *CLASHING) for d, t in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING))
+
+
+def bench(spark):
+    return spark.createDataFrame([(1, "one two three four five six"), (None, "x"), (2, None), (3, "")], "item_id long, text string")
+
+
+OPERATORS = {
+    "media": media.media_columns,
+    "bpe": lambda d: bpe.round_trip(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
+    "toxicity": lambda d: toxicity.toxicity(d, d.sparkSession.createDataFrame([(3, 1), (4, 0), (None, None)], "doc_id long, toxic int")),
+    "passages": passages.repeated_passages,
+    "lines": lines.report,
+    "decontamination": lambda d: decontam.flag(d, bench(d.sparkSession)),
+    "decontamination by join": lambda d: decontam.flag(d, bench(d.sparkSession), broadcast_tokens=0),
+    "simhash": simhash.near_duplicates,
+    "suffix": suffix.repeated_bytes,
+    "pii": pii.report,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_empty_tables(spark, name):
+    got = OPERATORS[name](odd(spark)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in ODD)
+    if "decontamination" in name:
+        assert got[0]["_key"] == "_key" and got[0].coverage == 0
+    assert OPERATORS[name](odd(spark, [])).collect() == []
+
+
+def test_odd_urls(spark):
+    pages = spark.createDataFrame([(None, None, "h"), (1, None, "h"), (1, "http://a.net/es/", "h"), (1, "http://a.net/es/", "h"), (2, "", "h"), (3, "http://" + "a" * 100_000, "h")], "page_id long, url string, host string")
+    got = url_filter.judge(pages).collect()
+    assert Counter((r.page_id, r.verdict) for r in got) == Counter([(None, "allow"), (1, "allow"), (1, "block"), (1, "block"), (2, "allow"), (3, "allow")])
+    assert url_filter.judge(pages.limit(0)).collect() == []
+    assert url_filter.judge(pages, url_filter.pattern_rules(spark, ())).count() == 6
+
+
+def test_columns_stay(spark):
+    import corpus_pipeline
+
+    stages = [lambda s, d, f, stage=stage: stage(s, d, f) for _, stage in corpus_pipeline.STAGES[:-1]]
+    for change in (lambda s, d, f: lines.dedup(d), lambda s, d, f: pii.sanitise(d), *stages):
+        rows = odd(spark)
+        out = change(spark, rows, DATA)
+        got = out.collect()
+        assert out.schema.names == rows.schema.names and got and all(r[c] == c for r in got for c in CLASHING)
+        assert change(spark, odd(spark, []), DATA).collect() == []
+
+
+def brute_tiles(item, doc, least=5):
+    """Tokens of item covered by greedy string tiling: the longest common unmarked run again and again."""
+    item_free, doc_free, covered = [True] * len(item), [True] * len(doc), 0
+    while True:
+        best, before = (0, 0, 0), [0] * (len(doc) + 1)
+        for p, x in enumerate(item):
+            now = [0] * (len(doc) + 1)
+            for t, y in enumerate(doc):
+                if x == y and item_free[p] and doc_free[t]:
+                    now[t + 1] = before[t] + 1
+                    if now[t + 1] > best[0]:
+                        best = (now[t + 1], p, t)
+            before = now
+        n, p, t = best
+        if n < least:
+            return covered
+        item_free[p - n + 1 : p + 1] = doc_free[t - n + 1 : t + 1] = [False] * n
+        covered += n
+
+
+def brute_kept(name, docs, spark, table):
+    """(id, text) of what the stage should keep of docs."""
+    if name == "toxicity":
+        model = toxicity.fit(table, spark.read.parquet(f"{DATA}/labels.parquet"))
+        grams = {d: toxicity.document_grams(t) for d, t in docs}
+        return [(d, t) for d, t in docs if model.bias + (model.value[grams[d][0]] * grams[d][1]).sum() < np.log(0.7 / 0.3)]
+    if name == "line_dedup":
+        left = {d: (n, gone, kept) for d, n, gone, kept in brute_lines(docs)}
+        return [(d, left[d][2]) for d, _ in docs if not left[d][1] or left[d][1] < left[d][0]]
+    if name == "simhash":
+        fps = {d: simhash.fingerprint(t, 5) for d, t in docs}
+        group = {d: d for d in fps}
+        for a in sorted(fps):
+            for b in sorted(fps):
+                if (fps[a] ^ fps[b]).bit_count() <= 5 and group[a] != group[b]:
+                    low, high = sorted((group[a], group[b]))
+                    group = {d: low if g == high else g for d, g in group.items()}
+        return [(d, t) for d, t in docs if group[d] == d]
+    items = [decontam.tokens(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    clean = lambda w: not any(five(w) & five(i) and brute_tiles(i, w) / len(i) >= 0.6 for i in items)
+    return [(d, t) for d, t in docs if clean(decontam.tokens(t))]
+
+
+def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
+    import tiktoken
 
-    out = corpus_pipeline.run(spark, DATA)
-    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
-    assert 0.6 * n < out.count() <= n and out.groupBy("doc_id").count().where(F.col("count") > 1).count() == 0
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = sorted((r.doc_id, r.text) for r in table.collect())
+        out = corpus_pipeline.written(stage(spark, table, DATA), "test")
+        want = brute_kept(name, docs, spark, table)
+        hashed = (lambda t: sha(t.encode())) if name == "line_dedup" else (lambda t: t)
+        assert sorted((r.doc_id, hashed(r.text)) for r in out.collect()) == want
+        assert out.columns == table.columns
+        table = out
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    tok = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = Counter((r.doc_id, sha(np.array(tok.encode_ordinary(r.text), "<u4").tobytes()), sha(r.text.encode())) for r in table.collect())
+    got = corpus_pipeline.STAGES[-1][1](spark, table, DATA)
+    assert Counter(map(tuple, got.select("doc_id", "ids_sha256", "decoded_sha256").collect())) == want
+    assert corpus_pipeline.run(spark, DATA).count() == sum(want.values())

@@ -53,6 +53,18 @@ def row_key(id_col, text_col):
     return F.xxhash64(id_col, text_col)
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """df with every column that begins with _ or is named in names prefixed with _own_, so that an
+    operator's columns cannot clash with it; and each column's new name by its old one."""
+    own = {c: f"_own_{c}" if c.startswith("_") or c.lower() in names else c for c in df.columns}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), own
+
+
+def put_back(df: DataFrame, own: dict[str, str]) -> DataFrame:
+    """The columns that were set aside, under their old names."""
+    return df.select(*(F.col(f"`{n}`").alias(c) for c, n in own.items()))
+
+
 def file_system(path: str):
     """pyarrow file system and the path in it, for a URI or a local path."""
     from pyarrow import fs

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import mix, row_key
+from tonguemill.llm.common import mix, put_back, row_key, set_aside
 
 SEED = 5
 COVERAGE = 0.6
+ADDED = ("coverage", "item_id", "contaminated")
 #: Most benchmark tokens that are broadcast (8 bytes each, and as much again for their seeds).
 BROADCAST_TOKENS = 4_000_000
 _WORD = re.compile(r"\w+")
@@ -133,8 +134,8 @@ class Benchmark:
 
 
 def _flag(df: DataFrame, make, text_col: str) -> DataFrame:
-    keep = [c for c in df.columns if c not in ("coverage", "item_id", "contaminated")]
-    schema = df.select(*keep).schema.add("coverage", "double").add("item_id", "long").add("contaminated", "boolean")
+    keep = [c for c in df.columns if c not in ADDED]
+    schema =df.select(*keep).schema.add("coverage", "double").add("item_id", "long").add("contaminated", "boolean")
     place = keep.index(text_col)
 
     def run(batches):
@@ -157,6 +158,9 @@ def _seeds_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _flag_by_join(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For benchmarks beyond the bound: documents and items meet over shared seeds, one pair a task row."""
+    df, own = set_aside(df, ADDED)
+    keep = {c: n for c, n in own.items() if c not in ADDED}
+    id_col, text_col = own[id_col], own[text_col]
     items = benchmark.select("item_id", "text").where("item_id is not null")
     item_seeds = _seeds_of(items, "item_id", "text").select(F.col("_id").alias("item_id"), F.col("_key").alias("item_key"), "seed")
     pairs = _seeds_of(df, id_col, text_col).join(item_seeds, "seed").select("_id", "_key", "item_id", "item_key").distinct()
@@ -175,10 +179,10 @@ def _flag_by_join(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
     scored = met.mapInArrow(run, f"_id {kind}, _key bigint, item_id bigint, coverage double").where("coverage > 0")
     best = scored.groupBy("_id", "_key").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("item"))).alias("best"))
     best = best.select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), F.col("best.coverage").alias("_c"), (-F.col("best.item")).alias("_i"))
-    keep = [c for c in df.columns if c not in ("coverage", "item_id", "contaminated")]
-    rows = df.select(*keep, row_key(F.col(id_col), F.col(text_col)).alias("_key")).join(best, F.col(id_col).eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left")
+    rows = df.withColumn("_key", row_key(F.col(id_col), F.col(text_col))).join(best, F.col(id_col).eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left")
     coverage = F.coalesce("_c", F.lit(0.0))
-    return rows.select(*keep, coverage.alias("coverage"), F.col("_i").alias("item_id"), (coverage >= COVERAGE).alias("contaminated"))
+    found = rows.withColumns({"coverage": coverage, "item_id": F.col("_i"), "contaminated": coverage >= COVERAGE})
+    return put_back(found, keep | {c: c for c in ADDED})
 
 
 def flag(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:

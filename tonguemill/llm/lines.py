@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import row_key, written
+from tonguemill.llm.common import put_back, row_key, set_aside, written
 
 RUN = 3
 _BLANK = " \t\r"
@@ -75,11 +75,12 @@ def _cut(rows: DataFrame, text, run: int) -> DataFrame:
 
 def dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """df with later repeated runs deleted from text_col; rows that lose all their non-blank lines go if drop_emptied."""
-    text = F.col(text_col)
-    rows = _cut(marked(df, run, id_col, text_col), text, run)
+    df, own = set_aside(df)
+    id_col, text_col = own[id_col], own[text_col]
+    rows = _cut(marked(df, run, id_col, text_col), F.col(text_col), run)
     if drop_emptied:
         rows = rows.where(F.col("_starts").isNull() | (F.trim("_new", F.lit(_BLANK + "\n")) != ""))
-    return rows.select(*(F.col("_new").alias(c) if c == text_col else F.col(c) for c in df.columns))
+    return put_back(rows.withColumn(text_col, F.col("_new")), own)
 
 
 def report(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
