@@ -110,6 +110,37 @@ def test_lines(spark, docs):
     assert kept[3001] == "z\n " and kept[2000] is None and 3002 in kept
 
 
+def brute_passages_in_lines(docs, over=50):
+    starts, own = {}, [(d, (t or "").split("\n")) for d, t in docs]
+    for d, ls in own:
+        places = [k for k, x in enumerate(ls) if x.strip(" \t\r")]
+        for n in (1, 2, 3):
+            for j in range(len(places) - n + 1):
+                if n == 3 or sum(len(WORD.findall(ls[k].encode())) for k in places[j : j + n]) > over:
+                    starts.setdefault(tuple(ls[k] for k in places[j : j + n]), []).append((d, j, places[j : j + n]))
+    gone = {(d, k) for group in starts.values() for d, j, at in group if (d, j) > min(group)[:2] for k in at}
+    for d, ls in own:
+        yield d, sum(1 for x in ls if x.strip(" \t\r")), sum(1 for k in range(len(ls)) if (d, k) in gone), sha("\n".join(x for k, x in enumerate(ls) if (d, k) not in gone).encode())
+
+
+def test_passages_in_few_lines(spark, docs):
+    import duckdb
+
+    long, half = " ".join(f"w{i}" for i in range(51)), " ".join(f"h{i}" for i in range(26))
+    more = [*docs, (4000, f"{long}\nown line"), (4001, long), (4002, f"a\n\n{long}\nb"), (4003, f"{half}\n \n{half}"), (4004, f"z\n{half}\n{half}\ny"), (4005, half), (4006, " ".join(long.split()[:50])), (4007, " ".join(long.split()[:50])), (4008, f"{long}\n{long}")]
+    got = lines.report(frame(spark, more), over=lines.PASSAGE)
+    rows = Counter(map(tuple, got.collect()))
+    assert rows == Counter(brute_passages_in_lines(more))
+    removed = {r.doc_id: r.n_removed for r in got.collect()}
+    assert [removed[4000 + i] for i in range(9)] == [0, 1, 1, 0, 2, 0, 0, 0, 2]
+    kept = {r.doc_id: r.text for r in lines.dedup(frame(spark, more), drop_emptied=True, over=lines.PASSAGE).collect()}
+    assert 4001 not in kept and kept[4002] == "a\n\nb" and kept[4004] == "z\ny"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", more)
+    assert Counter(con.execute(lines.PASSAGES_SQL).fetchall()) == rows
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]

@@ -8,11 +8,15 @@ fingerprint are compared as wholes. A line goes when some window over it also st
 or same document and earlier line); overlapping windows make up longer runs. Windows are judged on
 the input, not on what is left. Blank lines (only space, tab, carriage return) stay.
 
+With `over` given, every run of one or two lines that holds more than that many words is a window as well,
+marked and judged in the same way, so passages in a few long lines go too, also in documents under RUN lines.
+Words are runs other than ASCII white space.
+
 Nothing is paired within a group: counts and first places are pre-aggregated, and each position
 meets one row of its key.
 
 Edge cases: null text stays null and has no lines; empty text stays empty; documents with fewer than
-RUN lines keep all; rows equal in id and text are one document (neither copy is later); rows that
+RUN lines keep all, save for the windows of `over`; rows equal in id and text are one document (neither copy is later); rows that
 share an id but not a text are ordered by a hash of both; a null id sorts first; extra columns stay
 as they are; empty tables give empty results.
 """
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from tonguemill.llm.common import put_back, row_key, set_aside, written
 
 RUN = 3
+#: Words above which one or two lines are a passage of their own, for `over`.
+PASSAGE = 50
 _BLANK = " \t\r"
 
 
@@ -37,29 +43,36 @@ def _places(lines):
     return F.filter(F.transform(lines, lambda x, k: F.when(F.trim(x, F.lit(_BLANK)) != "", k)), lambda k: k.isNotNull())
 
 
-def windows(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, _key, at (number of the window's first non-blank line), mark (hash of the selected line), whole (digest of the lines)."""
+def windows(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", over: int | None = None) -> DataFrame:
+    """id, _key, at (number of the window's first non-blank line), size (in lines), mark (hash of the selected line), whole (digest of the lines)."""
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.filter(_lines(F.col(text_col)), lambda x: F.trim(x, F.lit(_BLANK)) != "").alias("lines"))
-    rows = rows.where(F.size("lines") >= run).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    one = lambda i: F.struct(i.alias("at"), F.array_min(F.slice("hashes", i + 1, run)).alias("mark"), F.md5(F.array_join(F.slice("lines", i + 1, run), "\n")).alias("whole"))
-    return rows.select("id", "_key", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - run), one)).alias("w")).select("id", "_key", "w.*").distinct()
+    rows = rows.where(F.size("lines") >= (run if over is None else 1)).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    one = lambda n: lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_min(F.slice("hashes", i + 1, n)).alias("mark"), F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, n), "\n"))).alias("whole"))
+    starts = lambda n: F.when(F.size("lines") >= n, F.sequence(F.lit(0), F.size("lines") - n)).otherwise(F.array().cast("array<int>"))
+    found = F.transform(starts(run), one(run))
+    if over is not None:
+        rows = rows.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))))
+        holds = lambda n: lambda i: F.aggregate(F.slice("words", i + 1, n), F.lit(0), lambda acc, k: acc + k) > over
+        found = F.concat(found, *(F.transform(F.filter(starts(n), holds(n)), one(n)) for n in (1, 2) if n < run))
+    return rows.select("id", "_key", F.explode(found).alias("w")).select("id", "_key", "w.*").repartition("id", "_key").distinct()  # a document's rows together pack better
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """id, _key, at of the windows that also start earlier."""
+    """id, _key, at, size of the windows that also start earlier."""
     found = written(found, "lines")
     marks = found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    joined = found.join(marks, "mark", "left_semi").select("id", "_key", "at", "whole")
+    joined = found.join(marks, "mark", "left_semi").select("id", "_key", "at", "size", "whole")
     place = F.struct("id", "_key", "at")
     first = joined.groupBy("whole").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", "first")
-    return joined.join(first, "whole").where((place > F.col("first"))).select("id", "_key", "at", "first")
+    return joined.join(first, "whole").where((place > F.col("first"))).select("id", "_key", "at", "size", "first")
 
 
-def marked(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with `_starts`: the later windows of each row (null: none)."""
-    later = repeated(windows(df, run, id_col, text_col))
+def marked(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", over: int | None = None) -> DataFrame:
+    """df with `_starts`: the later windows of each row (null: none), or with `over` their lines."""
+    later = repeated(windows(df, run, id_col, text_col, over))
+    starts = F.collect_set("at") if over is None else F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("size") - 1))))
     # the same id with other text is another document; the same id and text is the same one
-    later = later.groupBy("id", "_key").agg(F.array_sort(F.collect_set("at")).alias("_starts")).select(F.col("id").alias("_id2"), F.col("_key").alias("_key2"), "_starts")
+    later = later.groupBy("id", "_key").agg(F.array_sort(starts).alias("_starts")).select(F.col("id").alias("_id2"), F.col("_key").alias("_key2"), "_starts")
     rows = df.withColumn("_key", row_key(F.col(id_col), F.col(text_col)))
     return rows.join(later, F.col("_key").eqNullSafe(F.col("_key2")) & F.col(id_col).eqNullSafe(F.col("_id2")), "left").drop("_id2", "_key2", "_key")
 
@@ -73,20 +86,21 @@ def _cut(rows: DataFrame, text, run: int) -> DataFrame:
     return rows.withColumn("_new", F.when(F.col("_starts").isNull(), text).otherwise(F.array_join(kept, "\n")))
 
 
-def dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+def dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, over: int | None = None) -> DataFrame:
     """df with later repeated runs deleted from text_col; rows that lose all their non-blank lines go if drop_emptied."""
     df, own = set_aside(df)
     id_col, text_col = own[id_col], own[text_col]
-    rows = _cut(marked(df, run, id_col, text_col), F.col(text_col), run)
+    rows = _cut(marked(df, run, id_col, text_col, over), F.col(text_col), run if over is None else 1)
     if drop_emptied:
         rows = rows.where(F.col("_starts").isNull() | (F.trim("_new", F.lit(_BLANK + "\n")) != ""))
     return put_back(rows.withColumn(text_col, F.col("_new")), own)
 
 
-def report(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", over: int | None = None) -> DataFrame:
     """id, n_lines (non-blank), n_removed, kept_sha256 (of the remaining text; null text: as empty) for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = _cut(marked(df.select(id_col, text_col), run, id_col, text_col), text, run)
+    rows, run = marked(df.select(id_col, text_col), run, id_col, text_col, over), run if over is None else 1
+    rows = _cut(rows, text, run)
     gone = F.when(F.col("_starts").isNull(), 0).otherwise(F.size(F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.sequence(i, i + run - 1))))))
     return rows.select(id_col, F.size("_places").cast("bigint").alias("n_lines"), gone.cast("bigint").alias("n_removed"), F.sha2("_new", 256).alias("kept_sha256"))
 
@@ -104,3 +118,12 @@ sizes AS (SELECT b.doc_id, count(*) AS n, count(gone.j) AS g FROM b LEFT JOIN go
 SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_lines, coalesce(sizes.g, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM documents AS d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
 """
+
+#: SQL with the windows of `over` = PASSAGE.
+PASSAGES_SQL = SQL.replace("w AS (SELECT doc_id, j, line ||", "w3 AS (SELECT doc_id, j, 3 AS size, line ||").replace(
+    "later AS (SELECT doc_id, j FROM (SELECT doc_id, j, row_number()",
+    rf"""c AS (SELECT doc_id, j, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM b),
+w AS (SELECT * FROM w3 UNION ALL SELECT doc_id, j, 1, line FROM c WHERE n > {PASSAGE} UNION ALL
+  SELECT doc_id, j, 2, two FROM (SELECT doc_id, j, line || chr(10) || lead(line) OVER e AS two, n + lead(n) OVER e AS n FROM c WINDOW e AS (PARTITION BY doc_id ORDER BY j)) WHERE n > {PASSAGE}),
+later AS (SELECT doc_id, j, size FROM (SELECT doc_id, j, size, row_number()""",
+).replace("FROM later, (SELECT unnest([0, 1, 2]) AS o)", "FROM later, (SELECT unnest([0, 1, 2]) AS o) WHERE o < size")

@@ -39,6 +39,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_line_dedup, and passages of over 50 words in one or two lines."""
+    return lines.report(documents(spark, sf_dir).select("doc_id", "text"), over=lines.PASSAGE)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = decontam.flag(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
@@ -76,5 +81,5 @@ FROM hosts
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_byte_bpe, op3_toxicity, op4_repeated_passages, op5_line_dedup, op6_decontamination, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_pii)}
-ORACLE_SQL = {"op5_line_dedup": lines.SQL, "op8_url_filter": _url_sql()}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_byte_bpe, op3_toxicity, op4_repeated_passages, op5_line_dedup, op5_line_passages, op6_decontamination, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_pii)}
+ORACLE_SQL = {"op5_line_dedup": lines.SQL, "op5_line_passages": lines.PASSAGES_SQL, "op8_url_filter": _url_sql()}
