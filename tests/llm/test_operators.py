@@ -246,6 +246,31 @@ def test_pii(spark, docs):
     assert "[EMAIL]" in clean[9000] and "corp.example" not in clean[9000] and clean[2005] == dict(more)[2005]
 
 
+def test_terms_over_whole_documents(spark):
+    rng = random.Random(11)
+    pool = ["common", "words", "fill", "every", "document", "here"]
+    fill = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    rows = [(i, fill(40)) for i in range(200)]
+    rows += [(300 + i, f"Zanzibarian{i % 2 * 'é'} {fill(60)} boss@corp.example") for i in range(4)]  # far from the entity
+    rows += [(400, f"{fill(30)} onceonly-word {fill(30)} solo@corp.example {fill(9)} ONCEONLY"), (401, f"the onceonly again, {fill(5)}, onceonlyé"), (402, "x@y.comédie solo"), (402, "x@y.comédie solo"), (403, None)]
+    docs = dict(rows)
+    spans = {d: [(m.start(), m.end()) for k, a, b in [x.split(":") for x in brute_base(t or "")] for m in [re.compile(".*", re.S).match(t, int(a), int(b))]] for d, t in docs.items()}
+    runs = {d: [m for m in re.finditer(r"[^\W\d_]{4,}", t or "") if not any(m.start() < e and b < m.end() for b, e in spans[d])] for d, t in docs.items()}
+    terms = {d: {m[0].lower() for m in x} for d, x in runs.items()}
+    ents = {d: {x.split(":")[0] + ":" + docs[d][int(x.split(":")[1]) : int(x.split(":")[2])].lower() for x in brute_base(t or "")} for d, t in docs.items()}
+    n_term, n_entity = Counter(w for x in terms.values() for w in x), Counter(e for x in ents.values() for e in x)
+    kinds = {}
+    for (e, w), both in Counter((e, w) for d in docs for e in ents[d] for w in terms[d]).items():
+        content, shared = np.log2(len(docs) / n_entity[e]), np.log2(both * len(docs) / (n_term[w] * n_entity[e]))
+        if content > 0 and shared >= 0.75 * content:
+            kinds[w] = max(kinds.get(w, ""), "removed" if shared >= 0.95 * content else "generalised")
+    want = {d: sorted(f"{kinds[m[0].lower()]}:{m.start()}:{m.end()}" for m in runs[d] if m[0].lower() in kinds) for d in docs}
+    got = {r.doc_id: sorted(x for x in r.spans.split(",") if x.startswith(("gen", "rem"))) for r in pii.report(frame(spark, rows)).collect()}
+    assert got == want and len(want[300]) == 1 and len(want[400]) == 3 and len(want[401]) == 1
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert "anzibarian" not in clean[300] and re.search("onceonly(?!é)", clean[401]) is None and clean[0] == docs[0] and clean[403] is None
+
+
 CLASHING = ("id", "key", "_key", "_id", "_id2", "_key2", "_lines", "_starts", "_new", "_own__key", "_c", "block", "shard", "lines", "n_bytes", "digest", "fp", "root", "component_id", "coverage", "item_id", "contaminated", "score", "predicted", "base", "added", "at")
 ODD = [(None, None), (None, "words without an id"), (1, None), (1, ""), (2, "the same row"), (2, "the same row"), (2, "another text"), (3, "word " * 30_000), (4, "a\nb\nc\na\nb\nc"), (5, "the same row"), (6, "mail x@y.zz to y")]
 

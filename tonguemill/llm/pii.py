@@ -1,11 +1,12 @@
 """Personal data by patterns, and terms that disclose it by corpus co-occurrence. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers found by pattern and
-checked (parts, Luhn, digit counts). Each distinct value is a protected entity. A term near it (a run
-of 4 or more letters within CONTEXT characters of a base span) discloses the entity when their
-pointwise mutual information over the corpus's documents reaches DISCLOSE of the entity's information
-content, and both meet in at least MIN_TOGETHER documents. From REMOVE of it on the term is removed, below it is
-generalised. Document frequencies of terms and entities are over all documents.
+checked (parts, Luhn, digit counts). Each distinct value is a protected entity. A term (a run of 4 or more letters
+that overlaps no base span) discloses an entity when their pointwise mutual information over the corpus's
+documents reaches DISCLOSE of the entity's information content. Documents in which a term, an entity or both
+occur are counted over whole documents, and entities of a single document are judged like others. A disclosing
+term is marked wherever it occurs, in documents without the entity too: removed from REMOVE of the information content on,
+below it generalised; with several entities the stronger mark holds.
 
 The patterns are those of the contract, rewritten so that Java's matcher never backtracks over long
 runs or recurses: possessive runs that start where a run starts (or the last match ended), and cards
@@ -30,16 +31,17 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-TERM = r"(?<=[^\p{L}])\p{L}{4,}+(?=[^\p{L}])"
-#: Characters on each side of a base span that are its context.
-CONTEXT = 48
-DISCLOSE, REMOVE, MIN_TOGETHER = 0.75, 0.95, 2
+DISCLOSE, REMOVE = 0.75, 0.95
+#: Stands for the letters of base values where a text's terms are taken.
+_HIDDEN = "\uffff"
+_BUCKETS = 1 << 20
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
-def found(text, pattern: str, kind: str):
+def found(text, pattern, kind: str):
     """Every match of pattern as struct(kind, start, end, value), offsets from the lengths of gaps and matches."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc, pair):
@@ -69,49 +71,76 @@ def base_spans(text):
     return F.concat(email, ip, card, phone)
 
 
-def _context(text, base):
-    """struct(entity, start, end, term) for every term in the context of a base span that overlaps none."""
-    framed = F.concat(F.lit(" "), text, F.lit(" "))  # code point i of text is at i + 2 of substr
+def _replaced(text, spans, word):
+    """text with word(span) for each of spans, which are ordered by start; what overlaps one already replaced stays so."""
+
+    def step(acc, s):
+        from_ = F.greatest(acc["at"], s["start"])
+        gap = F.substr(text, (acc["at"] + 1).cast("int"), (from_ - acc["at"]).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.when(s["end"] > acc["at"], word(s)).otherwise("")).alias("out"))
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+
+
+def _words(text, base):
+    """Distinct terms of a text, as written."""
+    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    inside = lambda s: F.regexp_replace(F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), r"\p{L}", _HIDDEN)
+    hidden = F.filter(F.split(_replaced(text, spans, inside), rf"[^\p{{L}}{_HIDDEN}]+"), lambda w: ~F.contains(w, F.lit(_HIDDEN)))
+    runs = F.when(F.size(base) > 0, hidden).otherwise(F.split(text, r"\P{L}+"))
+    return F.filter(F.array_distinct(runs), lambda w: F.char_length(w) >= 4)
+
+
+def _terms(words):
+    return F.array_distinct(F.transform(words, lambda w: F.lower(w)))
+
+
+def _disclosing(facts: DataFrame) -> DataFrame:
+    """term, kind: the terms that disclose an entity, of documents with columns entities and words."""
+    n_term = facts.select(F.explode(_terms("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    having = written(facts.where(F.size("entities") > 0).select("entities", _terms("words").alias("terms")), "pii")
+    n_entity = having.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    both = having.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    known = both.join(n_term, "term").crossJoin(F.broadcast(facts.agg(F.count(F.lit(1)).alias("n"))))  # n is one row
+    # n_entity is n_both at least, so no other pair can reach DISCLOSE; the rest is rounding
+    known = known.where(F.col("n_term") <= 1.000001 * F.pow("n_both", F.lit(DISCLOSE)) * F.pow("n", F.lit(1 - DISCLOSE)))
+    known = known.join(n_entity, "entity")
+    content = F.log2(F.col("n") / F.col("n_entity"))
+    shared = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
+    kind = F.when(shared >= REMOVE * content, "removed").otherwise("generalised")
+    return known.where((content > 0) & (shared >= DISCLOSE * content)).groupBy("term").agg(F.max(kind).alias("kind"))
 
-    def around(span):
-        left = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        pieces = ((left, F.substr(framed, (left + 1).cast("int"), (span["start"] - left + 2).cast("int"))), (span["end"], F.substr(framed, (span["end"] + 1).cast("int"), F.lit(CONTEXT + 2))))
-        entity = F.concat_ws(":", span["kind"], F.lower(span["value"]))
-        make = lambda shift: lambda s: F.struct(entity.alias("entity"), (s["start"] + shift - 1).alias("start"), (s["end"] + shift - 1).alias("end"), F.lower(s["value"]).alias("term"))
-        return F.concat(*(F.transform(found(piece, TERM, "term"), make(shift)) for shift, piece in pieces))
 
-    clear = lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
-    return F.filter(F.flatten(F.transform(base, around)), clear)
+def _added(text, base, words):
+    """Spans (kind, start, end) of the words in text, by start."""
 
+    def spans(kind):
+        own = F.transform(F.filter(words, lambda w: w["kind"] == kind), lambda w: w["word"])
+        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(own, "|"), F.lit(r")(?!\p{L})"))
+        return F.when(F.size(own) > 0, found(text, pattern, kind)).otherwise(F.array().cast(_SPAN))
 
-def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """term, n: in how many documents each run of 4 or more letters occurs (lower case)."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\P{L}+"))
-    return df.select(F.explode(words).alias("term")).where(F.char_length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    clear = F.filter(F.concat(spans("generalised"), spans("removed")), lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+    return F.array_sort(F.transform(clear, lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end"))))
 
 
 def analyse(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, _key, base (spans) and added (struct kind, start, end: terms to generalise or remove) for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), text.alias("_text"))
-    spans = rows.select("_id", "_key", "_text", base_spans(F.col("_text")).alias("base"))
-    near = F.when(F.size("base") > 0, _context(F.col("_text"), F.col("base"))).otherwise(F.array().cast("array<struct<entity:string,start:bigint,end:bigint,term:string>>"))
-    table = written(spans.select("_id", "_key", "base", near.alias("near")), "pii")
-    having = table.where(F.size("base") > 0)
-    met = having.select("_id", "_key", F.explode("near").alias("x")).select("_id", "_key", "x.*")
-    entity = F.explode(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"])))).alias("entity")
-    n_entity = having.select("_id", "_key", entity).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    together = met.select("_id", "_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= MIN_TOGETHER)
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    known = together.join(n_entity, "entity").join(term_counts(df, text_col), "term").crossJoin(F.broadcast(n))  # n is one row
-    content = F.log2(F.col("n") / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
-    kind = F.when(shared >= REMOVE * content, "removed").otherwise("generalised")
-    disclosing = known.where((content > 0) & (shared >= DISCLOSE * content)).select("entity", "term", kind.alias("kind"))
-    marked = met.join(disclosing, ["entity", "term"]).groupBy("_id", "_key", "start", "end").agg(F.max("kind").alias("kind"))
-    added = marked.groupBy("_id", "_key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added")).select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "added")
-    joined = table.join(added, F.col("_key").eqNullSafe(F.col("_key2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
-    return joined.select(F.col("_id").alias(id_col), "_key", "base", F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")).alias("added"))
+    rows = rows.withColumn("base", base_spans(F.col("_text")))
+    twice = not rows.groupBy("_id", "_key").count().where("count > 1").isEmpty()
+    once = rows.dropDuplicates(["_id", "_key"]) if twice else rows
+    entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))
+    terms = written(_disclosing(once.select(entities.alias("entities"), _words(F.col("_text"), F.col("base")).alias("words"))), "pii-terms")
+    words = rows.select("_id", "_key", F.explode(_words(F.col("_text"), F.col("base"))).alias("word")).withColumn("term", F.lower("word"))
+    # at most _BUCKETS rows for the driver, however many terms; spares the shuffle nearly all words
+    bucket = F.pmod(F.xxhash64("term"), F.lit(_BUCKETS)).alias("bucket")
+    words = words.withColumn("bucket", bucket).join(F.broadcast(terms.select(bucket).distinct()), "bucket", "left_semi").join(terms, "term")
+    marked = words.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct("word", "kind"))).alias("_marks")).select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "_marks")
+    rows = rows.join(marked, F.col("_key").eqNullSafe(F.col("_key2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
+    added = F.when(F.col("_marks").isNotNull(), _added(F.col("_text"), F.col("base"), F.col("_marks"))).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))
+    return rows.select(F.col("_id").alias(id_col), "_key", "base", added.alias("added"))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,17 +156,10 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     df, own = set_aside(df, ("base", "added"))
     id_col, text_col = own[id_col], own[text_col]
     key = row_key(F.col(id_col), F.col(text_col))
-    facts = analyse(df, id_col, text_col).where(F.size("base") > 0).select(F.col(id_col).alias("_id2"), F.col("_key").alias("_key2"), "base", "added").dropDuplicates(["_id2", "_key2"])
+    facts = analyse(df, id_col, text_col).where((F.size("base") > 0) | (F.size("added") > 0)).select(F.col(id_col).alias("_id2"), F.col("_key").alias("_key2"), "base", "added").dropDuplicates(["_id2", "_key2"])
     rows = df.withColumn("_key", key).join(facts, F.col("_key").eqNullSafe(F.col("_key2")) & F.col(id_col).eqNullSafe(F.col("_id2")), "left")
     spans = F.array_sort(F.transform(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: s))
     word = lambda s: F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     text = F.col(text_col)
-
-    def step(acc, s):  # spans of different kinds may overlap: what is already replaced stays so
-        from_ = F.greatest(acc["at"], s["start"])
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (from_ - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.when(s["end"] > acc["at"], word(s)).otherwise("")).alias("out"))
-
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    whole = _replaced(text, spans, word)
     return put_back(rows.withColumn(text_col, F.when(F.col("base").isNotNull(), whole).otherwise(text)), own)
