@@ -5,8 +5,8 @@
 2. Confirming: whole windows around recurring seeds are looked up; a window is confirmed for a block
    when its word sequence also starts earlier (smaller id elsewhere, or as found in the block itself).
 3. The confirmed passages of a block are compiled into its own automaton (pyahocorasick): phrases of
-   WINDOW words, end to end along each passage. Every document of the block is streamed through it,
-   and each occurrence found is a window that goes, unless it is the first of all.
+   WINDOW words, end to end along each passage. Every document that holds a later window by its hashes is streamed
+   through it, so the hashes decide and the automaton repeats their decision; each occurrence found is a window that goes, unless it is the first of all.
 
 The automata are sharded with the documents: a block's automaton holds just the phrases that its
 documents can contain, so one pass over each text locates every occurrence and work grows with the
