@@ -44,13 +44,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the smallest id (rows equal in id and text once)."""
+    """One document of each SimHash group stays: the smallest id (rows equal in id and text once). Rows without words pass."""
     small_batches(spark)
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    bare, docs = docs.where(~worded), docs.where(worded)
     keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
     found = written(simhash.near_duplicates(docs.select(F.struct("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k")).alias("doc_id"), "text"), words=5, radius=5, segments=3), "kept")
     stay = found.where("doc_id = component_id").select(F.col("doc_id.doc_id").alias("_id2"), F.col("doc_id.k").alias("_key2")).distinct()
     same = F.col("_key").eqNullSafe(F.col("_key2")) & F.col("doc_id").eqNullSafe(F.col("_id2"))
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["_key", "doc_id"]).select(*docs.columns).unionByName(bare)
 
 
 @keeps_columns

@@ -327,6 +327,14 @@ def test_columns_stay(spark):
         assert change(spark, odd(spark, []), DATA).collect() == []
 
 
+def test_rows_without_words_pass_simhash(spark):
+    import corpus_pipeline
+
+    rows = [(1, None), (2, None), (3, ""), (4, " \t\n"), (None, ""), (5, "a b c"), (6, "a b c"), (6, "a b c")]
+    got = dict(corpus_pipeline.STAGES)["simhash"](spark, frame(spark, rows), DATA).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows[:6])
+
+
 def brute_tiles(item, doc, least=5):
     """Tokens of item covered by greedy string tiling: the longest common unmarked run again and again."""
     item_free, doc_free, covered = [True] * len(item), [True] * len(doc), 0
