@@ -1,13 +1,14 @@
 """The library's queries against DuckDB, the known cases, and stream against batch."""
 
 import os
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tonguemill.functions import text as T
-from tonguemill.functions.languages import from_code_name
+from tonguemill.functions.languages import from_code_name, from_display_name
 from tonguemill.operators import phrasebook as P
 from tonguemill.operators import requests as R
 from tonguemill.operators import tokens as K
@@ -47,11 +48,13 @@ def test_known_cases(spark):
     assert got[""].success and got[""].translated_text == "" and got[""].source_char_count == 0
     assert got["Hello World"].translated_text == "你好，世界" and got["x"].translated_text.startswith(P.ANSWER_OPEN)
     seen = {r.text: r.preview for r in P.quick_preview(_requests(spark, "Hello", "a"), book).collect()}
-    assert seen == {"Hello": P.GREETING, "a": P.PREVIEW + "a"}
+    assert seen == {"Hello": P.greeting(), "a": P.PREVIEW + "a"}
     assert not engines.FileEngine("").load() and not engines.FileEngine("non_existent_model_path.gguf").load()
     failed = R.gate_model(_requests(spark, "Hello world", ""), F.lit(False), stream=True).orderBy("request_id").collect()
     assert "模型未加载" in failed[0].error_message and failed[1].error_message is None
     assert spark.range(1).select(from_code_name(F.lit("EN"))).first()[0] == "AutoDetect"
+    names = spark.range(1).select(from_display_name(F.lit("英语")), from_display_name(F.lit("english")), from_display_name(F.lit(None).cast("string"))).first()
+    assert tuple(names) == ("English", "AutoDetect", "AutoDetect")
     counts = spark.range(1).select(T.byte_count(F.lit("😀")), T.char_count(F.lit("😀")), T.utf16_count(F.lit("😀"))).first()
     assert tuple(counts) == (4, 1, 2)
 
@@ -64,6 +67,59 @@ def test_engine_without_collapse_is_the_same(spark):
         assert sorted(map(repr, jobs.translate_batch_engine(rows, engine, 3, collapse).collect())) == want
 
 
+def test_engine_that_does_not_load(spark):
+    rows = _requests(spark, "Hello world", "", None)
+    for collapse in (True, False):
+        got = {r.request_id: r for r in jobs.translate_batch_engine(rows, engines.FileEngine("nope.gguf"), collapse=collapse).collect()}
+        assert not got[0].success and got[0].error_message == R.NOT_LOADED and got[0].translated_text == ""
+        assert all(got[i].success and got[i].error_message == "" for i in (1, 2))
+    seen = {r.text: r.preview for r in engines.quick_preview_engine(rows, engines.FileEngine("")).collect()}
+    assert seen == {"Hello world": None, "": ""}
+    engine = engines.PhrasebookEngine(P.PHRASES)
+    assert not engine.is_loaded and engine.load() and engine.is_loaded
+    said = {r.text: r.preview for r in engines.quick_preview_engine(_requests(spark, "Hello", "Hello World", "a", ""), engine).collect()}
+    assert said == {"Hello": P.greeting(), "Hello World": "你好，世界", "a": P.PREVIEW + "a", "": ""}
+
+
+def test_recognize_batch(spark):
+    manifest = spark.createDataFrame([("a.png", "ocr"), ("b.png", "table"), ("c.png", "ocr"), (None, "ocr"), ("d.png", None)], "path string, task_type string")
+    images = spark.createDataFrame([("a.png", bytearray(b"x" * 5000 + b" \n")), ("b.png", bytearray(b"")), ("d.png", bytearray("é".encode()))], "path string, content binary").withColumn("length", F.octet_length("content").cast("bigint"))
+    for jobs.MOST_BROADCAST_ROWS in (1, 200_000):
+        got = {r.path: tuple(r)[1:] for r in jobs.recognize_batch(manifest, images, engines.StubOcrEngine()).collect()}
+        assert got == {"a.png": (True, "ocr: " + "x" * 5000, "", 5005), "b.png": (False, "", jobs.BAD_IMAGE + "b.png)", 0), "c.png": (False, "", jobs.NO_IMAGE + "c.png)", 0), None: (False, "", jobs.NO_IMAGE + ")", 0), "d.png": (True, "None: é", "", 7)}
+    failed = {r.path: r.error_message for r in jobs.recognize_batch(manifest, images, engines.FileEngine("")).collect()}
+    assert failed["a.png"] == jobs.NOT_LOADED_OCR and failed["c.png"] == jobs.NO_IMAGE + "c.png)"
+
+    class Blind(engines.StubOcrEngine):
+        key = ("blind",)
+
+        def recognize(self, rows):
+            return super().recognize(rows).map(lambda t: None)
+
+    unread = {r.path: r.error_message for r in jobs.recognize_batch(manifest, images, Blind()).collect()}
+    assert unread["a.png"] == jobs.BAD_IMAGE + "a.png)"
+
+
+def test_assemble_ocr_and_dense(spark):
+    tokens = spark.createDataFrame([(t, i + 1, p or "", p is None) for t, pieces, _, _ in CASES for i, p in enumerate(pieces)], "task_id long, seq int, piece string, is_control boolean")
+    tasks = spark.createDataFrame([(t, p, c) for t, _, p, c in CASES], "task_id long, prompt_tokens int, cancel_after int")
+    plain = [sorted(map(repr, K.assemble_streams(tokens, tasks, dense=d).collect())) for d in (True, False)]
+    assert plain[0] == plain[1]
+    for dense in (True, False):
+        got = {r.task_id: (r.full_text, r.success, r.stop_reason, r.n_tokens) for r in K.assemble_streams(tokens, tasks, context=4096, ocr=True, dense=dense).collect()}
+        assert got[1] == ("a b", True, "end", 3) and got[2] == ("a", True, "control", 1) and got[3] == ("abc", False, "error", 3) and got[4] == ("", False, "error", 0)
+        assert got[5] == ("ab", False, "cancelled", 2) and got[7] == ("a", False, "error", 1) and got[8] == ("a", True, "end", 1)
+    cancelled = spark.createDataFrame([(1, 10, 3)], "task_id long, prompt_tokens int, cancel_after int")
+    assert K.assemble_streams(tokens, cancelled, ocr=True).first().full_text == "a b\n " and K.assemble_streams(tokens, cancelled).first().full_text == "a b"
+
+
+def test_requests_without_words_and_greetings(spark):
+    book = P.phrasebook(spark)
+    rows = [("", ""), (None, ""), ("Hello World", "你好，世界"), ("Hello you", P.ANSWER_OPEN + "Hello you" + P.answer_close("X"))]
+    got = {r.original_text: r.translated_text for r in jobs.respond(P.translate_phrasebook(_requests(spark, *(t for t, _ in rows)), book, "X").withColumn("error_message", F.lit(None).cast("string"))).collect()}
+    assert got == {t or "": a for t, a in rows}
+
+
 def test_history_and_readers(spark, tmp_path):
     at = str(tmp_path / "h")
     rows = spark.sql("SELECT '2' AS id, 'b' AS source_text, 'B' AS translated_text, 'en' AS source_lang, 'zh' AS target_lang, timestamp'2024-01-02' AS ts UNION ALL SELECT '1', 'a', 'A', 'en', 'ja', timestamp'2024-01-01'")
@@ -81,6 +137,22 @@ def test_history_and_readers(spark, tmp_path):
     assert sorted(os.path.basename(r.path) for r in images.select("path").collect()) == ["a.png", "b.JPEG"]
 
 
+RESULT = ("full_text", "raw_text", "success", "error_message", "n_tokens", "stop_reason")
+
+
+def _assembled(spark, tmp_path, name, schema, parts, **settings):
+    """Results by task of a stream that gets each of parts in a micro-batch of its own."""
+    at = tmp_path / name
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        time.sleep(0.05)  # file streams go by modification time
+    stream = stream_assemble(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), **settings)
+    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len({p["batchId"] for p in query.recentProgress if p["numInputRows"]}) == len(parts)
+    return {r.task_id: tuple(r[c] for c in RESULT) for r in spark.read.parquet(f"{at}/out").collect()}
+
+
 CASES = [  # task, pieces (None: control), prompt, cancel_after
     (1, ["a", " b", "\n "], 10, None), (2, ["a", None, "b"], 10, None), (3, ["a", "b", "c"], 4094, None), (4, ["a"], 5000, None), (5, ["a", "b", "c"], 10, 2), (6, [None], 10, 0), (7, ["a", "b"], 4096, None), (8, ["a"], 10, 5)]
 
@@ -100,10 +172,12 @@ def test_stream_assemble_is_batch(spark, tmp_path):
             events.append((t, i * 2 + 1, piece or "", piece is None, "token", p))
         events.append((t, 999, "", False, "end", p))
     schema = "task_id long, seq int, piece string, is_control boolean, event string, prompt_tokens int"
-    folder = str(tmp_path / "e")
-    for part in (events[::2], events[1::2]) if False else (events,):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-    stream = stream_assemble(spark.readStream.schema(schema).parquet(folder))
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.task_id: r for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    assert {t: (r.full_text, r.success, r.stop_reason) for t, r in got.items()} == {t: (r.full_text, r.success, r.stop_reason) for t, r in want.items()}
+    for n in (1, 3):  # micro-batches; each takes the next few events of every task
+        of = {t: [e for e in events if e[0] == t] for t, *_ in CASES}
+        parts = [[e for own in of.values() for e in own[k * len(own) // n : (k + 1) * len(own) // n]] for k in range(n)]
+        assert _assembled(spark, tmp_path, f"r{n}", schema, parts) == {t: tuple(r[c] for c in RESULT) for t, r in want.items()}
+    late = [(1, 2, "b", False, "token", 0), (1, 3, "c", False, "token", 0)], [(1, 1, "a", False, "token", 0), (2, 1, "x", False, "token", 0)], [(1, 9, "", False, "end", 0)], [(1, 4, "z", False, "token", 0), (1, 9, "", False, "end", 0)]
+    assert _assembled(spark, tmp_path, "late", schema, late) == {1: ("abc", "abc", True, "", 3, "end")}
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a stream with a TTL waits for it
+    assert _assembled(spark, tmp_path, "ttl", schema, late[1:], ttl_ms=3_600_000) == {1: ("a", "a", True, "", 1, "end")}
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Phrases, and the forms of an answer without a phrase.
+# Phrases, and the forms of an answer without a phrase. NAME, the product in them, is the caller's.
 PHRASES = (("Hello World", "你好，世界"), ("Text Translation", "文本翻译"), ("Domain Driven Design", "领域驱动设计"), ("Artificial Intelligence", "人工智能"))
-ANSWER_OPEN, ANSWER_CLOSE = "[译文] ", " (已由灵驼引擎翻译)"
-GREETING, PREVIEW, PREVIEW_LLM = "你好，欢迎使用灵驼译！", "即时译文: ", "即时译文 (Llama.cpp): "
+NAME = "磨坊"
+ANSWER_OPEN, PREVIEW, PREVIEW_LLM = "[译文] ", "即时译文: ", "即时译文 (Llama.cpp): "
+
+
+def answer_close(name: str = NAME) -> str:
+    return f" (已由{name}引擎翻译)"
+
+
+def greeting(name: str = NAME) -> str:
+    return f"你好，欢迎使用{name}！"
 
 
 def phrasebook(spark: SparkSession, more: tuple = ()) -> DataFrame:
@@ -27,23 +35,27 @@ def latest(book: DataFrame, version: str = "version") -> DataFrame:
 
 
 def _met(requests: DataFrame, book: DataFrame) -> DataFrame:
-    """Requests with `_phrase`, by hash and text; Spark broadcasts the book where its size allows."""
+    """Requests with `_phrase`, by hash and text; Spark broadcasts the book where its size allows.
+
+    Empty texts, which need no phrase, are dealt by a hash of their id, so they never meet in one task.
+    """
     side = book.select(F.xxhash64("source_text").alias("_hash"), "source_text", F.col("translated_text").alias("_phrase"))
-    rows = requests.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(side, (F.col("_h") == F.col("_hash")) & (F.coalesce("text", F.lit("")) == F.col("source_text")), "left").drop("_h", "_hash", "source_text")
+    text = F.coalesce("text", F.lit(""))
+    rows = requests.withColumn("_h", F.when(text == "", F.xxhash64("request_id")).otherwise(F.xxhash64(text)))
+    return rows.join(side, (F.col("_h") == F.col("_hash")) & (text == F.col("source_text")), "left").drop("_h", "_hash", "source_text")
 
 
-def translate_phrasebook(requests: DataFrame, book: DataFrame) -> DataFrame:
+def translate_phrasebook(requests: DataFrame, book: DataFrame, name: str = NAME) -> DataFrame:
     """Adds translated_text; the book has one row a source text."""
     text = F.coalesce("text", F.lit(""))
-    answer = F.when(text == "", "").otherwise(F.coalesce("_phrase", F.concat(F.lit(ANSWER_OPEN), text, F.lit(ANSWER_CLOSE))))
+    answer = F.when(text == "", "").otherwise(F.coalesce("_phrase", F.concat(F.lit(ANSWER_OPEN), text, F.lit(answer_close(name)))))
     return _met(requests, book).withColumn("translated_text", answer).drop("_phrase")
 
 
-def quick_preview(requests: DataFrame, book: DataFrame, llm: bool = False) -> DataFrame:
+def quick_preview(requests: DataFrame, book: DataFrame, llm: bool = False, name: str = NAME) -> DataFrame:
     """Adds preview."""
     text = F.coalesce("text", F.lit(""))
     if llm:
         return requests.withColumn("preview", F.when(text == "", "").otherwise(F.concat(F.lit(PREVIEW_LLM), text)))
-    preview = F.when(text == "", "").when(F.col("_phrase").isNotNull(), F.col("_phrase")).when(F.contains(text, F.lit("Hello")), GREETING).otherwise(F.concat(F.lit(PREVIEW), text))
+    preview = F.when(text == "", "").when(F.col("_phrase").isNotNull(), F.col("_phrase")).when(F.contains(text, F.lit("Hello")), greeting(name)).otherwise(F.concat(F.lit(PREVIEW), text))
     return _met(requests, book).withColumn("preview", preview).drop("_phrase")

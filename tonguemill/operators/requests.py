@@ -41,13 +41,13 @@ def resolve_languages(df: DataFrame, column: str = "source_lang") -> DataFrame:
     return df.withColumns({"code": code, "code_name": code_name(code), "display_name": display_name(code)})
 
 
-def respond(df: DataFrame, translated="translated_text", error="error_message") -> DataFrame:
-    """Response records from request_id, text, a translation and an error (null: none); failed ones carry no translation."""
+def respond(df: DataFrame, translated="translated_text", error="error_message", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Response records from request_id, text, a translation and an error (null: none), and the columns `keep`; failed ones carry no translation."""
     text, message = F.coalesce("text", F.lit("")), F.coalesce(F.col(error), F.lit(""))
     good = F.col(error).isNull()
     answer = F.when(good & (text != ""), F.coalesce(F.col(translated), F.lit(""))).otherwise("")
     source = F.when(text == "", F.lit(0).cast("bigint")).otherwise(byte_count(text))
-    return df.select("request_id", good.alias("success"), text.alias("original_text"), answer.alias("translated_text"), message.alias("error_message"), source.alias("source_char_count"), byte_count(answer).alias("target_char_count"))
+    return df.select("request_id", good.alias("success"), text.alias("original_text"), answer.alias("translated_text"), message.alias("error_message"), source.alias("source_char_count"), byte_count(answer).alias("target_char_count"), *keep)
 
 
 def gate_model(df: DataFrame, loaded, stream: bool = False) -> DataFrame:

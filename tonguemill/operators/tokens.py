@@ -9,8 +9,9 @@ from tonguemill.functions.text import trim_artifacts
 from tonguemill.operators.requests import CANCELLED
 
 MAX_TOKENS, CONTEXT = 4096, 4096
-# Fixed value.
-DECODE_ERROR = "Llama.cpp 解码推理失败 (llama_decode error)。"
+CONTEXT_OCR = 8192
+# Fixed values.
+DECODE_ERROR, DECODE_ERROR_OCR = "Llama.cpp 解码推理失败 (llama_decode error)。", "解码 Token 失败 (llama_decode error)"
 
 
 def split_codepoints(df: DataFrame, id_col: str = "task_id", text_col: str = "text") -> DataFrame:
@@ -41,23 +42,38 @@ def running_char_count(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("n_chars", F.sum(F.char_length("piece")).over(upto))
 
 
-def assemble_streams(tokens: DataFrame, tasks: DataFrame, max_tokens: int = MAX_TOKENS, context: int = CONTEXT) -> DataFrame:
+def assemble_streams(tokens: DataFrame, tasks: DataFrame, max_tokens: int | None = MAX_TOKENS, context: int = CONTEXT, ocr: bool = False, dense: bool = False) -> DataFrame:
     """A stream result for every task of `tasks` (task_id, prompt_tokens, cancel_after).
 
     Kept are the pieces before the first control token, up to max_tokens and to the room that the prompt
-    leaves in the context, or exactly cancel_after of them where that is no more.
+    leaves in the context, or exactly cancel_after of them where that is no more. No task can use more than
+    context + 1 pieces; with dense (seq counts from 1 without gaps) the rest is dropped before the shuffle,
+    else each task's pieces are numbered first.
+
+    With ocr there is no cap and the piece that no longer fits fails the task with what it has, itself included; the
+    text of a cancelled task is not trimmed.
     """
-    ranked = tokens.select("task_id", "seq", "piece", "is_control", F.row_number().over(_by_task().orderBy("seq")).alias("_n"))
-    logs = ranked.where(F.col("_n") <= max_tokens + 1).groupBy("task_id").agg(F.count(F.lit(1)).alias("_total"), F.min(F.when(F.col("is_control"), F.col("_n"))).alias("_control"), F.array_sort(F.collect_list(F.struct("_n", "piece"))).alias("_pieces"))
+    most_pieces = context + 1 if ocr or max_tokens is None else min(max_tokens, context) + 1
+    if dense:
+        ranked = tokens.where(F.col("seq") <= most_pieces).select("task_id", F.col("seq").cast("int").alias("_n"), "piece", "is_control")
+    else:
+        ranked = tokens.select("task_id", F.row_number().over(_by_task().orderBy("seq")).alias("_n"), "piece", "is_control").where(F.col("_n") <= most_pieces)
+    logs = ranked.groupBy("task_id").agg(F.count(F.lit(1)).alias("_total"), F.min(F.when(F.col("is_control"), F.col("_n"))).alias("_control"), F.array_sort(F.collect_list(F.struct("_n", "piece"))).alias("_pieces"))
     rows = tasks.select("task_id", F.coalesce("prompt_tokens", F.lit(0)).alias("_p"), F.col("cancel_after").alias("_k")).join(logs, "task_id", "left")
-    room, total = context - F.col("_p"), F.coalesce("_total", F.lit(0))
-    spoken = F.coalesce(F.col("_control") - 1, total)
-    most = F.greatest(F.least(spoken, F.lit(max_tokens), room), F.lit(0))
+    room = context - F.col("_p")
+    spoken = F.coalesce(F.col("_control") - 1, F.coalesce("_total", F.lit(0)))
+    last = room + 1 if ocr else room if max_tokens is None else F.least(F.lit(max_tokens), room)
+    most = F.greatest(F.least(spoken, last), F.lit(0))
     broken = room < 0
     cancelled = ~broken & F.coalesce(F.col("_k") <= most, F.lit(False))
+    overrun = ~broken & ~cancelled & (spoken > room) if ocr else F.lit(False)
     kept = F.when(broken, 0).when(cancelled, F.col("_k")).otherwise(most).cast("int")
     raw = F.array_join(F.transform(F.slice(F.coalesce("_pieces", F.array().cast("array<struct<_n:int,piece:string>>")), F.lit(1), F.col("n_tokens")), lambda x: x["piece"]), "")
-    reason = F.when(F.col("_broken"), "error").when(F.col("_cancelled"), "cancelled").when(F.col("n_tokens") == max_tokens, "max_tokens").when(F.col("n_tokens") == room, "context").when(F.col("_control").isNotNull(), "control").otherwise("end")
-    rows = rows.withColumns({"_broken": broken, "_cancelled": cancelled, "n_tokens": kept}).withColumn("raw_text", raw)
-    error = F.when(F.col("_broken"), DECODE_ERROR).when(F.col("_cancelled"), CANCELLED).otherwise("")
-    return rows.select("task_id", (error == "").alias("success"), trim_artifacts(F.col("raw_text")).alias("full_text"), "raw_text", error.alias("error_message"), "n_tokens", reason.alias("stop_reason"))
+    reason = F.when(F.col("_broken") | F.col("_overrun"), "error").when(F.col("_cancelled"), "cancelled")
+    if not ocr:
+        reason = reason.when(F.col("n_tokens") == F.lit(max_tokens), "max_tokens").when(F.col("n_tokens") == room, "context")
+    reason = reason.when(F.col("_control").isNotNull(), "control").otherwise("end")
+    rows = rows.withColumns({"_broken": broken, "_cancelled": cancelled, "_overrun": overrun, "n_tokens": kept}).withColumn("raw_text", raw)
+    error = F.when(F.col("_broken") | F.col("_overrun"), DECODE_ERROR_OCR if ocr else DECODE_ERROR).when(F.col("_cancelled"), CANCELLED).otherwise("")
+    text = F.when(F.col("_cancelled"), F.col("raw_text")).otherwise(trim_artifacts(F.col("raw_text"))) if ocr else trim_artifacts(F.col("raw_text"))
+    return rows.select("task_id", (error == "").alias("success"), text.alias("full_text"), "raw_text", error.alias("error_message"), "n_tokens", reason.alias("stop_reason"))

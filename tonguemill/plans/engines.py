@@ -1,8 +1,10 @@
 """Engines that a user plugs in, and the runner that calls them from mapInPandas.
 
-An engine is an object with `load()`, called once a Python worker, and `translate(pandas.DataFrame) ->
-pandas.Series` or `recognize(pandas.DataFrame) -> pandas.Series`. `key` names what it loads, so that a
-reused worker keeps a loaded engine.
+An engine is an object with `key` (names what it loads, so that a reused worker keeps a loaded engine),
+`is_loaded`, `load() -> bool`, and those of these methods that its jobs call, each from a
+pandas.DataFrame of rows to a Series: `translate` (text, source_lang, target_lang), `preview` (the same) and
+`recognize` (content, task_type, prompt; None for an image that it cannot read). `load` runs once a Python
+worker as long as it succeeds; where it fails, the rows come back without an answer and say so.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ import os
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tonguemill.operators.phrasebook import ANSWER_CLOSE, ANSWER_OPEN
+from tonguemill.operators import phrasebook as P
 
 _loaded: dict = {}
 
@@ -20,14 +23,20 @@ _loaded: dict = {}
 class PhrasebookEngine:
     """Answers from a bounded dictionary that travels with the plan."""
 
-    def __init__(self, phrases):
-        self.phrases, self.key = dict(phrases), ("phrasebook", tuple(sorted(phrases)))
+    def __init__(self, phrases, name: str = P.NAME):
+        self.phrases, self.name, self.is_loaded = dict(phrases), name, False
+        self.key = ("phrasebook", name, tuple(sorted(self.phrases.items())))
 
     def load(self) -> bool:
+        self.is_loaded = True
         return True
 
     def translate(self, rows: pd.DataFrame) -> pd.Series:
-        return rows["text"].map(lambda t: "" if not t else self.phrases.get(t, ANSWER_OPEN + t + ANSWER_CLOSE))
+        return rows["text"].map(lambda t: "" if not t else self.phrases.get(t, P.ANSWER_OPEN + t + P.answer_close(self.name)))
+
+    def preview(self, rows: pd.DataFrame) -> pd.Series:
+        say = lambda t: "" if not t else self.phrases.get(t) or (P.greeting(self.name) if "Hello" in t else P.PREVIEW + t)
+        return rows["text"].map(say)
 
 
 class FileEngine:
@@ -42,28 +51,38 @@ class FileEngine:
 
 
 class StubOcrEngine:
-    """Answers with the task's name and the first bytes of the content."""
+    """Answers with the task's name and the content as text; empty content cannot be read."""
 
-    key = ("stub-ocr",)
+    key, is_loaded = ("stub-ocr",), False
 
     def load(self) -> bool:
+        self.is_loaded = True
         return True
 
     def recognize(self, rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([f"{t}: {bytes(c)[:200].decode('utf-8', 'ignore')}" for t, c in zip(rows["task_type"], rows["content"], strict=True)], index=rows.index, dtype=object)
+        return pd.Series([f"{t}: {bytes(c).decode('utf-8', 'ignore')}" if c else None for t, c in zip(rows["task_type"], rows["content"], strict=True)], index=rows.index, dtype=object)
 
 
 def run_engine(df: DataFrame, engine, method: str, out: str = "translated_text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """df (without `drop`) with the engine's answers in column `out`, batch by batch."""
-    keep = [c for c in df.columns if c not in (*drop, out)]
-    schema = df.select(*keep).schema.add(out, "string")
+    """df (without `drop`) with the engine's answers in column `out` and engine_loaded, batch by batch.
+
+    Where the engine does not load, out is null and engine_loaded false.
+    """
+    keep = [c for c in df.columns if c not in drop]
+    schema = df.select(*keep).schema.add(out, "string").add("engine_loaded", "boolean")
 
     def call(batches):
-        if engine.key not in _loaded:
-            engine.load()
-            _loaded[engine.key] = engine
-        own = _loaded[engine.key]
+        own = _loaded.get(engine.key)
+        if own is None and engine.load():
+            own = _loaded[engine.key] = engine
         for rows in batches:
-            yield rows[keep].assign(**{out: getattr(own, method)(rows)}) if len(rows) else rows[keep].assign(**{out: pd.Series([], dtype=object)})
+            answers = getattr(own, method)(rows) if own is not None and len(rows) else pd.Series([None] * len(rows), index=rows.index, dtype=object)
+            yield rows[keep].assign(**{out: answers, "engine_loaded": own is not None})
 
     return df.mapInPandas(call, schema)
+
+
+def quick_preview_engine(requests: DataFrame, engine) -> DataFrame:
+    """Adds preview, the engine's quick answer; empty texts get an empty one without it, others null where it does not load."""
+    rows = run_engine(requests.withColumn("text", F.coalesce("text", F.lit(""))), engine, "preview", "preview")
+    return rows.withColumn("preview", F.when(F.col("text") == "", "").otherwise(F.col("preview"))).drop("engine_loaded")

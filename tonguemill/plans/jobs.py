@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tonguemill.functions.text import char_count, ocr_prompt, trim_artifacts
 from tonguemill.operators.phrasebook import translate_phrasebook
-from tonguemill.operators.requests import apply_default_pair, respond
+from tonguemill.operators.requests import apply_default_pair, gate_model, respond
 from tonguemill.plans.engines import run_engine
 
 # Fixed values.
 NO_IMAGE, BAD_IMAGE = "待识别图像文件不存在 (", "无法读取或解析图像文件 ("
+NOT_LOADED_OCR = "PaddleOCR-VL 主模型或 mmproj 视觉投影器未能成功加载，请检查文件路径"
+#: Manifest rows (path, task, prompt: some 200 bytes each) up to which the manifest is broadcast to the images.
+MOST_BROADCAST_ROWS = 200_000
 
 
 def translate_batch(requests: DataFrame, book: DataFrame) -> DataFrame:
@@ -21,10 +24,11 @@ def translate_batch(requests: DataFrame, book: DataFrame) -> DataFrame:
 
 
 def translate_batch_engine(requests: DataFrame, engine, partitions: int | None = None, collapse: bool = True) -> DataFrame:
-    """Responses of a model engine; empty texts never reach it.
+    """Responses of a model engine; empty texts never reach it, and succeed where it does not load.
 
     With collapse (for deterministic engines) each distinct request is answered once and joined back,
-    on its hash and its columns. partitions spreads the calls round robin, so a long text delays only its task.
+    on its columns; empty texts are dealt by their own number, so they are no hot key.
+    partitions spreads the calls round robin, so a long text delays only its task.
     """
     rows = apply_default_pair(requests).withColumn("text", F.coalesce("text", F.lit("")))
     key = ["text", "source_lang", "target_lang"]
@@ -33,24 +37,35 @@ def translate_batch_engine(requests: DataFrame, engine, partitions: int | None =
     asked = asked.repartition(partitions) if partitions else asked
     answers = run_engine(asked, engine, "translate")
     if collapse:
-        met = rows.join(answers, key, "left")
+        spread = rows.withColumn("_spread", F.when(F.col("text") == "", F.xxhash64("request_id")).otherwise(F.lit(0)))
+        met = spread.join(answers.withColumn("_spread", F.lit(0).cast("bigint")), [*key, "_spread"], "left").drop("_spread")
     else:
-        met = answers.unionByName(rows.where("text = ''").withColumn("translated_text", F.lit("")))
-    return respond(met.withColumn("error_message", F.lit(None).cast("string")))
+        met = answers.unionByName(rows.where("text = ''").withColumns({"translated_text": F.lit(""), "engine_loaded": F.lit(True)}))
+    return respond(gate_model(met, F.coalesce("engine_loaded", F.lit(False))))
 
 
 def gate_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """Manifest rows (path, task_type) with content, and error_message where the file is missing or empty."""
-    met = manifest.join(images.select("path", "content"), "path", "left")
+    """Manifest rows (path, task_type) with error_message where the file is missing or empty; reads path and length only."""
+    found = images.groupBy("path").agg(F.max("length").alias("_length"))
+    met = manifest.join(found, "path", "left")
     path = F.coalesce("path", F.lit(""))
-    error = F.when(F.col("content").isNull(), F.concat(F.lit(NO_IMAGE), path, F.lit(")"))).when(F.octet_length("content") == 0, F.concat(F.lit(BAD_IMAGE), path, F.lit(")")))
-    return met.withColumn("error_message", error)
+    error = F.when(F.col("_length").isNull(), F.concat(F.lit(NO_IMAGE), path, F.lit(")"))).when(F.col("_length") == 0, F.concat(F.lit(BAD_IMAGE), path, F.lit(")")))
+    return met.withColumn("error_message", error).drop("_length")
 
 
 def recognize_batch(manifest: DataFrame, images: DataFrame, engine) -> DataFrame:
-    """path, success, text, error_message, n_chars for every row of the manifest (path unique)."""
+    """path, success, text, error_message, n_chars for every row of the manifest (path unique there and in images).
+
+    Images (path, length, content) are gated by path and length; the rows that pass go to the images, as a broadcast up to
+    MOST_BROADCAST_ROWS, so that the bytes stay where they are read. What the engine cannot read fails like an unreadable file.
+    """
     gated = gate_images(manifest, images).withColumn("prompt", ocr_prompt(F.col("task_type")))
-    good = run_engine(gated.where("error_message is null"), engine, "recognize", "text", drop=("content",))
-    bad = gated.where("error_message is not null").drop("content").withColumn("text", F.lit(""))
+    good = gated.where("error_message is null").drop("error_message")
+    small = manifest.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    met = images.select("path", "content").join(F.broadcast(good) if small else good, "path")
+    seen = run_engine(met, engine, "recognize", "text", drop=("content",))
+    unread = F.concat(F.lit(BAD_IMAGE), "path", F.lit(")"))
+    seen = seen.withColumn("error_message", F.when(~F.col("engine_loaded"), NOT_LOADED_OCR).when(F.col("text").isNull(), unread)).drop("engine_loaded")
+    bad = gated.where("error_message is not null").withColumn("text", F.lit(""))
     text = trim_artifacts(F.coalesce("text", F.lit("")))
-    return good.unionByName(bad).select("path", F.col("error_message").isNull().alias("success"), text.alias("text"), F.coalesce("error_message", F.lit("")).alias("error_message"), char_count(text).alias("n_chars"))
+    return seen.unionByName(bad).select("path", F.col("error_message").isNull().alias("success"), text.alias("text"), F.coalesce("error_message", F.lit("")).alias("error_message"), char_count(text).alias("n_chars"))

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemill.functions import text as T
-from tonguemill.functions.languages import LANGUAGES, language_pairs
+from tonguemill.functions.languages import LANGUAGES, from_display_name, language_pairs
 from tonguemill.operators import phrasebook as P
 from tonguemill.operators import requests as R
 from tonguemill.operators import tokens as K
-from tonguemill.operators.history import HISTORY, admit_history
+from tonguemill.operators.history import HISTORY, admit_history, append_history, clear_history, scan_history
 from tonguemill.plans import engines, jobs
-from tonguemill.streaming.streams import stream_assemble, stream_translate
+from tonguemill.sources.readers import REQUESTS, is_image, read_images, read_requests
+from tonguemill.sources.shared import new_path
+from tonguemill.streaming.streams import STATE_STORE, stream_assemble, stream_translate
 
-TEXT = "CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN 'Hello World' WHEN doc_id % 17 = 0 THEN concat('Hello ', substr(text, 1, 40)) ELSE text END"
 SOURCE = "CASE WHEN doc_id % 7 = 0 THEN 'auto' WHEN doc_id % 19 = 0 THEN NULL ELSE lang END"
 TARGET = "CASE doc_id % 6 WHEN 0 THEN 'zh' WHEN 1 THEN 'ja' WHEN 2 THEN 'ko' WHEN 3 THEN 'zh-Hant' WHEN 4 THEN 'auto' ELSE 'xx' END"
 IMAGE = "concat('img_', cast(page_id AS string), '.', CASE page_id % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'bmp' WHEN 4 THEN 'webp' ELSE 'txt' END)"
@@ -27,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def req(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").selectExpr("doc_id AS request_id", f"{TEXT} AS text", f"{SOURCE} AS source_lang", f"{TARGET} AS target_lang")
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id AS request_id", "text", f"{SOURCE} AS source_lang", f"{TARGET} AS target_lang")
 
 
 def tok(spark, sf_dir) -> DataFrame:
@@ -44,7 +43,7 @@ def sess(spark, sf_dir) -> DataFrame:
 
 
 def img(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "pages").selectExpr(f"{IMAGE} AS path", "cast(html AS binary) AS content", "cast(page_id % 8 AS int) AS choice")
+    return _table(spark, sf_dir, "pages").selectExpr(f"{IMAGE} AS path", "cast(html AS binary) AS content", "cast(octet_length(html) AS bigint) AS length", "cast(page_id % 8 AS int) AS choice")
 
 
 def translate_batch(spark, sf_dir):
@@ -60,6 +59,14 @@ def engine_map_in_pandas(spark, sf_dir):
     return jobs.translate_batch_engine(req(spark, sf_dir), engines.PhrasebookEngine(P.PHRASES))
 
 
+def engine_quick_preview(spark, sf_dir):
+    return engines.quick_preview_engine(req(spark, sf_dir), engines.PhrasebookEngine(P.PHRASES)).select("request_id", "preview")
+
+
+def engine_not_loaded(spark, sf_dir):
+    return jobs.translate_batch_engine(req(spark, sf_dir), engines.FileEngine(""))
+
+
 def translate_no_model(spark, sf_dir):
     return R.respond(R.gate_model(req(spark, sf_dir), F.lit(False)).withColumn("translated_text", F.lit(None).cast("string")))
 
@@ -77,7 +84,7 @@ def resolve_languages(spark, sf_dir):
     rows = req(spark, sf_dir)
     rows = rows.select("request_id", "source_lang").unionByName(rows.select("request_id", F.upper("source_lang").alias("source_lang")))
     found = R.resolve_languages(rows)
-    return found.withColumn("back", T.from_code_name(F.col("code_name")))
+    return found.withColumns({"back": T.from_code_name(F.col("code_name")), "by_display": from_display_name(F.col("display_name"))})
 
 
 def default_pair(spark, sf_dir):
@@ -135,21 +142,81 @@ def running_char_count(spark, sf_dir):
 
 
 def assemble_streams(spark, sf_dir):
-    return K.assemble_streams(tok(spark, sf_dir), budgets(spark, sf_dir))
+    return K.assemble_streams(tok(spark, sf_dir), budgets(spark, sf_dir), dense=True)
+
+
+def assemble_ocr_streams(spark, sf_dir):
+    """The same logs in a recognition's context: no cap, a piece that no longer fits fails the task."""
+    return K.assemble_streams(tok(spark, sf_dir), budgets(spark, sf_dir), context=K.CONTEXT_OCR, ocr=True, dense=True)
 
 
 def render_result(spark, sf_dir):
     return R.render_result(assemble_streams(spark, sf_dir)).select("task_id", "shown")
 
 
+def render_ocr_result(spark, sf_dir):
+    return R.render_result(assemble_ocr_streams(spark, sf_dir), ocr=True).select("task_id", "shown")
+
+
 def supersede_requests(spark, sf_dir):
     return R.supersede_requests(sess(spark, sf_dir)).select("session_id", "request_id", F.col("cancelled").cast("int").alias("cancelled"), "error_message")
 
 
+def _history(spark, sf_dir) -> DataFrame:
+    rows = P.translate_phrasebook(R.apply_default_pair(req(spark, sf_dir)), P.phrasebook(spark))
+    rows = rows.withColumns({"error_message": F.lit(None).cast("string"), "ts": F.timestamp_seconds(F.lit(1700000000) + F.col("request_id"))})
+    return admit_history(R.respond(rows, keep=("source_lang", "target_lang", "ts")))
+
+
+def _shown(history: DataFrame) -> DataFrame:
+    return history.select("id", "source_text", "translated_text", "source_lang", "target_lang", F.unix_timestamp("ts").alias("ts"))
+
+
 def history_admitted(spark, sf_dir):
-    rows = R.apply_default_pair(req(spark, sf_dir)).select("request_id", "source_lang", "target_lang", F.timestamp_seconds(F.lit(1700000000) + F.col("request_id")).alias("ts"))
-    admitted = admit_history(translate_batch(spark, sf_dir).join(rows, "request_id"))
-    return admitted.select("id", "source_text", "translated_text", "source_lang", "target_lang", F.unix_timestamp("ts").alias("ts"))
+    return _shown(_history(spark, sf_dir))
+
+
+def history_scan(spark, sf_dir):
+    """The admitted history, filed and read again in its order."""
+    at = new_path(spark, "history")
+    append_history(_history(spark, sf_dir), at)
+    return _shown(scan_history(spark, at))
+
+
+def history_append_clear(spark, sf_dir):
+    """Filed, cleared, filed twice: each record is there two times."""
+    at, rows = new_path(spark, "history"), _history(spark, sf_dir)
+    append_history(rows, at)
+    clear_history(spark, at)
+    append_history(rows, at)
+    append_history(rows, at)
+    return _shown(scan_history(spark, at)).groupBy("id", "ts", "target_lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def requests_read(spark, sf_dir):
+    """Requests written as JSON lines and read with the fixed schema."""
+    at = new_path(spark, "requests")
+    req(spark, sf_dir).write.json(at)
+    return read_requests(spark, at, "json").select(*(c.split()[0] for c in REQUESTS.split(", ")))
+
+
+def images_read(spark, sf_dir):
+    """Pages written as one file each; name and length of those that are images."""
+    at = new_path(spark, "images")
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(at if "://" in at or at.startswith("file:") else f"file://{at}")
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content)
+            yield batch.select(["path"])
+
+    img(spark, sf_dir).select("path", "content").mapInArrow(write, "path string").count()
+    return read_images(spark, at).select(F.substring_index("path", "/", -1).alias("name"), F.col("length").cast("bigint").alias("length"), F.sha2("content", 256).alias("content_sha256"))
 
 
 def ocr_prompt(spark, sf_dir):
@@ -157,46 +224,61 @@ def ocr_prompt(spark, sf_dir):
     return img(spark, sf_dir).select("path", task.alias("task_type"), T.ocr_prompt(task).alias("prompt"))
 
 
+def _recognized(spark, sf_dir, engine) -> DataFrame:
+    rows = img(spark, sf_dir)
+    return jobs.recognize_batch(rows.select("path", T.ocr_task_type(F.col("choice")).alias("task_type")), rows.where(is_image(F.col("path"))), engine)
+
+
 def recognize_batch(spark, sf_dir):
-    from tonguemill.sources.readers import is_image
+    return _recognized(spark, sf_dir, engines.StubOcrEngine())
 
-    rows = img(spark, sf_dir)
-    return jobs.recognize_batch(rows.select("path", T.ocr_task_type(F.col("choice")).alias("task_type")), rows.where(is_image(F.col("path"))), engines.StubOcrEngine())
 
+def recognize_no_model(spark, sf_dir):
+    return _recognized(spark, sf_dir, engines.FileEngine(""))
 
-def _folder(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        return tempfile.mkdtemp(prefix="tonguemill-")
-    import uuid
 
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+def _stream(spark, sf_dir) -> DataFrame:
+    """`documents` as a file stream; the pattern names that one file or folder, as file streams take no single file."""
+    return spark.readStream.schema(_table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
 
 
 def stream_translate_query(spark, sf_dir):
     """`documents` as a file stream of requests, answered and filed; returns the history."""
-    at = _folder(spark)
-    source = f"{sf_dir}/documents.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source if spark.read.parquet(source).inputFiles()[0].rsplit("/", 2)[-2] == "documents.parquet" else f"{sf_dir}/documents*.parquet")
-    asked = rows.selectExpr("doc_id AS request_id", f"{TEXT} AS text", f"{SOURCE} AS source_lang", f"{TARGET} AS target_lang")
+    at = new_path(spark, "stream")
+    asked = _stream(spark, sf_dir).selectExpr("doc_id AS request_id", "text", f"{SOURCE} AS source_lang", f"{TARGET} AS target_lang")
     stream_translate(asked, P.phrasebook(spark), f"{at}/responses", f"{at}/history", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema(HISTORY).parquet(f"{at}/history/batch=*").select("id", "source_text", "translated_text", "source_lang", "target_lang")
 
 
+def stream_assemble_query(spark, sf_dir):
+    """`documents` as a stream of token events (pieces up to the cap, a cancel where one is planned, an end), assembled; equals assemble_streams."""
+    spark.conf.set(*STATE_STORE)
+    at = new_path(spark, "stream")
+    kind = "array<struct<seq:bigint,piece:string,is_control:boolean,event:string>>"
+    piece = f"transform(slice(split(text, ''), 1, {K.MAX_TOKENS + 1}), (p, i) -> named_struct('seq', 2L * i + 2, 'piece', p, 'is_control', p = '\n', 'event', 'token'))"
+    cancel = "CASE WHEN doc_id % 100 = 0 THEN array(named_struct('seq', 201L, 'piece', '', 'is_control', false, 'event', 'cancel')) ELSE array() END"
+    end = "array(named_struct('seq', 1000000L, 'piece', '', 'is_control', false, 'event', 'end'))"
+    events = _stream(spark, sf_dir).selectExpr("doc_id AS task_id", "cast(3000 + doc_id % 1000 AS int) AS prompt_tokens", f"explode(concat(CASE WHEN text <> '' THEN {piece} ELSE cast(array() AS {kind}) END, cast({cancel} AS {kind}), {end})) AS e")
+    found = stream_assemble(events.select("task_id", "prompt_tokens", "e.*"))
+    found.writeStream.format("parquet").option("path", f"{at}/results").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/results")
+
+
 QUERIES = {
-    **{f.__name__: f for f in (translate_batch, translate_batch_memory, engine_map_in_pandas, translate_no_model, task_status, quick_preview, resolve_languages, default_pair, eligible_targets, ineligible_targets, pairs_of_requests, build_prompt, swap_direction, char_counts, trim_artifacts, split_codepoints, stop_at_control, cap_tokens, running_char_count, assemble_streams, render_result, supersede_requests, history_admitted, ocr_prompt, recognize_batch)},
+    **{f.__name__: f for f in (translate_batch, translate_batch_memory, engine_map_in_pandas, translate_no_model, task_status, quick_preview, resolve_languages, default_pair, eligible_targets, ineligible_targets, pairs_of_requests, build_prompt, swap_direction, char_counts, trim_artifacts, split_codepoints, stop_at_control, cap_tokens, running_char_count, assemble_streams, render_result, supersede_requests, history_admitted, ocr_prompt, recognize_batch, engine_quick_preview, engine_not_loaded, assemble_ocr_streams, render_ocr_result, history_scan, history_append_clear, requests_read, images_read, recognize_no_model)},
     "stream_translate": stream_translate_query,
+    "stream_assemble": stream_assemble_query,
 }
 
 
 # ---------------------------------------------------------------- SQL
 
 _LANG = "lang_t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{d}', '{n}')" for i, (c, d, n) in enumerate(LANGUAGES)) + ") AS t(ordinal, code, display_name, code_name))"
-_REQ = f"req AS (SELECT doc_id AS request_id, {TEXT} AS text, {SOURCE} AS source_lang, {TARGET} AS target_lang FROM documents)"
+_REQ = f"req AS (SELECT doc_id AS request_id, coalesce(text, '') AS text, {SOURCE} AS source_lang, {TARGET} AS target_lang FROM documents)"
 _PAIR = _REQ + ", pair AS (SELECT request_id, text, coalesce(source_lang, 'en') AS source_lang, coalesce(target_lang, 'zh') AS target_lang FROM req)"
 _BOOK = "book AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in P.PHRASES) + ") AS t(source_text, phrase))"
 _TOK = "tok AS (SELECT doc_id AS task_id, unnest(string_split(text, '')) AS piece, generate_subscripts(string_split(text, ''), 1) AS seq FROM documents WHERE text <> '')"
-_ANSWER = f"CASE WHEN text = '' THEN '' ELSE coalesce(phrase, '{P.ANSWER_OPEN}' || text || '{P.ANSWER_CLOSE}') END"
+_ANSWER = f"CASE WHEN text = '' THEN '' ELSE coalesce(phrase, '{P.ANSWER_OPEN}' || text || '{P.answer_close()}') END"
 
 
 def _responses(book: str) -> str:
@@ -213,6 +295,15 @@ r AS (SELECT n.task_id, coalesce(string_agg(piece, '' ORDER BY seq), '') AS raw_
 s AS (SELECT task_id, NOT cancelled AS success, rtrim(raw_text, chr(32) || chr(10) || chr(13) || chr(9)) AS full_text, raw_text, CASE WHEN cancelled THEN '{R.CANCELLED}' ELSE '' END AS error_message, n_tokens::INTEGER AS n_tokens,
   CASE WHEN cancelled THEN 'cancelled' WHEN n_tokens = 4096 THEN 'max_tokens' WHEN n_tokens = 4096 - p THEN 'context' WHEN control IS NOT NULL THEN 'control' ELSE 'end' END AS stop_reason FROM n JOIN r USING (task_id))
 """
+_ASSEMBLED_OCR = f"""WITH {_TOK}, b AS (SELECT doc_id AS task_id, 3000 + doc_id % 1000 AS p, CASE WHEN doc_id % 100 = 0 THEN 100 END AS k FROM documents),
+c AS (SELECT task_id, count(*) AS total, min(CASE WHEN piece = chr(10) THEN seq END) AS control FROM tok GROUP BY task_id),
+m AS (SELECT b.task_id, p, k, control, coalesce(control - 1, total, 0) AS spoken, least(coalesce(control - 1, total, 0), 8193 - p) AS most FROM b LEFT JOIN c USING (task_id)),
+n AS (SELECT *, coalesce(k <= most, false) AS cancelled, CASE WHEN k <= most THEN k ELSE most END AS n_tokens FROM m),
+r AS (SELECT n.task_id, coalesce(string_agg(piece, '' ORDER BY seq), '') AS raw_text FROM n LEFT JOIN tok ON tok.task_id = n.task_id AND seq <= n_tokens GROUP BY n.task_id),
+s AS (SELECT task_id, NOT cancelled AND spoken <= 8192 - p AS success, CASE WHEN cancelled THEN raw_text ELSE rtrim(raw_text, chr(32) || chr(10) || chr(13) || chr(9)) END AS full_text, raw_text,
+  CASE WHEN cancelled THEN '{R.CANCELLED}' WHEN spoken > 8192 - p THEN '{K.DECODE_ERROR_OCR}' ELSE '' END AS error_message, n_tokens::INTEGER AS n_tokens,
+  CASE WHEN cancelled THEN 'cancelled' WHEN spoken > 8192 - p THEN 'error' WHEN control IS NOT NULL THEN 'control' ELSE 'end' END AS stop_reason FROM n JOIN r USING (task_id))
+"""
 _CODE = "coalesce((SELECT code FROM lang_t WHERE code_name = {0}), 'AutoDetect')"
 _NAME = "coalesce((SELECT display_name FROM lang_t WHERE code_name = {0}), (SELECT display_name FROM lang_t WHERE ordinal = 0))"
 _TASK = "CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(T.OCR_TASKS)) + " ELSE 'ocr' END"
@@ -224,14 +315,23 @@ def _sql_text(s: str) -> str:
     return " || ".join(f"'{part}'" if part else "''" for part in s.split("\n")).replace(" || ", " || chr(10) || ")
 
 
+_HISTORY = f"WITH {_PAIR}, {_BOOK} SELECT request_id::VARCHAR AS id, text AS source_text, {_ANSWER} AS translated_text, source_lang, target_lang, 1700000000 + request_id AS ts FROM pair LEFT JOIN book ON text = source_text WHERE text <> ''"
+_NO_MODEL = f"WITH {_REQ} SELECT request_id, text = '' AS success, text AS original_text, '' AS translated_text, CASE WHEN text = '' THEN '' ELSE '{R.NOT_LOADED}' END AS error_message, strlen(text) AS source_char_count, 0::BIGINT AS target_char_count FROM req"
+_PREVIEW = f"WITH {_REQ}, {_BOOK} SELECT request_id, CASE WHEN text = '' THEN '' WHEN phrase IS NOT NULL THEN phrase WHEN contains(text, 'Hello') THEN '{P.greeting()}' ELSE '{P.PREVIEW}' || text END AS preview FROM req LEFT JOIN book ON text = source_text"
+_SEEN = f"""WITH i AS (SELECT {IMAGE} AS path, {_TASK} AS task_type, html, page_id % 6 <> 5 AS there FROM pages),
+t AS (SELECT path, there, strlen(html) AS size, CASE WHEN there AND {{ready}} AND strlen(html) > 0 THEN rtrim(task_type || ': ' || html, chr(32) || chr(10) || chr(13) || chr(9)) ELSE '' END AS text FROM i)
+SELECT path, there AND {{ready}} AND size > 0 AS success, text, CASE WHEN NOT there THEN '{jobs.NO_IMAGE}' || path || ')' WHEN size = 0 THEN '{jobs.BAD_IMAGE}' || path || ')' WHEN NOT {{ready}} THEN '{jobs.NOT_LOADED_OCR}' ELSE '' END AS error_message, length(text) AS n_chars FROM t"""
+
 ORACLE_SQL = {
     "translate_batch": _responses(_BOOK),
     "engine_map_in_pandas": _responses(_BOOK),
     "translate_batch_memory": _responses(_MEMORY),
-    "translate_no_model": f"WITH {_REQ} SELECT request_id, text = '' AS success, text AS original_text, '' AS translated_text, CASE WHEN text = '' THEN '' ELSE '{R.NOT_LOADED}' END AS error_message, strlen(text) AS source_char_count, 0::BIGINT AS target_char_count FROM req",
+    "translate_no_model": _NO_MODEL,
+    "engine_not_loaded": _NO_MODEL,
     "task_status": f"WITH {_REQ} SELECT request_id, CASE WHEN text <> '' AND request_id % 2 <> 0 THEN 'Failed' WHEN request_id % 6 <> 2 THEN 'Completed' ELSE 'Pending' END AS status FROM req",
-    "quick_preview": f"WITH {_REQ}, {_BOOK} SELECT request_id, CASE WHEN text = '' THEN '' WHEN phrase IS NOT NULL THEN phrase WHEN contains(text, 'Hello') THEN '{P.GREETING}' ELSE '{P.PREVIEW}' || text END AS preview FROM req LEFT JOIN book ON text = source_text",
-    "resolve_languages": f"WITH {_LANG}, {_REQ}, r AS (SELECT request_id, source_lang FROM req UNION ALL SELECT request_id, upper(source_lang) FROM req), c AS (SELECT request_id, source_lang, coalesce(code, 'AutoDetect') AS code FROM r LEFT JOIN lang_t ON code_name = source_lang) SELECT request_id, source_lang, c.code, code_name, display_name, c.code AS back FROM c JOIN lang_t ON lang_t.code = c.code",
+    "quick_preview": _PREVIEW,
+    "engine_quick_preview": _PREVIEW,
+    "resolve_languages": f"WITH {_LANG}, {_REQ}, r AS (SELECT request_id, source_lang FROM req UNION ALL SELECT request_id, upper(source_lang) FROM req), c AS (SELECT request_id, source_lang, coalesce(code, 'AutoDetect') AS code FROM r LEFT JOIN lang_t ON code_name = source_lang) SELECT request_id, source_lang, c.code, code_name, display_name, c.code AS back, c.code AS by_display FROM c JOIN lang_t ON lang_t.code = c.code",
     "default_pair": f"WITH {_PAIR} SELECT request_id, source_lang, target_lang FROM pair",
     "eligible_targets": f"WITH {_LANG}, {_REQ} SELECT request_id, target_lang FROM req SEMI JOIN lang_t ON code_name = target_lang AND code <> 'AutoDetect'",
     "ineligible_targets": f"WITH {_LANG}, {_REQ} SELECT request_id, target_lang FROM req ANTI JOIN lang_t ON code_name = target_lang AND code <> 'AutoDetect'",
@@ -246,8 +346,17 @@ ORACLE_SQL = {
     "running_char_count": f"WITH {_TOK}, r AS (SELECT task_id, sum(length(piece)) OVER (PARTITION BY task_id ORDER BY seq) AS n_chars FROM tok) SELECT task_id, max(n_chars)::BIGINT AS n_chars, sum(n_chars)::BIGINT AS sum_chars FROM r GROUP BY task_id",
     "assemble_streams": _ASSEMBLED + "SELECT * FROM s",
     "render_result": _ASSEMBLED + f"SELECT task_id, CASE WHEN success THEN full_text ELSE raw_text || {_sql_text(R.STOPPED_NOTE)} END AS shown FROM s",
+    "assemble_ocr_streams": _ASSEMBLED_OCR + "SELECT * FROM s",
+    "render_ocr_result": _ASSEMBLED_OCR + f"SELECT task_id, CASE WHEN success THEN full_text WHEN error_message = '{R.CANCELLED}' THEN raw_text || {_sql_text(R.STOPPED_NOTE_OCR)} ELSE '{R.ERROR_PREFIX_OCR}' || error_message END AS shown FROM s",
     "supersede_requests": f"WITH s AS (SELECT user_id AS session_id, event_id AS request_id, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < ts + to_minutes(ceil(value)::BIGINT), false) AS c FROM events) SELECT session_id, request_id, c::INTEGER AS cancelled, CASE WHEN c THEN '{R.CANCELLED}' ELSE '' END AS error_message FROM s",
-    "history_admitted": f"WITH {_PAIR}, {_BOOK} SELECT request_id::VARCHAR AS id, text AS source_text, {_ANSWER} AS translated_text, source_lang, target_lang, 1700000000 + request_id AS ts FROM pair LEFT JOIN book ON text = source_text WHERE text <> ''",
+    "history_admitted": _HISTORY,
+    "history_scan": _HISTORY,
+    "history_append_clear": f"SELECT id, ts, target_lang, count(*) * 2 AS n FROM ({_HISTORY}) GROUP BY ALL",
+    "requests_read": f"WITH {_REQ} SELECT request_id, text, source_lang, target_lang FROM req",
+    "images_read": f"SELECT {IMAGE} AS name, strlen(html) AS length, sha256(html) AS content_sha256 FROM pages WHERE page_id % 6 <> 5",
     "ocr_prompt": f"WITH i AS (SELECT {IMAGE} AS path, {_TASK} AS task_type FROM pages) SELECT path, task_type, {_sql_text(T.CHAT_OPEN)} || '<__media__>' || chr(10) || {_PREFIX} || {_sql_text(T.CHAT_CLOSE)} AS prompt FROM i",
+    "recognize_batch": _SEEN.format(ready="true"),
+    "recognize_no_model": _SEEN.format(ready="false"),
+    "stream_assemble": _ASSEMBLED + "SELECT * FROM s",
     "stream_translate": f"WITH {_PAIR}, {_BOOK} SELECT request_id::VARCHAR AS id, text AS source_text, {_ANSWER} AS translated_text, source_lang, target_lang FROM pair LEFT JOIN book ON text = source_text WHERE text <> ''",
 }

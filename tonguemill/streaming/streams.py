@@ -11,77 +11,83 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tonguemill.operators.history import admit_history
 from tonguemill.operators.phrasebook import translate_phrasebook
-from tonguemill.operators.requests import CANCELLED, apply_default_pair, respond
+from tonguemill.operators.requests import CANCELLED, RESPONSE, apply_default_pair, respond
 from tonguemill.operators.tokens import CONTEXT, DECODE_ERROR, MAX_TOKENS
 
 RESULT = "task_id bigint, success boolean, full_text string, raw_text string, error_message string, n_tokens int, stop_reason string"
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_translate(requests: DataFrame, book: DataFrame, responses: str, history: str, checkpoint: str):
     """Answers a stream of requests and files the good ones. Each batch overwrites its own partition, so a replay repeats nothing."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = apply_default_pair(rows)
-        answered = respond(translate_phrasebook(rows, book).withColumn("error_message", F.lit(None).cast("string")))
-        answered.write.mode("overwrite").parquet(f"{responses}/batch={number}")
-        pair = rows.select("request_id", "source_lang", "target_lang", F.current_timestamp().alias("ts"))
-        admit_history(answered.join(pair, "request_id"), streamed=True).write.mode("overwrite").parquet(f"{history}/batch={number}")
+        rows = translate_phrasebook(apply_default_pair(rows), book).withColumns({"error_message": F.lit(None).cast("string"), "ts": F.current_timestamp()})
+        answered = respond(rows, keep=("source_lang", "target_lang", "ts")).persist()
+        answered.select(*RESPONSE).write.mode("overwrite").parquet(f"{responses}/batch={number}")
+        admit_history(answered, streamed=True).write.mode("overwrite").parquet(f"{history}/batch={number}")
+        answered.unpersist()
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class _Assemble(StatefulProcessor):
-    """Pieces of a task until it ends: list state of pieces, cleared by the terminal event."""
+    """Pieces of a task until it ends: list state that grows by what each batch brings, read once, at the terminal event."""
 
-    def __init__(self, max_tokens: int, context: int):
-        self.max_tokens, self.context = max_tokens, context
+    def __init__(self, max_tokens: int, context: int, ttl: int | None):
+        self.max_tokens, self.context, self.ttl = max_tokens, context, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pieces = handle.getListState("pieces", "seq int, piece string")
-        self.ended = handle.getValueState("ended", "done boolean")
+        self.pieces = handle.getListState("pieces", "seq bigint, piece string", self.ttl)
+        self.count = handle.getValueState("count", "n int", self.ttl)
+        self.ended = handle.getValueState("ended", "done boolean", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        parts = list(rows)  # one task's events of one batch
         if self.ended.exists():
-            for _ in rows:
-                pass
             return
-        known = [(r[0], r[1]) for r in self.pieces.get()] if self.pieces.exists() else []
-        n = len(known)
-        for part in rows:
-            for row in part.sort_values("seq", kind="stable").itertuples(index=False):
-                room = self.context - int(row.prompt_tokens)
-                if row.event == "cancel":
-                    reason = "cancelled"
-                elif room < 0:
-                    reason = "error"
-                elif n >= self.max_tokens:
-                    reason = "max_tokens"
-                elif n >= room:
-                    reason = "context"
-                elif row.event == "end":
-                    reason = "end"
-                elif row.is_control:
-                    reason = "control"
-                else:
-                    known.append((int(row.seq), row.piece))
-                    n += 1
-                    continue
-                raw = "" if reason == "error" else "".join(p for _, p in known)
-                error = {"cancelled": CANCELLED, "error": DECODE_ERROR}.get(reason, "")
-                self.pieces.clear()
-                self.ended.update((True,))
-                yield pd.DataFrame([(key[0], not error, raw.rstrip(" \n\r\t"), raw, error, 0 if reason == "error" else n, reason)], columns=[c.split()[0] for c in RESULT.split(", ")])
-                return
-        if known:
-            self.pieces.put(known)
+        n, new = self.count.get()[0] if self.count.exists() else 0, []
+        for row in pd.concat(parts).sort_values("seq", kind="stable").itertuples(index=False):
+            room = self.context - int(row.prompt_tokens)
+            if row.event == "cancel":
+                reason = "cancelled"
+            elif room < 0:
+                reason = "error"
+            elif n >= self.max_tokens:
+                reason = "max_tokens"
+            elif n >= room:
+                reason = "context"
+            elif row.event == "end":
+                reason = "end"
+            elif row.is_control:
+                reason = "control"
+            else:
+                new.append((int(row.seq), row.piece))
+                n += 1
+                continue
+            known = [(r[0], r[1]) for r in self.pieces.get()] if self.pieces.exists() else []
+            raw = "" if reason == "error" else "".join(p for _, p in sorted([*known, *new], key=lambda x: x[0]))
+            error = {"cancelled": CANCELLED, "error": DECODE_ERROR}.get(reason, "")
+            self.pieces.clear()
+            self.count.clear()
+            self.ended.update((True,))
+            yield pd.DataFrame([(key[0], not error, raw.rstrip(" \n\r\t"), raw, error, 0 if reason == "error" else n, reason)], columns=[c.split()[0] for c in RESULT.split(", ")])
+            return
+        if new:
+            self.pieces.appendList(new)
+            self.count.update((n,))
 
     def close(self) -> None:
         pass
 
 
-def stream_assemble(events: DataFrame, max_tokens: int = MAX_TOKENS, context: int = CONTEXT) -> DataFrame:
+def stream_assemble(events: DataFrame, max_tokens: int = MAX_TOKENS, context: int = CONTEXT, ttl_ms: int | None = None) -> DataFrame:
     """A result row for each task once it ends, from events (task_id, seq, piece, is_control, event, prompt_tokens).
 
-    event: token, cancel or end. A task without a terminal event gives nothing.
+    event: token, cancel or end. A task without a terminal event gives nothing. Pieces may come in any order and over any number of
+    batches, they are joined by seq; what ends the task (control, cap, cancel, end) ends it with what has come by then,
+    and what comes later is ignored. With ttl_ms, tasks that have heard nothing for so long (processing time) are
+    forgotten, and so are the marks of ended ones; without it both stay. Such a query ends under availableNow only where
+    spark.sql.streaming.noDataMicroBatches.enabled is false.
     """
-    return events.groupBy("task_id").transformWithStateInPandas(_Assemble(max_tokens, context), RESULT, "Append", "None")
+    return events.groupBy("task_id").transformWithStateInPandas(_Assemble(max_tokens, context, ttl_ms), RESULT, "Append", "None" if ttl_ms is None else "ProcessingTime")
