@@ -3,32 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; texts may be long, so far fewer than Spark's default.
-BATCH_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset (local tests) a temporary folder is made and set on the context.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from tonguemill.sources.shared import new_path, shared_dir
 
+__all__ = ["new_path", "shared_dir"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Rows in an Arrow batch; texts may be long, so far fewer than Spark's default.
+BATCH_ROWS = 1000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +24,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch for the session, since one row may hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
