@@ -146,23 +146,25 @@ def places(pointers: DataFrame) -> DataFrame:
 
 
 def _ranges(places_df: DataFrame, folder: str, columns: str, read) -> DataFrame:
-    """read(open file, offset, length) -> values, for each place; files are opened once a shard."""
-    names = ["digest", *(c.split()[0] for c in columns.split(", "))]
+    """places_df with columns of read(open file, offset, length), for each place; runs of a shard open its file once."""
+    names = [*places_df.columns, *(c.split()[0] for c in columns.split(", "))]
+    schema = f"{places_df.schema.simpleString()[7:-1]}, {columns}"
+    own = [places_df.columns.index(c) for c in ("shard", "offset", "length")]
 
     def run(batches):
         fs, root = file_system(folder)
         name, f = None, None
         for batch in batches:
-            digests, shards, offsets, lengths = (batch.column(i).to_pylist() for i in range(4))
-            rows: list = [None] * len(digests)
-            for i in sorted(range(len(digests)), key=lambda i: (shards[i], offsets[i])):
+            shards, offsets, lengths = (batch.column(i).to_pylist() for i in own)
+            rows: list = [None] * len(shards)
+            for i in sorted(range(len(shards)), key=lambda i: (shards[i], offsets[i])):
                 if shards[i] != name:
                     name, f = shards[i], fs.open_input_file(f"{root}/{shards[i]}")
                 rows[i] = read(f, offsets[i], lengths[i])
-            table = pa.table([digests, *([r[k] for r in rows] for k in range(len(names) - 1))], names=names)
+            table = pa.table([*batch.columns, *([r[k] for r in rows] for k in range(len(names) - len(batch.columns)))], names=names)
             yield from table.to_batches()
 
-    return places_df.select("digest", "shard", "offset", "length").mapInArrow(run, "digest string, " + columns)
+    return places_df.mapInArrow(run, schema)
 
 
 def _head(f, offset: int, length: int) -> tuple:
@@ -171,26 +173,25 @@ def _head(f, offset: int, length: int) -> tuple:
 
 
 def _whole(f, offset: int, length: int) -> tuple:
-    head = _head(f, offset, length)
     f.seek(offset)
     png = f.read(length)
     payload = from_png(png)
-    return (*head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(png), hashlib.sha256(png).hexdigest(), feature(payload))
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(png), hashlib.sha256(png).hexdigest(), feature(payload))
 
 
 def headers(places_df: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, bit_depth by reading HEADER_BYTES of each content."""
+    """places_df with width, height, bit_depth by reading HEADER_BYTES of each content."""
     return _ranges(places_df, folder, "width bigint, height bigint, bit_depth bigint", _head)
 
 
 def features(places_df: DataFrame, folder: str) -> DataFrame:
-    """The header's columns and what the stored bytes say: payload and media sizes, digests, checksum, feature."""
-    return _ranges(places_df, folder, "width bigint, height bigint, bit_depth bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", _whole)
+    """places_df with what the stored bytes say when all are read: payload and media sizes, digests, checksum, feature."""
+    return _ranges(places_df, folder, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", _whole)
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text and returns a row per input row: id, n_bytes, pointer, metadata, features."""
+    """Stores every text and returns a row per input row: id, n_bytes, pointer (digest, shard, offset, length), metadata, features."""
     folder = new_path(df.sparkSession, "media")
     pointers = written(store(df, folder, id_col, text_col), "media-pointers")
-    place = places(pointers)
-    return pointers.select(id_col, "n_bytes", "digest").join(place.join(features(place, folder), "digest"), "digest")
+    facts = features(headers(places(pointers), folder), folder)
+    return pointers.select(id_col, "n_bytes", "digest").join(facts, "digest")
