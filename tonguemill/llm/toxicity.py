@@ -15,7 +15,7 @@ a hash of the id); it is fitted in one task from hashed counts, never from all r
 
 Edge cases: null and empty texts have no words and get the score of the bias alone; no usable label
 of one class gives a constant score (the share of toxic labels, 0 without labels); null ids score
-like any other but are never trained on; repeated rows get equal scores; extra columns are ignored.
+like any other but are never trained on; an id labelled both ways counts as toxic; repeated rows get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batc
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """buckets, weights, label of the bounded sample; rows whose crc32(id) mod 3 is 1 are held out."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & (F.crc32(F.col("_id").cast("string")) % 3 != 1)).dropDuplicates(["_id"])
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & (F.crc32(F.col("_id").cast("string")) % 3 != 1)).groupBy("_id").agg(F.max("_label").alias("_label"))
     order = F.xxhash64("_id", F.lit("sample"))
     pick = known.where("_label = 1").orderBy(order, "_id").limit(TRAIN_POSITIVE).unionByName(known.where("_label = 0").orderBy(order, "_id").limit(TRAIN_NEGATIVE))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(pick), "_id")  # at most TRAIN_POSITIVE + TRAIN_NEGATIVE rows
