@@ -1,13 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of word characters, lower case. A document and a benchmark item that share a seed
+Tokens are runs of word characters, lower case; in scripts written without spaces each character is one. A document and a benchmark item that share a seed
 (SEED consecutive tokens) are tiled: running Karp-Rabin finds the longest common runs of tokens that no
 tile covers yet, the longest are marked first, and the search length shrinks until SEED. The share of the item's
 tokens under tiles is its coverage, whatever order they stand in, so reordered passages count too.
 A document is contaminated when an item's coverage reaches COVERAGE.
 
-The benchmark is broadcast only while its tokens number at most BROADCAST_TOKENS; beyond that, seeds
-are joined by shuffle and only documents and items that share one meet.
+The benchmark is broadcast only while its texts take at most BROADCAST_BYTES; beyond that, seeds
+are joined by shuffle and only documents and items that share one meet. Both ways cut and compare tokens alike.
 
 Edge cases: null and empty texts and items, and items shorter than SEED tokens, match nothing
 (coverage 0, item null); ties in coverage go to the smallest item id; null item ids are ignored;
@@ -29,9 +29,11 @@ from tonguemill.llm.common import mix, put_back, row_key, set_aside
 SEED = 5
 COVERAGE = 0.6
 ADDED = ("coverage", "item_id", "contaminated")
-#: Most benchmark tokens that are broadcast (8 bytes each, and as much again for their seeds).
-BROADCAST_TOKENS = 4_000_000
-_WORD = re.compile(r"\w+")
+#: Most bytes of benchmark text that are broadcast (a worker holds some ten times as much for tokens and seeds).
+BROADCAST_BYTES = 24 << 20
+#: Scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_SINGLE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_SINGLE}]|[^\W{_SINGLE}]+")
 _P = 0x9E3779B97F4A7C15 | 1
 
 
@@ -135,7 +137,7 @@ class Benchmark:
 
 def _flag(df: DataFrame, make, text_col: str) -> DataFrame:
     keep = [c for c in df.columns if c not in ADDED]
-    schema =df.select(*keep).schema.add("coverage", "double").add("item_id", "long").add("contaminated", "boolean")
+    schema = df.select(*keep).schema.add("coverage", "double").add("item_id", "long").add("contaminated", "boolean")
     place = keep.index(text_col)
 
     def run(batches):
@@ -150,10 +152,20 @@ def _flag(df: DataFrame, make, text_col: str) -> DataFrame:
 
 def _seeds_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, _key, seed: distinct seeds, hashed over word hashes that need no common vocabulary."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-    rows = df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), words.alias("w")).where(F.size("w") >= SEED)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - SEED + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, SEED), " ")))
-    return rows.select("_id", "_key", F.explode(F.array_distinct(grams)).alias("seed"))
+    rows = df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            seeds = []
+            for text in batch.column(2).to_pylist():
+                words = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in tokens(text)], np.uint64)
+                seeds.append(np.unique(gram_hashes(words, SEED)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seeds, pa.list_(pa.int64()))], ["_id", "_key", "seeds"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"_id {kind}, _key bigint, seeds array<bigint>").select("_id", "_key", F.explode("seeds").alias("seed"))
 
 
 def _flag_by_join(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,12 +197,12 @@ def _flag_by_join(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
     return put_back(found, keep | {c: c for c in ADDED})
 
 
-def flag(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+def flag(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df with coverage (highest of an item), item_id (that item) and contaminated, which replace columns so named."""
     spark = df.sparkSession
-    size = benchmark.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\W+")))).first()[0] or 0
-    if size > broadcast_tokens:
+    size = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    if size > broadcast_bytes:
         return _flag_by_join(df, benchmark, id_col, text_col)
     items = sorted((r.item_id, r.text or "") for r in benchmark.select("item_id", "text").where("item_id is not null").distinct().toLocalIterator())
-    shipped = spark.sparkContext.broadcast(items)  # at most broadcast_tokens tokens, counted above
+    shipped = spark.sparkContext.broadcast(items)  # at most broadcast_bytes, counted above
     return _flag(df, lambda: Benchmark(shipped.value), text_col)
