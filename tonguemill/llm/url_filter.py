@@ -3,7 +3,8 @@
 Each pattern rule is a regular expression with literal tokens that any matching URL contains as
 whole tokens (runs of letters and digits, lower case). How many URLs of the table hold each token is
 counted, each rule is filed under its rarest one, a URL's tokens fetch the rules filed under them,
-and only those rules' expressions run on that URL.
+and only those rules' expressions run on that URL. A rule without tokens runs on every URL; at most MOST_ALWAYS
+such rules are taken (more raise). Expressions see the URL with its scheme and host in lower case.
 
 Above the pattern rules stand host rules (allow or block for a host with its subdomains and a path
 prefix); the longest that fits decides, and the pattern rules decide the rest.
@@ -30,23 +31,33 @@ PATTERN_RULES = (
     ("adult host", r"://([^/?#]*[.-])?xxx[.-]", ("xxx",)),
     ("feed tracking on org", r"\.org/[^?#]*\?utm_source=feed", ("org", "utm", "source", "feed")),
 )
+#: Rules without tokens, which become part of the plan, at most.
+MOST_ALWAYS = 500
 #: Broadcasting is left to Spark's own size check above this many rules.
 MOST_BROADCAST_RULES = 100_000
 
 
+def _lower(text):
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lowered(url):
+    """The URL with A-Z lower-cased up to the end of its host; as it is where it has none."""
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.concat(_lower(head), F.substr(url, F.char_length(head) + 1))
+
+
 def url_parts(url):
     """Host (A-Z lower-cased) and path of a URL column."""
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)  # after the first ://
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(lower, F.lit("")), F.coalesce(path, F.lit(""))
+    return F.coalesce(_lower(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
 def tokens(url):
     """Distinct lower-case runs of letters and digits."""
-    lower = F.translate(url, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(F.coalesce(lower, F.lit("")), "[^a-z0-9]+"), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(F.coalesce(_lower(url), F.lit("")), "[^a-z0-9]+"), lambda t: t != ""))
 
 
 def host_rule(host, path, rules=HOST_RULES):
@@ -60,7 +71,7 @@ def host_rule(host, path, rules=HOST_RULES):
 
 
 def rule_index(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """token, name, pattern: each rule under the one of its tokens that the fewest URLs hold (first by name on ties)."""
+    """token, name, pattern: each rule with tokens under the one that the fewest URLs hold (first by name on ties)."""
     wanted = rules.select("name", "pattern", F.explode("tokens").alias("token"))
     counts = urls.select(F.explode(tokens(F.col(url_col))).alias("token")).join(_small(wanted.select("token").distinct(), rules), "token", "left_semi").groupBy("token").count()
     seen = wanted.join(counts, "token", "left").select("name", "pattern", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token").alias("at"))
@@ -71,6 +82,15 @@ def _small(df: DataFrame, rules: DataFrame) -> DataFrame:
     return F.broadcast(df) if rules.limit(MOST_BROADCAST_RULES + 1).count() <= MOST_BROADCAST_RULES else df
 
 
+def _always(url, rules: DataFrame):
+    """Names of the rules without tokens that match, as an array column."""
+    found = rules.where(F.coalesce(F.size("tokens"), F.lit(0)) <= 0).select("name", "pattern").distinct().orderBy("name", "pattern").limit(MOST_ALWAYS + 1).collect()
+    if len(found) > MOST_ALWAYS:
+        raise ValueError(f"more than {MOST_ALWAYS} rules have no token")
+    hits = F.array(*(F.when(F.rlike(url, F.lit(r.pattern)), F.lit(r.name)) for r in found)).cast("array<string>")
+    return F.filter(hits, lambda n: n.isNotNull())
+
+
 def pattern_rules(spark, rules=PATTERN_RULES) -> DataFrame:
     return spark.createDataFrame([(n, p, list(t)) for n, p, t in rules], "name string, pattern string, tokens array<string>")
 
@@ -82,9 +102,9 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "page_
     distinct = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     index = rule_index(pages, rules, url_col)
     fetched = distinct.select("_url", F.explode(tokens(F.col("_url"))).alias("token")).join(_small(index, rules), "token")
-    hits = fetched.where(F.expr("_url rlike pattern")).groupBy("_url").agg(F.array_sort(F.collect_set("name")).alias("patterns"))
+    hits = fetched.where(F.rlike(lowered(F.col("_url")), F.col("pattern"))).groupBy("_url").agg(F.array_sort(F.collect_set("name")).alias("patterns"))
     rows = pages.select(F.col(id_col), F.col(url_col).alias("_url")).join(hits, "_url", "left")
-    found = rows.select(id_col, host.alias("host"), path.alias("path"), F.coalesce("patterns", F.array().cast("array<string>")).alias("patterns"))
+    found = rows.select(id_col, host.alias("host"), path.alias("path"), F.array_sort(F.array_union(F.coalesce("patterns", F.array().cast("array<string>")), F.coalesce(_always(lowered(F.col("_url")), rules), F.array().cast("array<string>")))).alias("patterns"))
     found = found.withColumn("_rule", host_rule(F.col("host"), F.col("path"), host_rules))
     own = F.when(F.size("patterns") > 0, "block").otherwise("allow")
     return found.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", own).alias("verdict"), "patterns")
