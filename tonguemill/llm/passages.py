@@ -2,11 +2,12 @@
 
 1. Seeds: of each window's WINDOW - SEED + 1 runs of SEED words the one with the smallest hash; equal windows
    have equal seeds, and a seed that occurs once rules out the windows around it.
-2. Confirming: whole windows around recurring seeds are looked up; a window is confirmed for a block
-   when its word sequence also starts earlier (smaller id elsewhere, or as found in the block itself).
+2. Confirming: whole windows around recurring seeds are looked up; a window is confirmed when its word
+   sequence occurs again anywhere, and the answer says whether another block has it under a smaller id.
 3. The confirmed passages of a block are compiled into its own automaton (pyahocorasick): phrases of
-   WINDOW words, end to end along each passage. Every document that holds a later window by its hashes is streamed
-   through it, so the hashes decide and the automaton repeats their decision; each occurrence found is a window that goes, unless it is the first of all.
+   WINDOW words, end to end along each passage and along each part of it that starts earlier elsewhere or does not.
+   Every document of the block is streamed through it, and the occurrences that it finds decide what goes: each
+   one's words, unless it is the first of all.
 
 The automata are sharded with the documents: a block's automaton holds just the phrases that its
 documents can contain, so one pass over each text locates every occurrence and work grows with the
@@ -101,21 +102,21 @@ def _candidates(table: pa.Table, shards: int, found: dict[int, bytes]):
 
 
 def _earlier(h, block, extras, sizes) -> np.ndarray:
-    """1 where another block has the window in a document of a smaller id."""
+    """Bit 0: another block has the window in a document of a smaller id. Bit 1: another block has it."""
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in extras])
     order, group = B.groups(h)
     least = np.minimum.reduceat(ids[order], np.flatnonzero(np.diff(group, prepend=-1)))
     out = np.zeros(len(h), np.uint8)
-    out[order] = least[group] < ids[order]
+    out[order] = (least[group] < ids[order]) | ((np.bincount(group)[group] > 1).astype(np.uint8) << 1)
     return out
 
 
-def _cover(later: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of sorted windows `at`, those marked later, thinned to phrases that lie end to end along each run, its last one included."""
-    at = at[later]
+def _cover(confirmed: np.ndarray, at: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Of sorted windows `at`, those confirmed, thinned to phrases that lie end to end along each run of equal `later`, its last one included."""
+    at, later = at[confirmed], later[confirmed]
     if not len(at):
         return at
-    begins = np.concatenate([[True], np.diff(at) != 1])
+    begins = np.concatenate([[True], (np.diff(at) != 1) | (later[1:] != later[:-1])])
     run = np.cumsum(begins) - 1
     from_begin = at - at[begins][run]
     return at[(from_begin % WINDOW == 0) | np.concatenate([begins[1:], [True]])]
@@ -125,44 +126,39 @@ def _locate(table: pa.Table, shards: int, answers: pa.Table, keep_text: bool) ->
     import ahocorasick
 
     ids, groups, asked = _candidates(table, shards, B.answered(answers, 1))
-    elsewhere = asked.codes(shards, B.answered(answers, 2)) == 1
-    removed: list = [None] * len(ids)
-    facts, texts_of = [], {}
+    code = asked.codes(shards, B.answered(answers, 2))
+    elsewhere, again = code & 1 == 1, code & 2 == 2
+    places = [asked.find(h) for _, _, _, h in groups]
+    again |= np.bincount(np.concatenate(places) if places else np.zeros(0, np.int64), minlength=len(again)) > 1
     automaton = ahocorasick.Automaton()
-    for rows, words, at, h in groups:
-        place = asked.find(h)
+    for (rows, words, at, _), place in zip(groups, places, strict=True):
         row = rows[words.text[at]]
-        # the first occurrence within a document stays where no smaller id has the window
         order = np.lexsort((at, row, place))
-        new = np.concatenate([[True], (np.diff(place[order]) != 0) | (np.diff(row[order]) != 0)]) if len(order) else np.zeros(0, bool)
-        first_here = np.zeros(len(at), bool)
-        first_here[order] = new
+        first_here = np.ones(len(at), bool)
+        first_here[order[1:]] = (np.diff(place[order]) != 0) | (np.diff(row[order]) != 0)
         later = elsewhere[place] | (ids[row] > asked.values[place]) | ~first_here
-        facts.append(later)
-        for w in _cover(later, at).tolist():
+        for w in _cover(again[place], at, later).tolist():
             t = words.text[w]
             k = w - words.first[t]
             phrase = b" " + b" ".join(words.words[t][k : k + WINDOW]) + b" "
-            automaton.add_word(phrase.decode("latin-1"), int(np.searchsorted(asked.hashes, h[np.searchsorted(at, w)])))
+            automaton.add_word(phrase.decode("latin-1"), int(place[np.searchsorted(at, w)]))
     out = []
-    busy = len(automaton) > 0
-    if busy:
+    if len(automaton):
         automaton.make_automaton()
-    for (rows, words, at, _), later in zip(groups, facts, strict=True):
-        touched = set(words.text[at[later]].tolist())
+    for rows, words, _, _ in groups:
         for t, (row, line, own) in enumerate(zip(rows.tolist(), words.lines, words.words, strict=True)):
             gone = np.zeros(len(own) + 1, np.int64)
-            if t in touched:
+            hits = list(automaton.iter(f" {line.decode('latin-1')} ")) if len(automaton) and len(own) >= WINDOW else []
+            if hits:
+                stop, place = np.array(hits, np.int64).T
                 base = words.first[t]
-                begin = words.start[base : base + len(own)] - words.start[base]
-                end_of = begin + [len(w) for w in own]
-                seen = set()
-                for stop, place in automaton.iter(f" {line.decode('latin-1')} "):
-                    k = int(np.searchsorted(end_of, stop - 1)) - WINDOW + 1
-                    if elsewhere[place] or ids[row] > asked.values[place] or place in seen:
-                        gone[k] += 1
-                        gone[k + WINDOW] -= 1
-                    seen.add(place)
+                ends = words.end[base : base + len(own)] - words.start[base]
+                at = np.searchsorted(ends, stop - 1) - WINDOW + 1
+                repeats = np.ones(len(place), bool)
+                repeats[np.unique(place, return_index=True)[1]] = False  # occurrences come in order
+                at = at[elsewhere[place] | (ids[row] > asked.values[place]) | repeats]
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + WINDOW, -1)
             cover = np.cumsum(gone[:-1]) > 0
             kept = b" ".join(w for w, g in zip(own, cover.tolist(), strict=True) if not g) if cover.any() else line
             out.append((row, len(own), int(cover.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if keep_text else None))
