@@ -91,6 +91,18 @@ def test_passages(spark, docs):
     assert passages.repeated_passages(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_passages_in_many_blocks(spark, docs, monkeypatch):
+    """Small blocks, a passage in a third of the documents, and passages cut at other places in each."""
+    monkeypatch.setattr(passages.B, "BLOCK_BYTES", 3000)
+    rng = random.Random(12)
+    text = [f"w{rng.randrange(999)}" for _ in range(200)]
+    more = [(d, t) for d, t in docs if len(t or "") < 6000][:150]
+    more += [(7000 + i, " ".join(["own", str(i), *text[(a := rng.randrange(150)) : a + rng.randrange(15, 60)], "end", *text[:25], *text[5:30]])) for i in range(90)]
+    rng.shuffle(more)
+    got = passages.repeated_passages(frame(spark, more))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == Counter(brute_passages(more))
+
+
 def brute_lines(docs):
     first, split = {}, [(d, (t or "").split("\n")) for d, t in docs]
     runs = {d: [k for k, x in enumerate(ls) if x.strip(" \t\r")] for d, ls in split}
@@ -150,11 +162,25 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {1: 0, 2: 1, 7: 11}
     for limit in (10**6, 1):
-        got = {r.doc_id: r for r in decontam.flag(frame(spark, docs), bench, broadcast_tokens=limit).collect()}
+        got = {r.doc_id: r for r in decontam.flag(frame(spark, docs), bench, broadcast_bytes=limit).collect()}
         assert {d: r.item_id for d, r in got.items() if r.contaminated} == want and got[4].coverage == 0 and 0 < got[6].coverage < 0.6
     assert decontam.tile(np.array([1, 2, 3, 4, 5, 6], np.uint64), np.array([4, 5, 6, 9, 1, 2, 3], np.uint64), 3) == 6
 
 
+def test_decontamination_beyond_ascii(spark):
+    rng = random.Random(8)
+    word = lambda low, n: "".join(chr(low + rng.randrange(24)) for _ in range(n))
+    cyrillic, han, accents = [" ".join(word(0x430, 6) for _ in range(20)), word(0x4E10, 30), " ".join(f"e\u0301t{i}\u0130" for i in range(20))]
+    benchmark = spark.createDataFrame([(1, cyrillic), (2, han), (3, accents)], "item_id long, text string")
+    docs = [(1, f"x {cyrillic.upper()} y"), (2, f"前文{han}后文"), (3, f"{accents} end"), (4, han[:4]), (5, " ".join(word(0x430, 6) for _ in range(40)))]
+    seen = []
+    for limit in (10**6, 1):
+        seen.append({r.doc_id: (r.item_id, r.coverage) for r in decontam.flag(frame(spark, docs), benchmark, broadcast_bytes=limit).collect()})
+    assert seen[0] == seen[1] and {d: i for d, (i, c) in seen[0].items() if c >= 0.6} == {1: 1, 2: 2, 3: 3}
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert size > sum(map(len, (cyrillic, han, accents)))  # the bound counts bytes
+
+
 def test_simhash(spark, docs):
     rng = random.Random(3)
     base = " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(400)).split()
@@ -187,6 +213,18 @@ def test_urls(spark):
     assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow") and got[7][3] == "block" and got[8] == ("y.com", "", None, "allow") and got[9][3] == "allow"
 
 
+def test_url_rules_without_tokens_and_case(spark):
+    urls = ["http://X.SPAM-Farm.ORG/A", "HTTP://X.spam-farm.ORG/", "http://ads12.com/", "http://a.com/ADS3.x", "http://a.com/ads3.x", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filter.pattern_rules(spark, (*url_filter.PATTERN_RULES, ("ads", r"ads[0-9]*\.", ())))
+    rules = rules.union(spark.createDataFrame([("path", r"/A$", None)], rules.schema))
+    got = {r.page_id: (r.verdict, r.patterns) for r in url_filter.judge(pages, rules, host_rules=()).collect()}
+    assert got == {0: ("block", ["path", "spam farm host"]), 1: ("block", ["spam farm host"]), 2: ("block", ["ads"]), 3: ("allow", []), 4: ("block", ["ads"]), 5: ("allow", [])}
+    many = spark.createDataFrame([(f"r{i}", f"x{i}", []) for i in range(url_filter.MOST_ALWAYS + 1)], rules.schema)
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, many)
+
+
 def brute_bytes(docs):
     seen = Counter()
     for _, t in dict.fromkeys(docs):
@@ -291,7 +329,7 @@ OPERATORS = {
     "passages": passages.repeated_passages,
     "lines": lines.report,
     "decontamination": lambda d: decontam.flag(d, bench(d.sparkSession)),
-    "decontamination by join": lambda d: decontam.flag(d, bench(d.sparkSession), broadcast_tokens=0),
+    "decontamination by join": lambda d: decontam.flag(d, bench(d.sparkSession), broadcast_bytes=0),
     "simhash": simhash.near_duplicates,
     "suffix": suffix.repeated_bytes,
     "pii": pii.report,

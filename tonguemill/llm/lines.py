@@ -2,17 +2,17 @@
 
 A document is the sequence of its non-blank lines. Every window of RUN consecutive lines selects the
 line with the smallest hash (leftmost on ties) as its fingerprint, so equal windows select equal
-lines and every repeated run of RUN lines is guaranteed one. Fingerprints that occur once are done
-with. At the positions of the others the match is extended both ways: the RUN-line windows around the
-fingerprint are compared as wholes. A line goes when some window over it also starts earlier (smaller id,
-or same document and earlier line); overlapping windows make up longer runs. Windows are judged on
+lines and every repeated run of RUN lines is guaranteed one. Only selected lines become rows; those whose hash
+occurs at one place alone are done with. The other places are joined, and the match is extended both ways: the
+windows around each of them that selected it are compared as wholes. A line goes when some window over it also starts
+earlier (smaller id, or same document and earlier line); overlapping windows make up longer runs. Windows are judged on
 the input, not on what is left. Blank lines (only space, tab, carriage return) stay.
 
 With `over` given, every run of one or two lines that holds more than that many words is a window as well,
 marked and judged in the same way, so passages in a few long lines go too, also in documents under RUN lines.
 Words are runs other than ASCII white space.
 
-Nothing is paired within a group: counts and first places are pre-aggregated, and each position
+Nothing is paired within a group: marks and first places are pre-aggregated, and each position
 meets one row of its key.
 
 Edge cases: null text stays null and has no lines; empty text stays empty; documents with fewer than
@@ -43,33 +43,50 @@ def _places(lines):
     return F.filter(F.transform(lines, lambda x, k: F.when(F.trim(x, F.lit(_BLANK)) != "", k)), lambda k: k.isNotNull())
 
 
-def windows(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", over: int | None = None) -> DataFrame:
-    """id, _key, at (number of the window's first non-blank line), size (in lines), mark (hash of the selected line), whole (digest of the lines)."""
+def fingerprints(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", over: int | None = None) -> DataFrame:
+    """One row a selected line: id, _key, place (hash of document and line), mark (hash of the line), around (the windows that
+    selected it: at, the number of their first non-blank line, size in lines, whole, a digest)."""
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.filter(_lines(F.col(text_col)), lambda x: F.trim(x, F.lit(_BLANK)) != "").alias("lines"))
     rows = rows.where(F.size("lines") >= (run if over is None else 1)).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    one = lambda n: lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_min(F.slice("hashes", i + 1, n)).alias("mark"), F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, n), "\n"))).alias("whole"))
-    starts = lambda n: F.when(F.size("lines") >= n, F.sequence(F.lit(0), F.size("lines") - n)).otherwise(F.array().cast("array<int>"))
-    found = F.transform(starts(run), one(run))
+    sizes = [run]
     if over is not None:
         rows = rows.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))))
-        holds = lambda n: lambda i: F.aggregate(F.slice("words", i + 1, n), F.lit(0), lambda acc, k: acc + k) > over
-        found = F.concat(found, *(F.transform(F.filter(starts(n), holds(n)), one(n)) for n in (1, 2) if n < run))
-    return rows.select("id", "_key", F.explode(found).alias("w")).select("id", "_key", "w.*").repartition("id", "_key").distinct()  # a document's rows together pack better
+        sizes += [n for n in (1, 2) if n < run]
+
+    def window(at, n, offset):
+        """The window of n lines in which line `at` stands at `offset`, where it selects that line."""
+        first = at - offset
+        part = lambda c: F.slice(c, F.greatest(first, F.lit(0)) + 1, n)
+        inside = (first >= 0) & (first + n <= F.size("lines"))
+        holds = F.lit(True) if n == run else F.aggregate(part("words"), F.lit(0), lambda acc, k: acc + k) > over
+        chosen = F.array_position(part("hashes"), F.array_min(part("hashes"))) == offset + 1
+        whole = F.unhex(F.md5(F.array_join(part("lines"), "\n")))
+        return F.when(inside & holds & chosen, F.struct(first.alias("at"), F.lit(n).alias("size"), whole.alias("whole")))
+
+    around = lambda at: F.array_compact(F.array(*(window(at, n, o) for n in sizes for o in range(n))))
+    each = F.transform("hashes", lambda mark, at: F.struct(at.alias("line"), mark.alias("mark"), around(at).alias("around")))
+    picked = rows.select("id", "_key", F.explode(F.filter(each, lambda f: F.size(f["around"]) > 0)).alias("f"))
+    return picked.select("id", "_key", F.xxhash64("_key", "id", "f.line").alias("place"), "f.mark", "f.around")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """id, _key, at, size of the windows that also start earlier."""
+    """id, _key, at, size of the windows of the fingerprints `found` that also start earlier.
+
+    Places that share a mark are extended to the windows around them, and each window meets the first of its kind. Marks
+    and first places are pre-aggregated and written, so the joins' hot keys are split by Spark's skew join.
+    """
     found = written(found, "lines")
-    marks = found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    joined = found.join(marks, "mark", "left_semi").select("id", "_key", "at", "size", "whole")
-    place = F.struct("id", "_key", "at")
-    first = joined.groupBy("whole").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", "first")
-    return joined.join(first, "whole").where((place > F.col("first"))).select("id", "_key", "at", "size", "first")
+    several = F.min("place") != F.max("place")  # rows of equal documents have equal places
+    marks = written(found.groupBy("mark").agg(several.alias("again")).where("again").select("mark"), "lines-marks")
+    near = written(found.join(marks, "mark", "left_semi").select("id", "_key", "place", F.explode("around").alias("w")).select("id", "_key", "place", "w.*"), "lines-near")
+    start = F.struct("id", "_key", "at")
+    first = written(near.groupBy("whole").agg(F.min(start).alias("first"), several.alias("again")).where("again").select("whole", "first"), "lines-first")
+    return near.join(first, "whole").where(start > F.col("first")).select("id", "_key", "at", "size").distinct()
 
 
 def marked(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", over: int | None = None) -> DataFrame:
     """df with `_starts`: the later windows of each row (null: none), or with `over` their lines."""
-    later = repeated(windows(df, run, id_col, text_col, over))
+    later = repeated(fingerprints(df, run, id_col, text_col, over))
     starts = F.collect_set("at") if over is None else F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("size") - 1))))
     # the same id with other text is another document; the same id and text is the same one
     later = later.groupBy("id", "_key").agg(F.array_sort(starts).alias("_starts")).select(F.col("id").alias("_id2"), F.col("_key").alias("_key2"), "_starts")

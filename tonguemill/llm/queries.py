@@ -18,7 +18,7 @@ def _vocabulary() -> tuple[str, str]:
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = media.media_columns(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "digest", "shard", "offset", "length")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +36,7 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(documents(spark, sf_dir).select("doc_id", "text"))
-
-
-def op5_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5_line_dedup, and passages of over 50 words in one or two lines."""
+    """Repeated runs of three lines, and passages of over 50 words in one or two lines."""
     return lines.report(documents(spark, sf_dir).select("doc_id", "text"), over=lines.PASSAGE)
 
 
@@ -71,15 +67,16 @@ def _url_sql() -> str:
     rules = sorted(url_filter.HOST_RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in rules]
     case = lambda says: "CASE " + " ".join(f"WHEN {f} THEN '{x}'" for f, x in zip(fits, says, strict=True)) + " END"
-    matches = " OR ".join(f"regexp_matches(url, '{pattern}')" for _, pattern, _ in url_filter.PATTERN_RULES)
+    matches = " OR ".join(f"regexp_matches(low, '{pattern}')" for _, pattern, _ in url_filter.PATTERN_RULES)
     return rf"""
 WITH parts AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-hosts AS (SELECT page_id, url, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts)
+heads AS (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, 1, strpos(url, '://') + 2) || regexp_extract(rest, '^[^/?#]*') ELSE '' END AS head FROM parts),
+hosts AS (SELECT page_id, lower(head) || substr(url, length(head) + 1) AS low, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM heads)
 SELECT page_id, host, path, {case([h + p for _, h, p in rules])} AS rule,
   coalesce({case([a for a, _, _ in rules])}, CASE WHEN {matches} THEN 'block' ELSE 'allow' END) AS verdict
 FROM hosts
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_byte_bpe, op3_toxicity, op4_repeated_passages, op5_line_dedup, op5_line_passages, op6_decontamination, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_pii)}
-ORACLE_SQL = {"op5_line_dedup": lines.SQL, "op5_line_passages": lines.PASSAGES_SQL, "op8_url_filter": _url_sql()}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_byte_bpe, op3_toxicity, op4_repeated_passages, op5_line_dedup, op6_decontamination, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_pii)}
+ORACLE_SQL = {"op5_line_dedup": lines.PASSAGES_SQL, "op8_url_filter": _url_sql()}
