@@ -195,13 +195,72 @@ def test_simhash(spark, docs):
             if (fps[a] ^ fps[b]).bit_count() <= 2 and find(a) != find(b):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     want = {d: (f"{fps[d]:016x}", find(d)) for d in fps}
-    old = simhash.HOT_PAIRS
+    old = simhash.HOT_KEY
     try:
-        for simhash.HOT_PAIRS in (old, 1):
-            got = simhash.near_duplicates(frame(spark, more)).collect()
+        for simhash.HOT_KEY, m in ((old, 7), (1, 7), (old, 3), (1, 5)):
+            got = simhash.near_duplicates(frame(spark, more), segments=m).collect()
             assert len(got) == len(more) and {r.doc_id: (r.fingerprint, r.component_id) for r in got} == want
     finally:
-        simhash.HOT_PAIRS = old
+        simhash.HOT_KEY = old
+
+
+def grouped(near, ids):
+    """Smallest id reachable, by id, over all pairs that are near."""
+    root = {d: d for d in ids}
+    find = lambda d: d if root[d] == d else find(root[d])
+    for a, b in near:
+        if find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in ids}
+
+
+def test_fingerprint_bits():
+    """Each bit counted by itself, without the module's helpers."""
+    import xxhash
+
+    for text in ("A b C d", "one two", "x", " ".join("abcdefgh"[i * i % 8] for i in range(50)), "ÄÖ a\u00a0b c\x0bd"):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}).encode())
+        grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        h = [xxhash.xxh64(g, seed=42).intdigest() for g in grams]
+        assert simhash.fingerprint(text, 3) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_radius_one(spark):
+    fps = [0, 1, 3, 7, 256, 257, 1 << 40, (1 << 40) | 6]
+    near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() == 1]
+    for simhash.HOT_KEY in (1, 32):
+        edges = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 1, 3)
+        assert {r.node: r.root for r in simhash.components(edges).collect()} == {d: r for d, r in grouped(near, fps).items() if d != r}
+
+
+def test_similar_texts(spark, docs, monkeypatch):
+    """All pairs by the definition, over hot keys and cool ones; and the recall of pairs that share 0.8 of their shingles."""
+    rng = random.Random(13)
+    pool = [f"v{i}" for i in range(3000)]
+    bases = [[rng.choice(pool) for _ in range(rng.choice([60, 150, 400]))] for _ in range(25)]
+    near = []
+    for i in range(260):
+        words = list(bases[i % 25 if i < 160 else 0])
+        for _ in range(rng.randint(0, max(1, len(words) // 40))):
+            words[rng.randrange(len(words))] = rng.choice(pool)
+        near.append((5000 + i, " ".join(words)))
+    more = [*[d for d in docs if d[1]][:120], *near, near[0]]
+    wide = {d: simhash.minwise(t, 5) for d, t in more}
+    ring, radius = simhash.radii(0.8)
+    ids = sorted(wide)
+    apart = lambda a, b: wide[a] != wide[b]
+    close = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (x := apart(a, b)).sum() <= radius and x[: simhash.RING].sum() <= ring]
+    want = grouped(close, ids)
+    for hot, chunk in ((32, 1024), (2, 7)):
+        monkeypatch.setattr(simhash, "HOT_KEY", hot)
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = simhash.similar_texts(frame(spark, more)).collect()
+        assert len(got) == len(more) and {r.doc_id: r.component_id for r in got} == want
+    grams = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in more for w in [t.lower().split()]}
+    similar = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    assert len(similar) > 500 and np.mean([want[a] == want[b] for a, b in similar]) > 0.95
+    far = [(a, b) for a, b in close if len(grams[a] & grams[b]) < 0.5 * len(grams[a] | grams[b])]
+    assert not far
 
 
 def test_urls(spark):
@@ -400,16 +459,13 @@ def brute_kept(name, docs, spark, table):
         grams = {d: toxicity.document_grams(t) for d, t in docs}
         return [(d, t) for d, t in docs if model.bias + (model.value[grams[d][0]] * grams[d][1]).sum() < np.log(0.7 / 0.3)]
     if name == "line_dedup":
-        left = {d: (n, gone, kept) for d, n, gone, kept in brute_lines(docs)}
+        left = {d: (n, gone, kept) for d, n, gone, kept in brute_passages_in_lines(docs)}
         return [(d, left[d][2]) for d, _ in docs if not left[d][1] or left[d][1] < left[d][0]]
     if name == "simhash":
-        fps = {d: simhash.fingerprint(t, 5) for d, t in docs}
-        group = {d: d for d in fps}
-        for a in sorted(fps):
-            for b in sorted(fps):
-                if (fps[a] ^ fps[b]).bit_count() <= 5 and group[a] != group[b]:
-                    low, high = sorted((group[a], group[b]))
-                    group = {d: low if g == high else g for d, g in group.items()}
+        wide, (ring, radius) = {d: simhash.minwise(t, 5) for d, t in docs}, simhash.radii(0.8)
+        ids = sorted(wide)
+        near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (x := wide[a] != wide[b]).sum() <= radius and x[: simhash.RING].sum() <= ring]
+        group = grouped(near, ids)
         return [(d, t) for d, t in docs if group[d] == d]
     items = [decontam.tokens(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

@@ -48,7 +48,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=3, radius=2, segments=3)
+    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=3, radius=2)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

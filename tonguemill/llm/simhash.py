@@ -1,16 +1,22 @@
-"""SimHash near-duplicates: 64-bit fingerprints, pigeonring filtering, exact Hamming check, components.
+"""SimHash near-duplicates: fingerprints, pigeonring filtering, exact Hamming check, components.
 
 Pigeonring: cut two fingerprints at distance <= r into m segments in a ring. Some segment starts a
-chain whose first l segments differ in at most l * r / m bits together, for every l. So the first
-segment's budget (r // m: none, or one bit) gives the join key, and the budgets of the longer chains prune a
-candidate before the full check. Keys are segment values, with each single-bit change of the probing side
-where the budget is one.
+chain whose first l segments differ in at most l * r / m places together, for every l. The first segments, while
+that budget is below one, are equal: they are the join key. The budgets of the longer chains prune a
+candidate before the full check. Equal fingerprints are one from the start.
 
-Equal fingerprints are one from the start. A key that very many fingerprints share is not joined
-but cut into chunks; each pair of chunks is compared in numpy and yields the components between
-them (at most one link per fingerprint), so no pairs of a group are ever emitted and nothing is left out.
+`near_duplicates` takes 64 majority bits and links at `radius` of them. A key that very many fingerprints share
+is not joined: each of its fingerprints names itself and its 64 one-bit neighbours, and what names the same value
+is at most two bits apart, so work stays in proportion and no group exceeds 65.
 
-Edge cases: null and empty texts have fingerprint zero and link like any other; null ids get a
+`similar_texts` links texts by the share of word shingles they have in common. At a share of 0.8 a seventh of the
+majority bits differ and no segment of 64 of them is a usable key, so its segments are min-wise: each
+holds 16 bits of the shingle that comes first in an order of its own, and two differ with the share of shingles
+not in common. Distances count segments. RING of the segments form the ring; all of them are checked in full.
+Fingerprints of a hot key meet its smallest one first; only what does not link with that is compared with the
+others, in chunks, which yield at most one link per fingerprint and chunk, so nothing is left out.
+
+Edge cases: null and empty texts have fingerprint zero (or the segments of no shingle) and link like any other; null ids get a
 component like other rows but never name one unless no other id is in it (then null); repeated rows
 share a component; extra columns are ignored; empty tables give empty results.
 """
@@ -22,27 +28,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import written
+from tonguemill.llm.common import mix, new_path, removed, written
 
-#: Index rows times probe rows of a key beyond which it is compared in chunks.
-HOT_PAIRS = 512
+#: Fingerprints of a key beyond which they are not paired.
+HOT_KEY = 32
 CHUNK = 1024
+#: Min-wise segments of a text, and how many of them form the ring.
+SEGMENTS, RING = 128, 32
 _BITS = 1 << 15
+_ORDERS = np.random.default_rng(77).integers(0, 1 << 32, (2, SEGMENTS, 1), dtype=np.uint32) | np.array([[[1]], [[0]]], np.uint32)  # odd factors, any masks
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Unsigned SimHash of word shingles (ASCII lower case, repeats count, XXH64 with seed 42)."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included (ASCII lower case; fewer words: the whole sequence; none: empty)."""
     import xxhash
 
     split = (text or "").encode().lower().split()  # bytes.split: spaces and \x09-\x0d
-    if not split:
-        return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(split) <= words:
-        hashes = [digest(join(split), 42)]
-    else:
-        hashes = [digest(join(s), 42) for s in zip(*(split[i:] for i in range(words)), strict=False)]
-    h = np.array(hashes, np.uint64)
+        return np.array([digest(join(split), 42)] if split else [], np.uint64)
+    return np.array([digest(join(s), 42) for s in zip(*(split[i:] for i in range(words)), strict=False)], np.uint64)
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """Unsigned SimHash of word shingles."""
+    h = shingles(text, words)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), _BITS):
         ones += np.unpackbits(h[i : i + _BITS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -71,6 +83,11 @@ def _part(fp, shift: int, width: int):
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def key_length(radius: int, m: int) -> int:
+    """Segments at the start of a chain that must be equal."""
+    return (m - 1) // radius
+
+
 def _chain(x, y, at, radius: int, m: int):
     """True where the chain from segment `at` stays within its budgets, at every length."""
     differ = x.bitwiseXOR(y)
@@ -85,25 +102,149 @@ def _chain(x, y, at, radius: int, m: int):
     return whole
 
 
-def _keys(fps: DataFrame, m: int, flips: bool) -> DataFrame:
-    """fp and key (segment number above segment value), also with each bit changed where flips."""
-    keys = []
-    for i, (shift, width) in enumerate(segments(m)):
-        value = _part(F.col("fp"), shift, width).bitwiseOR(F.lit(i << 33))
-        keys += [value] + [value.bitwiseXOR(F.lit(1 << b)) for b in range(width) if flips]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+def _keys(fps: DataFrame, radius: int, m: int) -> DataFrame:
+    """fp, at (the chain's first segment) and key (a hash of it and of the values of the segments that must be equal)."""
+    cuts, n = segments(m), key_length(radius, m)
+    keys = [F.struct(F.lit(i).alias("at"), F.xxhash64(F.lit(i), *(_part(F.col("fp"), *cuts[(i + k) % m]) for k in range(n))).alias("key")) for i in range(m)]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.*")
+
+
+def links(fps: DataFrame, radius: int, m: int) -> DataFrame:
+    """a < b: fingerprints of fps (distinct, column fp) such that links join exactly those within radius (1 or 2), directly or over others."""
+    if radius not in (1, 2) or m <= radius:
+        raise ValueError("radius is 1 or 2, and there are more segments")
+    index = _keys(fps, radius, m)
+    shared = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
+    left = index.join(shared.where(F.col("n") <= HOT_KEY).select("key"), "key", "left_semi").select("key", "at", F.col("fp").alias("a"))
+    pairs = left.join(left.select("key", F.col("a").alias("b")), "key").where("a < b")
+    close = pairs.where(_chain(F.col("a"), F.col("b"), F.col("at"), radius, m)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b").distinct()
+    hot = index.join(shared.where(F.col("n") > HOT_KEY).select("key"), "key", "left_semi").select("fp").distinct()
+    named = hot.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), b)) for b in range(64)))).alias("value"))
+    met = named.groupBy("value").agg(F.array_sort(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)  # at most 65
+    if radius == 1:  # only the value itself is one bit from those that name it
+        dense = met.where(F.array_contains("fps", F.col("value"))).select(F.col("value").alias("x"), F.explode("fps").alias("y"))
+    else:
+        dense = met.select(F.get("fps", F.lit(0)).alias("x"), F.explode("fps").alias("y"))
+    return close.union(dense.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (smallest node reachable) for every node of the links a, b but the roots themselves. Large-star and small-star until nothing moves."""
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame) -> tuple[DataFrame, str]:
+        path = new_path(spark, "links")
+        df.write.parquet(path)
+        return spark.read.schema("a bigint, b bigint").parquet(path), path
+
+    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges, path = stored(edges.select("a", "b"))
+    before = state(edges)
+    while True:
+        near = both(edges)
+        # the lows are written, so that a node with very many links is split by Spark's skew join
+        low, low_path = stored(near.groupBy("u").agg(F.min("v").alias("m")).select(F.least("u", "m").alias("a"), F.col("u").alias("b")))
+        large = near.where("v > u").join(low.select(F.col("b").alias("u"), F.col("a").alias("m")), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        small = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        least = small.groupBy("u").agg(F.min("v").alias("m"))
+        new, new_at = stored(small.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct())
+        after = state(new)
+        removed(spark, path)
+        removed(spark, low_path)
+        edges, path = new, new_at
+        if after == before:
+            return edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
+        before = after
+
+
+def _placed(rows: DataFrame, node: str, edges: DataFrame, id_col: str) -> DataFrame:
+    """node, component_id for every distinct node of rows, by the links."""
+    own = rows.groupBy(node).agg(F.min(id_col).alias("first"))
+    roots = components(edges).withColumnRenamed("node", "_node")
+    placed = written(own.join(roots, F.col(node) == F.col("_node"), "left").select(node, "first", F.coalesce("root", node).alias("root")), "placed")
+    smallest = written(placed.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    return placed.select(node, "root").join(smallest, "root").select(node, "component_id")
+
+
+def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, segments: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable over links) for every row."""
+    rows = written(fingerprints(df, words, id_col, text_col), "simhash")
+    known = _placed(rows, "fp", links(rows.select("fp").distinct(), radius, segments), id_col)
+    return rows.join(known, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- min-wise segments
+
 
+def budget(n: int, similarity: float, deviations: float) -> int:
+    """Of n segments, those that may differ: as many as expected at `similarity`, and that many standard deviations."""
+    return int(n * (1 - similarity) + deviations * (n * similarity * (1 - similarity)) ** 0.5)
+
+
+def radii(similarity: float) -> tuple[int, int]:
+    """Most differing segments of the ring, and of all."""
+    return budget(RING, similarity, 1.6), budget(SEGMENTS, similarity, 2.0)
+
+
+def minwise(text: str | None, words: int) -> np.ndarray:
+    """SEGMENTS values of 16 bits, each of the word shingle that comes first in an order of its own."""
+    h = (shingles(text, words) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SEGMENTS, 0xFFFFFFFF, np.uint32)
+    factors, masks = _ORDERS
+    for i in range(0, len(h), 4096):
+        np.minimum(least, ((h[i : i + 4096] ^ masks) * factors).min(1), out=least)
+    return (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
+def minwise_segments(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and wide (the segments' bytes) for every row."""
+    schema = df.select(id_col).schema.simpleString()[7:-1] + ", wide binary"
+
+    def run(batches):
+        for batch in batches:
+            wide = [minwise(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], [id_col, "wide"])
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def _close(ring: int, radius: int):
+    """Keeps the pairs (wide_a, wide_b) within both radii; chains prune before the full check."""
+
+    def run(batches):
+        budgets = np.arange(RING + 1) * ring // RING
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SEGMENTS) for k in (2, 3))
+            differ = a != b
+            total = np.cumsum(np.concatenate([np.zeros((len(a), 1), bool), differ[:, :RING], differ[:, :RING]], 1), 1, dtype=np.int16)
+            chains = np.stack([(total[:, i : i + RING + 1] - total[:, i : i + 1] <= budgets).all(1) for i in range(RING)])
+            keep = np.flatnonzero(chains.any(0))
+            keep = keep[(differ[keep].sum(1) <= radius) & (differ[keep][:, :RING].sum(1) <= ring)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _compare(ring: int, radius: int):
+    """Links between the rows of side 0 and of side 1: at most one for each, that leave the same components as all would."""
 
-def _compare(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        side, fp = table["side"].to_numpy(), table["fp"].to_numpy()
-        a, b = np.unique(fp[side == 0]), np.unique(fp[side == 1])
+        side, node = table["side"].to_numpy(), table["node"].to_numpy()
+        wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint16).reshape(-1, SEGMENTS)
+        a, b = node[side == 0], node[side == 1]
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(a) and len(b):
-            near = np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
+            one, two = (np.ascontiguousarray(wide[side == k].T) for k in (0, 1))
+            differ, near = np.zeros((len(a), len(b)), np.uint8), True
+            for k in range(SEGMENTS):
+                differ += one[k][:, None] != two[k][None, :]
+                if k == RING - 1:
+                    near = differ <= ring
+            near &= differ <= radius
             rows, columns = np.nonzero(near)
             label_a, label_b = np.arange(len(a)), np.full(len(b), len(a))
-            while True:  # smallest index reachable
+            while True:  # smallest place of side 0 reachable
                 new_b = label_b.copy()
                 np.minimum.at(new_b, columns, label_a[rows])
                 new_a = label_a.copy()
@@ -121,61 +262,34 @@ def _compare(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int, m: int) -> DataFrame:
-    """a < b: fingerprints of fps (distinct, column fp) such that links join exactly those within radius, directly or over others."""
-    flips = {0: False, 1: True}[radius // m]
-    index = _keys(fps, m, False)
-    probe = _keys(fps, m, flips)
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    if flips:
-        sizes = sizes.join(probe.groupBy("key").agg(F.count(F.lit(1)).alias("p")), "key")
-    else:
-        sizes = sizes.withColumn("p", F.col("n"))
-    shared = sizes.where("p > 1")
-    hot = written(shared.where(F.col("n") * F.col("p") > HOT_PAIRS), "simhash-hot")
-    cool = shared.where(F.col("n") * F.col("p") <= HOT_PAIRS).select("key")
-    left = index.join(cool, "key", "left_semi").select("key", F.col("fp").alias("a"))
-    pairs = left.join(probe.select("key", F.col("fp").alias("b")), "key").where("a < b")
-    at = F.shiftright("key", 33)
-    close = pairs.where(_chain(F.col("a"), F.col("b"), at, radius, m)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b").distinct()
-    chunks = hot.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("cn"), F.ceil(F.col("p") / CHUNK).cast("int").alias("cp"))
-    own, other = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    sides = (
-        index.join(chunks, "key").select("key", "fp", F.lit(0).alias("side"), own("cn").alias("x"), other("cp").alias("y")),
-        probe.join(chunks, "key").select("key", "fp", F.lit(1).alias("side"), own("cp").alias("y"), other("cn").alias("x")),
+def minwise_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """a < b: nodes (distinct; node, wide) such that links join exactly those within the radii, directly or over others."""
+    ring, radius = radii(similarity)
+    n = key_length(ring, RING)
+    circle = F.concat(F.substring("wide", 1, 2 * RING), F.substring("wide", 1, 2 * (n - 1)))
+    index = nodes.select("node", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring(circle, 2 * i + 1, 2 * n)) for i in range(RING)))).alias("key"))
+    shared = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1"), "minwise-keys")
+    members = written(index.join(shared, "key"), "minwise-members")
+    cool, hot = members.where(F.col("n") <= HOT_KEY), members.where(F.col("n") > HOT_KEY)
+    pairs = cool.select("key", F.col("node").alias("a")).join(cool.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    asked = pairs.union(hot.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+    sides = [nodes.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b")]
+    close = written(asked.join(sides[0], "a").join(sides[1], "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_close(ring, radius), "a bigint, b bigint"), "minwise-links")
+    rest = written(hot.where("node > least").join(close, (F.col("least") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("key", "node", "n"), "minwise-rest")
+    chunks = written(rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("cn"), F.ceil(F.max("n") / CHUNK).cast("int").alias("cp")), "minwise-chunks")
+    own, other = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = (
+        rest.select("key", "node").join(chunks, "key").select("key", "node", F.lit(0).alias("side"), own("cn").alias("x"), other("cp").alias("y")),
+        hot.select("key", "node").join(chunks, "key").select("key", "node", F.lit(1).alias("side"), own("cp").alias("y"), other("cn").alias("x")),
     )
-    dense = sides[0].unionByName(sides[1]).groupBy("key", "x", "y").applyInArrow(_compare(radius), "a bigint, b bigint")
+    dense = dealt[0].unionByName(dealt[1]).join(nodes, "node").groupBy("key", "x", "y").applyInArrow(_compare(ring, radius), "a bigint, b bigint")
     return close.union(dense).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root (smallest node reachable) for every node of the links a, b. Large-star and small-star until nothing moves."""
-    edges = written(edges.select("a", "b"), "links")
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = state(edges)
-    for _ in range(rounds):
-        near = both(edges)
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        small = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = small.groupBy("u").agg(F.min("v").alias("m"))
-        edges = written(small.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct(), "links")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
-
-
-def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable over links) for every row."""
-    rows = written(fingerprints(df, words, id_col, text_col), "simhash")
-    own = rows.groupBy("fp").agg(F.min(id_col).alias("first"))
-    roots = components(links(own.select("fp"), radius, segments))
-    placed = own.join(roots, own.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and component_id (smallest id reachable over links) for every row; texts link when their segments are as close as those
+    of texts that share `similarity` of their distinct word shingles. Equal segments (by a 64-bit hash) are one node."""
+    rows = written(minwise_segments(df, words, id_col, text_col).withColumn("node", F.xxhash64("wide")), "minwise")
+    nodes = written(rows.groupBy("node").agg(F.min("wide").alias("wide")), "minwise-nodes")
+    known = _placed(rows.select(id_col, "node"), "node", minwise_links(nodes, similarity), id_col)
+    return rows.select(id_col, "node").join(known, "node").select(id_col, "component_id")
