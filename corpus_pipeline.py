@@ -1,6 +1,7 @@
 """A training-corpus pipeline over `documents`: each stage's rows are written and read again as the next one's.
 
-Null and empty texts pass every filter; each stage returns the columns of documents, the last one
+Null texts and texts without words pass the filters of lines, near duplicates and benchmark items; the classifier judges them by its bias
+alone, as any text of which it knows no word. Each stage returns the columns of documents, the last one
 a row per remaining document with its tokens' digests.
 """
 
@@ -37,19 +38,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @keeps_columns
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and documents of which nothing is left; n_chars follows the text."""
-    left = lines.dedup(docs, drop_emptied=True)
+    """Later repeated runs of lines and passages of over 50 words go, and documents of which nothing is left; n_chars follows the text."""
+    left = lines.dedup(docs, drop_emptied=True, over=lines.PASSAGE)
     return left.select(*(F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 @keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the smallest id (rows equal in id and text once). Rows without words pass."""
+    """One document of each group of near duplicates (0.8 of five-word shingles) stays: the smallest id (rows equal in id and text once). Rows without words pass."""
     small_batches(spark)
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     bare, docs = docs.where(~worded), docs.where(worded)
     keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    found = written(simhash.near_duplicates(docs.select(F.struct("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k")).alias("doc_id"), "text"), words=5, radius=5, segments=3), "kept")
+    found = written(simhash.similar_texts(docs.select(F.struct("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k")).alias("doc_id"), "text"), words=5, similarity=0.8), "kept")
     stay = found.where("doc_id = component_id").select(F.col("doc_id.doc_id").alias("_id2"), F.col("doc_id.k").alias("_key2")).distinct()
     same = F.col("_key").eqNullSafe(F.col("_key2")) & F.col("doc_id").eqNullSafe(F.col("_id2"))
     return keyed.join(stay, same, "left_semi").dropDuplicates(["_key", "doc_id"]).select(*docs.columns).unionByName(bare)
