@@ -11,7 +11,8 @@ The model is linear above the embeddings, so after training each bucket has one
 embedding times the difference of the class weights) and scoring sums those over the whole text.
 
 Training takes a bounded sample of labelled rows (TRAIN_POSITIVE + TRAIN_NEGATIVE documents, chosen by
-a hash of the id); it is fitted in one task from hashed counts, never from all rows.
+a hash of the id); it is fitted in one task from hashed counts, never from all rows. A row brings at most BUCKETS numbers of 8 bytes,
+2 MB, however long its text; sampled rows of usual length bring some 15 KB.
 
 Edge cases: null and empty texts have no words and get the score of the bias alone; no usable label
 of one class gives a constant score (the share of toxic labels, 0 without labels); null ids score
@@ -39,7 +40,7 @@ MIN_DOCUMENTS = 5
 LEAST_STEPS = 600
 THRESHOLD = 0.7
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&@~`|/\\-_=+^…“”‘’«»¿¡"
 _HASH = PrefixHash(11)
 
@@ -85,31 +86,29 @@ class Model:
         return np.bincount(owners, self.value[buckets], len(words)) / np.bincount(owners, minlength=len(words))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batch: int = 128, rate: float = 0.03, decay: float = 1e-5, shrink: float = 0.5, seed: int = 5) -> Model:
-    """rows: buckets, weights, label of each document. Embeddings and softmax learn together by Adam."""
-    labels = np.array([r[2] for r in rows], np.int64)
+def train(buckets: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, labels: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.03, decay: float = 1e-5, shrink: float = 0.5, seed: int = 5) -> Model:
+    """Document i has buckets[starts[i] : ends[i]], their weights, and labels[i]. Embeddings and softmax learn together by Adam."""
+    labels = np.asarray(labels, np.int64)
     if len(set(labels.tolist())) < 2:
         share = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-4), 1 - 1e-4)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     balance = 0.5 * len(labels) / np.bincount(labels, minlength=2)
     rng = np.random.default_rng(seed)
-    used, often = np.unique(np.concatenate([r[0] for r in rows]), return_counts=True)
-    used = used[often >= MIN_DOCUMENTS]
+    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS) >= MIN_DOCUMENTS)  # a document has a bucket once
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    kept = [place[r[0]] >= 0 for r in rows]
-    rows = [(r[0][k], r[1][k], r[2]) for r, k in zip(rows, kept, strict=True)]
-    dense = place[np.concatenate([r[0] for r in rows])]
-    weights = np.concatenate([r[1] for r in rows]).astype(np.float32)
-    ends = np.cumsum([len(r[0]) for r in rows])
-    starts = ends - [len(r[0]) for r in rows]
+    dense = place[buckets]
+    kept = np.flatnonzero(dense >= 0).astype(np.int32)
+    starts, ends = np.searchsorted(kept, starts.astype(np.int32)), np.searchsorted(kept, ends.astype(np.int32))
+    dense, weights = dense[kept], weights[kept].astype(np.float32, copy=False)
+    del kept
     params = [rng.uniform(-0.01, 0.01, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    epochs = max(epochs, -(-LEAST_STEPS // -(-len(rows) // batch)))
-    step, steps = 0, epochs * -(-len(rows) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(labels) // batch)))
+    step, steps = 0, epochs * -(-len(labels) // batch)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for k in range(0, len(rows), batch):
+        order = rng.permutation(len(labels))
+        for k in range(0, len(labels), batch):
             pick = order[k : k + batch]
             index = np.concatenate([np.arange(starts[i], ends[i]) for i in pick])
             owner = np.repeat(np.arange(len(pick)), ends[pick] - starts[pick])
@@ -159,20 +158,25 @@ def fit(docs: DataFrame, labels: DataFrame, **columns) -> Model:
 
     def run(batches):
         parts = [b for b in batches if len(b)]
-        rows = []
+        model = train(*_NOTHING)
         if parts:
-            table = pa.Table.from_batches(parts).sort_by("id")
-            lists = (table[c].combine_chunks() for c in ("buckets", "weights"))
-            rows = [(np.asarray(x.values), np.asarray(w.values), y) for x, w, y in zip(*lists, table["label"].to_pylist(), strict=True) if len(x.values)]
-        model = train(rows)
+            flat = [np.concatenate([b.column(k).flatten().to_numpy() for b in parts]) for k in (1, 2)]
+            sizes = np.concatenate([b.column(1).value_lengths().to_numpy() for b in parts]).astype(np.int64)
+            ids, labels = ([v for b in parts for v in b.column(k).to_pylist()] for k in (0, 3))
+            parts.clear()
+            ends = np.cumsum(sizes)
+            order = np.array([i for i in sorted(range(len(ids)), key=ids.__getitem__) if sizes[i]], np.int64)  # rows come in any order
+            model = train(*flat, (ends - sizes)[order], ends[order], np.array(labels)[order])
         yield pa.RecordBatch.from_arrays([pa.array([model.value.astype(np.float32)], pa.list_(pa.float32())), pa.array([model.bias], pa.float64())], ["value", "bias"])
 
     found = training_rows(docs, labels, **columns).repartition(1).mapInArrow(run, "value array<float>, bias double").toArrow()
     if not len(found):
-        return train([])
+        return train(*_NOTHING)
     return Model(found["value"].combine_chunks()[0].values.to_numpy().astype(np.float64), found["bias"][0].as_py())
 
 
+#: No rows to train on.
+_NOTHING = (np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 _remembered: dict = {}
 
 
