@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 #: Longer pieces are not remembered.
 CACHE_PIECE_CHARS = 64
 _PERIODIC = re.compile(r"((.).*?)\1\2", re.S)
