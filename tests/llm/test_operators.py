@@ -307,8 +307,27 @@ def test_suffix(spark, docs):
     base = "".join(rng.choice("abcdefgh é") for _ in range(2000))
     cut = [(6000 + i, "x" * rng.randint(0, 50) + base[(a := rng.randint(0, 1200)) : a + rng.choice([399, 400, 401, 450, 700])] + "q" * rng.randint(0, 30)) for i in range(40)]
     more = [*docs[:120], *docs[-7:], *cut, cut[0], (7000, "ab" * 600)]
-    got = suffix.repeated_bytes(frame(spark, more), keep_text=False)
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == Counter(brute_bytes(more))
+    want = Counter(brute_bytes(more))
+    for many in (1, 5, suffix.MANY):  # cores settled by their windows, some of them, none
+        got = suffix.repeated_bytes(frame(spark, more), keep_text=False, many=many)
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
+
+
+def test_suffix_of_a_passage_in_very_many_texts(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, tails = letters(600), [letters(15) for _ in range(9)]
+    docs = [(i, letters(rng.randint(0, 40)) + passage[rng.randint(0, 120) :] + rng.choice(tails) + letters(rng.randint(0, 40))) for i in range(3000)]
+    got = suffix.repeated_bytes(frame(spark, docs), keep_text=False)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == Counter(brute_bytes(docs))
+
+
+def test_crowded_cores_are_told_by_all_blocks():
+    h = np.array([5, 9, 5, 9, 7], np.uint64)
+    extras = [np.array([1, 2], np.int64).tobytes() + np.array([1, 3], np.int32).tobytes(), np.array([1, 2, 3], np.int64).tobytes() + np.array([1, 3, 1], np.int32).tobytes()]
+    sizes = np.array([2, 3])
+    assert suffix._crowds(6)(h, np.repeat([0, 1], sizes), extras, sizes).tolist() == [0, 1, 0, 1, 0]
+    assert suffix._crowds(5)(h, np.repeat([0, 1], sizes), extras, sizes).tolist() == [0, 2, 0, 2, 0]
 
 
 

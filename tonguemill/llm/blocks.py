@@ -108,6 +108,26 @@ def answers(level: int, decide: Callable[[np.ndarray, np.ndarray, list[bytes], n
     return run
 
 
+def both(one: pa.Table, two: pa.Table, shards: int) -> pa.Table:
+    """Two kinds of questions together: the second's shards come behind the first's."""
+    import pyarrow.compute as pc
+
+    moved = pc.add(two["shard"], pa.scalar(shards, pa.int32()))
+    return pa.concat_tables([one, two.set_column(0, "shard", moved)])
+
+
+def answers_of_both(shards: int, one: Callable, two: Callable):
+    """The work of a shard of either kind."""
+    import pyarrow.compute as pc
+
+    def run(table: pa.Table) -> pa.Table:
+        if table["shard"][0].as_py() < shards:
+            return one(table)
+        return two(table.set_column(table.schema.get_field_index("shard"), "shard", pc.subtract(table["shard"], pa.scalar(shards, pa.int32()))))
+
+    return run
+
+
 def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts h, and the group number of each sorted entry."""
     order = np.argsort(h, kind="stable")

@@ -10,6 +10,8 @@ equal windows select equal anchors.
 3. Contexts that occur once though their core does not are where repeats begin and end. They are
    written as strings with the core as one symbol, and each shard sorts the suffixes of its strings by
    linear grouping: a window repeats when its suffix shares FINE + 1 symbols with a neighbour's.
+4. All contexts of a core are sorted together, so a core with more than MANY (a passage in very many documents, with
+   other text around it in each) is not sorted: hashes of its windows, dealt by themselves, are counted instead.
 
 The suffix array is built by grouping (`suffix_array`): groups of suffixes with equal Lyndon prefixes are
 processed in descending order along previous-smaller pointers, and a second pass emits each
@@ -34,8 +36,10 @@ from tonguemill.llm import blocks as B
 from tonguemill.llm.common import PrefixHash, mix, window_minima
 
 LENGTH, GRAM, COARSE, FINE = 400, 16, 100, 20
+#: Contexts of a core, counted once a block, beyond which they are not sorted.
+MANY = 1024
 _ONE, _TWO = PrefixHash(31), PrefixHash(32, 0xD6E8FEB86659FD93)
-_RECORD = 8 + 2 + 2 * FINE
+_RECORD = 8 + 1 + 2 + 2 * FINE
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -183,12 +187,12 @@ def _coarse(table: pa.Table) -> tuple[B.Asked, list]:
 
 
 class _Fine:
-    """Fine anchors of the windows that coarse anchors leave, and the contexts that the block asks about."""
+    """Fine anchors of the windows that coarse anchors leave, and the contexts and cores that the block asks about."""
 
-    def __init__(self, table: pa.Table, shards: int, found: dict[int, bytes]):
+    def __init__(self, table: pa.Table, shards: int, found: pa.Table):
         coarse, groups = _coarse(table)
-        again = coarse.codes(shards, found) == 1
-        self.groups, contexts, keys, second = [], [], [], []
+        again = coarse.codes(shards, B.answered(found, 1)) == 1
+        self.groups, contexts, keys, second, core_second = [], [], [], [], []
         for rows, texts, own, back, known in groups:
             at = own.at[again[coarse.find(known)][back]] if len(known) else own.at
             anchor, of = _runs(own.anchors(FINE, at))
@@ -199,73 +203,112 @@ class _Fine:
             context = mix(key ^ mix(own.hashes(left, right) + ((anchor - left) * 64 + right - core_end).astype(np.uint64)))
             self.groups.append((rows, texts, own, at, of, anchor, left, right, context))
             contexts.append(context)
-            keys.append(key.view(np.int64))
-            second.append(own.second(anchor, core_end))
-        self.asked = B.Asked(contexts, second, keys, "least")  # the context's key is the value
-        self.times = B.Asked(contexts, second, keys, "count").values
-
-
-def _status(h, block, extras, sizes) -> np.ndarray:
-    """Bit 0: the context occurs twice. Bit 1: its core has several contexts of which some occur once."""
-    keys, twice = [], []
-    for x, n in zip(extras, sizes, strict=True):
-        keys.append(np.frombuffer(x[: 8 * n], np.int64))
-        twice.append(np.frombuffer(x[8 * n :], np.uint8))
-    keys, again = np.concatenate(keys), B.recurring(h, block, [np.concatenate(twice).tobytes()], sizes)
-    order, group = B.groups(h)
-    first = np.flatnonzero(np.diff(group, prepend=-1))
-    _, core = np.unique(keys, return_inverse=True)
-    distinct = np.bincount(core[order][first])
-    single = np.bincount(core[order][first], weights=again[order][first] == 0)
-    return again | (((distinct[core] > 1) & (single[core] > 0)).astype(np.uint8) << 1)
-
-
-def _open_contexts(fine: _Fine, shards: int, found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    code = fine.asked.codes(shards, found)
-    return code, np.flatnonzero(code & 2)
-
-
-def _records(fine: _Fine, wanted: np.ndarray) -> dict[int, bytes]:
-    """By place among the asked: key, sizes and bytes of a context."""
+            keys.append(key)
+            second.append(own.second(left, right))
+            core_second.append(own.second(anchor, core_end))
+        self.contexts = B.Asked(contexts, second, [k.view(np.int64) for k in keys], "least")  # a context's value is its core's key
+        self.times = B.Asked(contexts, second, contexts, "count").values
+        self.cores = B.Asked(keys, core_second, [c.view(np.int64) for c in contexts], "least")  # a core's value is one of its contexts
+        of_core = self.cores.find(self.contexts.values.view(np.uint64))
+        self.of_core, self.variety = of_core, np.bincount(of_core, minlength=len(self.cores.hashes))
+
+    def ask(self, block: int, shards: int) -> pa.Table:
+        contexts = self.contexts.table(block, shards, lambda p: (self.times[p] > 1).astype(np.uint8).tobytes())
+        return B.both(contexts, self.cores.table(block, shards, lambda p: self.cores.values[p].tobytes() + self.variety[p].astype(np.int32).tobytes()), shards)
+
+    def status(self, shards: int, found: pa.Table) -> None:
+        """Of each context: whether it occurs twice; whether those of its core are sorted; whether their windows decide."""
+        self.twice = self.contexts.codes(shards, B.answered(found, 2)) == 1
+        core = self.cores.codes(shards, B.answered(found, 3))[self.of_core]
+        self.open, self.crowded = np.flatnonzero(core == 1), core == 2
+
+    def windows(self) -> tuple[B.Asked, list]:
+        """What the block asks about the windows of crowded cores, and for each group which windows those are and their hashes."""
+        hashes, second, groups = [], [], []
+        for _, _, own, at, of, _, _, _, context in self.groups:
+            here = np.flatnonzero(self.crowded[self.contexts.find(context)][of]) if len(at) else np.zeros(0, np.int64)
+            start = at[here]
+            hashes.append(own.hashes(start, start + LENGTH))
+            second.append(own.second(start, start + LENGTH) if len(start) else start.astype(np.uint64))
+            groups.append(here)
+        return B.Asked(hashes, second, [np.zeros(len(h), np.int64) for h in hashes], "count"), [*zip(groups, hashes, strict=True)]
+
+
+def _crowds(many: int):
+    """Of each core: 0 with one context, 1 with several, 2 with more than `many` (each block's counted apart)."""
+
+    def decide(h, block, extras, sizes) -> np.ndarray:
+        least = np.concatenate([np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(extras, sizes, strict=True)])
+        counts = np.concatenate([np.frombuffer(x[8 * n :], np.int32) for x, n in zip(extras, sizes, strict=True)])
+        order, group = B.groups(h)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        total = np.add.reduceat(counts[order].astype(np.int64), first)
+        several = np.maximum.reduceat(counts[order], first) > 1
+        several |= np.minimum.reduceat(least[order], first) != np.maximum.reduceat(least[order], first)
+        out = np.zeros(len(h), np.uint8)
+        out[order] = np.where(several, np.where(total > many, 2, 1), 0)[group]
+        return out
+
+    return decide
+
+
+def _records(fine: _Fine) -> dict[int, bytes]:
+    """By place among the contexts, of those to be sorted: key, whether it occurs twice, sizes and bytes."""
     out: dict[int, bytes] = {}
-    flag = np.zeros(len(fine.asked.hashes), bool)
-    flag[wanted] = True
+    flag = np.zeros(len(fine.contexts.hashes), bool)
+    flag[fine.open] = True
     for _, _, own, _, _, anchor, left, right, context in fine.groups:
-        places = fine.asked.find(context)
+        places = fine.contexts.find(context)
         for k in np.flatnonzero(flag[places]).tolist():
             place = int(places[k])
             if place not in out:
                 a, b = own.data[left[k] : anchor[k]].tobytes(), own.data[anchor[k] + LENGTH - FINE : right[k]].tobytes()
-                out[place] = fine.asked.values[place].tobytes() + bytes([len(a), len(b)]) + a.ljust(FINE, b"\0") + b.ljust(FINE, b"\0")
+                out[place] = fine.contexts.values[place].tobytes() + bytes([int(fine.twice[place]), len(a), len(b)]) + a.ljust(FINE, b"\0") + b.ljust(FINE, b"\0")
     return out
 
 
 def _sort_shard(h, block, extras, sizes) -> np.ndarray:
-    """Bits of `repeats` for each context of a shard, as four bytes."""
+    """Bits of `repeats` for each context of a shard, as four bytes; cores of which every context occurs twice are not sorted."""
     records = np.frombuffer(b"".join(extras), np.uint8).reshape(-1, _RECORD)
-    known, first, back = np.unique(h, return_index=True, return_inverse=True)
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
     records = records[first]
     keys = np.ascontiguousarray(records[:, :8]).view(np.int64).ravel()
-    raw = [r.tobytes() for r in records[:, 10:]]
-    left = [r[:n] for r, n in zip(raw, records[:, 8].tolist(), strict=True)]
-    right = [r[FINE : FINE + n] for r, n in zip(raw, records[:, 9].tolist(), strict=True)]
-    return repeats(keys, left, right).astype(np.uint32)[back]
+    _, core = np.unique(keys, return_inverse=True)
+    places = np.flatnonzero((np.bincount(core, weights=records[:, 8] == 0) > 0)[core])
+    bits = np.zeros(len(records), np.uint32)
+    if len(places):
+        records = records[places]
+        raw = [r.tobytes() for r in records[:, 11:]]
+        left = [r[:n] for r, n in zip(raw, records[:, 9].tolist(), strict=True)]
+        right = [r[FINE : FINE + n] for r, n in zip(raw, records[:, 10].tolist(), strict=True)]
+        bits[places] = repeats(keys[places], left, right)
+    return bits[back]
+
+
+def _open_contexts(fine: _Fine) -> B.Asked:
+    core = fine.of_core[fine.open]
+    return B.Asked([fine.contexts.hashes[fine.open]], [fine.cores.second[core]], [fine.open], "least")
 
 
 def _cut(table: pa.Table, shards: int, found: pa.Table, keep_text: bool) -> pa.Table:
     whole, (table, back) = table, _distinct(table)
-    fine = _Fine(table, shards, B.answered(found, 1))
-    code, open_ = _open_contexts(fine, shards, B.answered(found, 2))
-    bits = np.zeros(len(code), np.int64)
-    if len(open_):
-        answers, shard = B.answered(found, 3), fine.asked.shards(shards)[open_]
+    fine = _Fine(table, shards, found)
+    fine.status(shards, found)
+    bits = np.zeros(len(fine.twice), np.int64)
+    if len(fine.open):
+        asked, answers = _open_contexts(fine), B.answered(found, 4)
+        shard = asked.shards(shards)
         for s in np.unique(shard):
-            bits[open_[shard == s]] = np.frombuffer(answers[int(s)], np.uint32)
-    bits[(code & 1) == 1] = (1 << (FINE + 1)) - 1
+            bits[asked.values[shard == s]] = np.frombuffer(answers[int(s)], np.uint32)
+    bits[fine.twice] = (1 << (FINE + 1)) - 1
+    asked, crowded = fine.windows()
+    again = asked.codes(shards, B.answered(found, 5)) == 1
     out: list = [None] * len(table)
-    for rows, texts, own, at, of, anchor, _, _, context in fine.groups:
-        mask = bits[fine.asked.find(context)]
-        hit = at[(mask[of] >> (anchor[of] - at)) & 1 == 1] if len(at) else at
+    for (rows, texts, own, at, of, anchor, _, _, context), (here, hashes) in zip(fine.groups, crowded, strict=True):
+        mask = bits[fine.contexts.find(context)]
+        hits = (mask[of] >> (anchor[of] - at)) & 1 == 1 if len(at) else np.zeros(0, bool)
+        hits[here] |= again[asked.find(hashes)]
+        hit = at[hits]
         change = np.zeros(len(own.data) + 1, np.int64)
         np.add.at(change, hit, 1)
         np.add.at(change, hit + LENGTH, -1)
@@ -280,7 +323,7 @@ def _cut(table: pa.Table, shards: int, found: pa.Table, keep_text: bool) -> pa.T
     return pa.table([whole["id"], *map(pa.array, columns, kinds)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, many: int = MANY) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and (if keep_text) the remaining bytes, for every row."""
     docs, shards = B.blocks(df, id_col, text_col)
 
@@ -289,22 +332,21 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return asked.table(key[0].as_py(), shards, lambda p: (asked.values[p] > 1).astype(np.uint8).tobytes())
 
     def ask_fine(key, table, found):
-        fine = _Fine(_distinct(table)[0], shards, B.answered(found, 1))
-        return fine.asked.table(key[0].as_py(), shards, lambda p: fine.asked.values[p].tobytes() + (fine.times[p] > 1).astype(np.uint8).tobytes())
+        return _Fine(_distinct(table)[0], shards, found).ask(key[0].as_py(), shards)
 
     def ask_open(key, table, found):
-        fine = _Fine(_distinct(table)[0], shards, B.answered(found, 1))
-        _, open_ = _open_contexts(fine, shards, B.answered(found, 2))
-        records = _records(fine, open_)
-        asked = B.Asked([fine.asked.hashes[open_]], [fine.asked.second[open_]], [open_], "least")
-        return asked.table(key[0].as_py(), shards, lambda p: b"".join(records[int(i)] for i in asked.values[p]))
+        fine = _Fine(_distinct(table)[0], shards, found)
+        fine.status(shards, found)
+        records, contexts, (windows, _) = _records(fine), _open_contexts(fine), fine.windows()
+        strings = contexts.table(key[0].as_py(), shards, lambda p: b"".join(records[int(i)] for i in contexts.values[p]))
+        return B.both(strings, windows.table(key[0].as_py(), shards, lambda p: (windows.values[p] > 1).astype(np.uint8).tobytes()), shards)
 
     own = docs.groupBy("block")
     coarse = own.applyInArrow(ask_coarse, B.ASKED).groupBy("shard").applyInArrow(B.answers(1, B.recurring), B.ANSWER)
-    fine = own.cogroup(coarse.groupBy("block")).applyInArrow(ask_fine, B.ASKED).groupBy("shard").applyInArrow(B.answers(2, _status), B.ANSWER)
+    fine = own.cogroup(coarse.groupBy("block")).applyInArrow(ask_fine, B.ASKED).groupBy("shard").applyInArrow(B.answers_of_both(shards, B.answers(2, B.recurring), B.answers(3, _crowds(many))), B.ANSWER)
     both = coarse.unionByName(fine)
-    sorted_ = own.cogroup(both.groupBy("block")).applyInArrow(ask_open, B.ASKED).groupBy("shard").applyInArrow(B.answers(3, _sort_shard), B.ANSWER)
+    settled = own.cogroup(both.groupBy("block")).applyInArrow(ask_open, B.ASKED).groupBy("shard").applyInArrow(B.answers_of_both(shards, B.answers(4, _sort_shard), B.answers(5, B.recurring)), B.ANSWER)
     kind = docs.schema["id"].dataType.simpleString()
-    out = own.cogroup(both.unionByName(sorted_).groupBy("block")).applyInArrow(lambda key, table, found: _cut(table, shards, found, keep_text), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = own.cogroup(both.unionByName(settled).groupBy("block")).applyInArrow(lambda key, table, found: _cut(table, shards, found, keep_text), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     out = out.withColumnRenamed("id", id_col)
     return out if keep_text else out.drop("kept")
