@@ -43,6 +43,8 @@ THRESHOLD = 0.7
 CACHE_WORDS = 200_000
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&@~`|/\\-_=+^…“”‘’«»¿¡"
 _HASH = PrefixHash(11)
+#: Numbers that training counts at once.
+_PART = 1 << 20
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +96,20 @@ def train(buckets: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     balance = 0.5 * len(labels) / np.bincount(labels, minlength=2)
     rng = np.random.default_rng(seed)
-    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS) >= MIN_DOCUMENTS)  # a document has a bucket once
+    seen = np.zeros(BUCKETS, np.int64)
+    for k in range(0, len(buckets), _PART):  # bincount widens what it counts
+        seen += np.bincount(buckets[k : k + _PART], minlength=BUCKETS)
+    used = np.flatnonzero(seen >= MIN_DOCUMENTS)  # a document has a bucket once
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     dense = place[buckets]
-    kept = np.flatnonzero(dense >= 0).astype(np.int32)
-    starts, ends = np.searchsorted(kept, starts.astype(np.int32)), np.searchsorted(kept, ends.astype(np.int32))
-    dense, weights = dense[kept], weights[kept].astype(np.float32, copy=False)
-    del kept
+    keep = dense >= 0
+    before = np.zeros(len(keep) + 1, np.int64 if len(keep) >= 1 << 31 else np.int32)
+    np.cumsum(keep, out=before[1:])
+    starts, ends = before[starts].astype(np.int64), before[ends].astype(np.int64)
+    del before
+    dense, weights = dense[keep], weights[keep].astype(np.float32, copy=False)
+    del keep
     params = [rng.uniform(-0.01, 0.01, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     epochs = max(epochs, -(-LEAST_STEPS // -(-len(labels) // batch)))
