@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonguemill.sources.shared import new_path, shared_dir
@@ -56,6 +56,27 @@ def put_back(df: DataFrame, own: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{n}`").alias(c) for c, n in own.items()))
 
 
+#: Rows numbered by one task.
+NUMBERED_ROWS = 1_000_000
+
+
+def numbered(df: DataFrame, order: list, within: str | None = None) -> DataFrame:
+    """df (a written table) with _number, the row's place from 1 in a total order, or in its part of equal `within`, which the order then begins with.
+
+    Rows are dealt to ranges of the order, counted by range, and numbered in each from what comes before it; the counts, one row a
+    range and value of `within`, are broadcast. No task sees more than a range.
+    """
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // NUMBERED_ROWS))
+    dealt = written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    by = ["_range", within] if within else ["_range"]
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.partitionBy(within) if within else ahead
+    counts = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return dealt.withColumn("_place_in_range", place).join(F.broadcast(counts), by).withColumn("_number", F.col("_ahead") + F.col("_place_in_range")).drop("_range", "_ahead", "_place_in_range")
+
+
 def file_system(path: str):
     """pyarrow file system and the path in it, for a URI or a local path."""
     from pyarrow import fs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemill.llm import bpe, decontam, lines, media, passages, pii, simhash, suffix, toxicity, url_filter
+from tonguemill.llm import bpe, decontam, lines, media, negatives, passages, pii, resample, sharding, simhash, suffix, toxicity, url_filter
 from tonguemill.llm.common import documents, small_batches
 
 
@@ -63,6 +63,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), shards=24)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return resample.resample(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector's label is moved by one, so that some labels are wrong; every hundredth vector is an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    rows = documents(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def _url_sql() -> str:
     rules = sorted(url_filter.HOST_RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in rules]
@@ -78,5 +94,5 @@ FROM hosts
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_byte_bpe, op3_toxicity, op4_repeated_passages, op5_line_dedup, op6_decontamination, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_byte_bpe, op3_toxicity, op4_repeated_passages, op5_line_dedup, op6_decontamination, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_pii, op11_sharding, op12_resampling, op13_hard_negatives)}
 ORACLE_SQL = {"op5_line_dedup": lines.PASSAGES_SQL, "op8_url_filter": _url_sql()}
