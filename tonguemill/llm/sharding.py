@@ -2,8 +2,8 @@
 
 Rows with equal texts are one group, which no shard boundary cuts. Groups enter, largest first, the bin in
 which they leave the least room; the bins' rooms are kept in a balanced tree (a treap), so each step costs the logarithm of their number.
-`bins_needed` opens bins of a fixed capacity as it goes; `even_bins` asks for the smallest capacity at which a given number of
-bins is enough, so that the bins come out near equal.
+`bins_needed` opens bins of a fixed capacity as it goes; `even_bins` has a given number of bins, whose capacity is an even share, so that they come
+out near equal.
 
 At scale it works in two levels. Groups are pre-aggregated by text hash. Those that hold one in ITEMS of all bytes or rows stand for
 themselves; there are at most 2 * ITEMS of them. The rest is dealt by hash to parts of about PART_GROUPS groups, and each part packs its own
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tonguemill.llm.common import numbered, written
 
 #: Crates that the corpus would fill, and groups of a part.
-ITEMS, PART_GROUPS = 6144, 50_000
+ITEMS, PART_GROUPS = 24_576, 50_000
 #: Bytes of a row besides its text.
 ROW_BYTES = 8
 
@@ -57,6 +57,12 @@ class Rooms:
                 node = self.right[node]
         return best
 
+    def roomiest(self) -> int:
+        node = self.root
+        while self.right[node] >= 0:
+            node = self.right[node]
+        return node
+
     def fill(self, node: int, size: int) -> None:
         self._remove(node)
         self.room[node] -= size
@@ -123,40 +129,22 @@ def bins_needed(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _fitted(sizes: list[int], bins: int, capacity: int) -> list[int] | None:
-    """Bins by best fit, None where that many of that capacity are not enough."""
-    rooms, out = Rooms(), []
-    for _ in range(bins):
-        rooms.add(capacity)
-    for size in sizes:
-        node = rooms.tightest(size)
-        if node < 0:
-            return None
-        rooms.fill(node, size)
-        out.append(node)
-    return out
-
-
 def even_bins(sizes: np.ndarray, bins: int) -> np.ndarray:
-    """One of `bins` for each size (given largest first): those above an even share of what is left get one each, the others the smallest
-    capacity that the search finds enough."""
+    """One of `bins` for each size (given largest first): those above an even share of what is left get one each; the others are packed by best fit at the
+    capacity of an even share, and what then fits nowhere, which is small as it comes late, goes where most room is."""
     own, total = 0, int(sizes.sum())
     while own < min(bins - 1, len(sizes)) and int(sizes[own]) * (bins - own) >= total:
         total -= int(sizes[own])
         own += 1
-    rest, left = sizes[own:].tolist(), bins - own
-    if not rest:
-        return np.arange(own)
-    low = -(-total // left)
-    high = low + rest[0]  # enough: else every bin would hold more than the mean
-    found = _fitted(rest, left, high)
-    while low < high:
-        middle = (low + high) // 2
-        if (tried := _fitted(rest, left, middle)) is None:
-            low = middle + 1
-        else:
-            found, high = tried, middle
-    return np.concatenate([np.arange(own), own + np.array(found, np.int64)])
+    rooms, out = Rooms(), np.arange(len(sizes))
+    for _ in range(bins - own):
+        rooms.add(total // (bins - own))
+    for i, size in enumerate(sizes[own:].tolist(), own):
+        node = rooms.tightest(size)
+        node = rooms.roomiest() if node < 0 else node
+        rooms.fill(node, size)
+        out[i] = own + node
+    return out
 
 
 def _crates(capacity: int):
