@@ -74,11 +74,105 @@ def test_engine_that_does_not_load(spark):
         assert not got[0].success and got[0].error_message == R.NOT_LOADED and got[0].translated_text == ""
         assert all(got[i].success and got[i].error_message == "" for i in (1, 2))
     seen = {r.text: r.preview for r in engines.quick_preview_engine(rows, engines.FileEngine("")).collect()}
-    assert seen == {"Hello world": None, "": ""}
+    assert seen == {"Hello world": P.PREVIEW_LLM + "Hello world", "": ""}  # no model is asked for
     engine = engines.PhrasebookEngine(P.PHRASES)
     assert not engine.is_loaded and engine.load() and engine.is_loaded
     said = {r.text: r.preview for r in engines.quick_preview_engine(_requests(spark, "Hello", "Hello World", "a", ""), engine).collect()}
     assert said == {"Hello": P.greeting(), "Hello World": "你好，世界", "a": P.PREVIEW + "a", "": ""}
+    llm = {r.text: r.preview for r in P.quick_preview(_requests(spark, "Test text", "", None), P.phrasebook(spark), llm=True).collect()}
+    assert "Llama.cpp" in llm["Test text"] and llm[""] == "" and llm[None] == ""
+
+    class Strict(engines.FileEngine):
+        def preview(self, rows):
+            assert (rows["text"] != "").all()
+            return super().preview(rows)
+
+    assert [r.preview for r in engines.quick_preview_engine(_requests(spark, "", None, "b", ""), Strict("")).orderBy("request_id").collect()] == ["", "", P.PREVIEW_LLM + "b", ""]
+    assert engines.quick_preview_engine(_requests(spark, ""), Strict("")).first().preview == ""
+    empty = engines.PhrasebookEngine({"silent": ""})  # an empty phrase is a phrase
+    assert [r.preview for r in engines.quick_preview_engine(_requests(spark, "silent"), empty).collect()] == [""]
+
+
+def _spelling(name="spelling"):
+    """An engine that spells texts: `|` is a control token, `!` an error, `~` never ends."""
+
+    class Spelling(engines.FileEngine):  # within a function, so that it travels with the plan
+        def load(self):
+            return True
+
+        def translate_pieces(self, row):
+            for c in row.text:
+                if c == "!":
+                    raise engines.EngineError(f"stuck at {row.request_id}")
+                while c == "~":
+                    yield "~", False
+                yield c, c == "|"
+
+    return Spelling(name)
+
+
+def test_engine_that_answers_in_pieces(spark, monkeypatch):
+    rows = _requests(spark, "ab|c", "", "xy!z", None, "plain \n", "~", "|", "!")
+    events = sorted(map(tuple, engines.run_engine_pieces(rows.where("request_id in (0, 2, 6)"), _spelling()).collect()))
+    said = lambda t: [e[1:] for e in events if e[0] == t]
+    assert said(0) == [(1, "a", False, "token", None), (2, "b", False, "token", None), (3, "|", True, "token", None), (4, "", False, "end", None)]
+    assert said(2) == [(1, "x", False, "token", None), (2, "y", False, "token", None), (3, "", True, "error", "stuck at 2")] and said(6)[0][1:3] == ("|", True)
+    got = {r.request_id: (r.success, r.translated_text, r.error_message) for r in jobs.translate_batch_pieces(rows, _spelling(), most=30_000).collect()}
+    assert got == {0: (True, "ab", ""), 1: (True, "", ""), 2: (False, "", "stuck at 2"), 3: (True, "", ""), 4: (True, "plain", ""), 5: (True, "~" * 30_000, ""), 6: (True, "", ""), 7: (False, "", "stuck at 7")}
+    failed = {r.request_id: (r.success, r.error_message) for r in jobs.translate_batch_pieces(_requests(spark, "a", ""), engines.FileEngine("")).collect()}
+    assert failed == {0: (False, R.NOT_LOADED_STREAM), 1: (True, "")}
+
+
+def test_pieces_are_handed_on_as_they_come(monkeypatch):
+    """No more than HELD_PIECES wait in a runner, even within one text that never ends."""
+    import pandas as pd
+
+    seen = {}
+    monkeypatch.setattr(engines, "HELD_PIECES", 10)
+    monkeypatch.setattr(engines, "_loaded", {})
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        schema = type("S", (), {"simpleString": staticmethod(lambda: "struct<task_id:bigint>")})
+
+        def mapInPandas(self, call, schema):
+            seen["call"] = call
+
+    engines.run_engine_pieces(Frame(), _spelling("never ends"))
+    parts = seen["call"](iter([pd.DataFrame({"request_id": [7], "text": ["a~"]})]))
+    first, second = next(parts), next(parts)
+    assert first["seq"].tolist() == list(range(1, 11)) and second["seq"].tolist() == list(range(11, 21)) and "".join(first["piece"]) == "a" + "~" * 9
+
+
+def test_merging_over_batches(spark):
+    """Tasks cut by Arrow batches, pieces nobody asks for, tasks without pieces, null and repeated ids, string ids, nulls in pieces."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        tokens = [(t, s * 7, "" if s % 5 == 0 else f"{t}{s};", False) for t in "abcd" for s in range(1, 12)] + [("b", 50, None, None), ("e", 1, "x", True), ("e", 2, "y", False), (None, 1, "n", False)]
+        rows = spark.createDataFrame(tokens, "task_id string, seq int, piece string, is_control boolean").repartition(5)
+        tasks = spark.createDataFrame([("b", 0, None), ("b", 0, None), ("d", 4089, None), ("e", 0, None), ("none", None, 0), (None, 0, None), ("c", 0, 4)], "task_id string, prompt_tokens int, cancel_after int")
+        got = {r.task_id: (r.raw_text, r.n_tokens, r.stop_reason) for r in K.assemble_streams(rows, tasks).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    text = lambda t, n: "".join(f"{t}{s};" for s in range(1, n + 1) if s % 5)
+    b = "".join(f"b{s};" for s in range(1, 8) if s % 5) + "".join(f"b{s};" for s in range(8, 12) if s % 5)
+    assert got == {"b": (b, 12, "end"), "d": (text("d", 7), 7, "context"), "e": ("", 0, "control"), "none": ("", 0, "cancelled"), None: ("", 0, "end"), "c": (text("c", 4), 4, "cancelled")}
+
+
+def test_running_count_in_chunks(spark):
+    tokens = [(t, s, "x" * (s % 4), False) for t in (1, 2, None) for s in range(1, 60, t or 3)]
+    want = {}
+    for t, s, p, _ in sorted(tokens, key=lambda r: (str(r[0]), r[1])):
+        want[t, s] = want.get((t, "sum"), 0) + len(p)
+        want[t, "sum"] = want[t, s]
+    rows = spark.createDataFrame(tokens, "task_id long, seq int, piece string, is_control boolean")
+    for chunk in (1, 7, 1000):
+        got = {(r.task_id, r.seq): r.n_chars for r in K.running_char_count(rows, chunk).collect()}
+        assert {k: v for k, v in got.items() if k[0]} == {k: v for k, v in want.items() if k[0] and k[1] != "sum"} and len(got) == len(tokens)
+    plan = K.running_char_count(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("_chunk" in line for line in plan.split("\n") if "windowspecdefinition" in line)
 
 
 def test_recognize_batch(spark):
@@ -166,18 +260,46 @@ def test_stream_assemble_is_batch(spark, tmp_path):
     assert want[1].full_text == "a b" and want[1].raw_text == "a b\n " and want[5].raw_text == "ab" and want[7].success
     events = []
     for t, pieces, p, c in CASES:
-        for i, piece in enumerate(pieces):
-            if c == i:
-                events.append((t, i * 2, "", False, "cancel", p))
-            events.append((t, i * 2 + 1, piece or "", piece is None, "token", p))
-        events.append((t, 999, "", False, "end", p))
+        own = [(piece or "", piece is None, "token") for piece in pieces]
+        if c is not None and c <= len(pieces):
+            own.insert(c, ("", False, "cancel"))
+        events += [(t, i + 1, *e, p) for i, e in enumerate([*own, ("", False, "end"), ("late", False, "token")])]
     schema = "task_id long, seq int, piece string, is_control boolean, event string, prompt_tokens int"
+    want = {t: tuple(r[c] for c in RESULT) for t, r in want.items()}
     for n in (1, 3):  # micro-batches; each takes the next few events of every task
         of = {t: [e for e in events if e[0] == t] for t, *_ in CASES}
         parts = [[e for own in of.values() for e in own[k * len(own) // n : (k + 1) * len(own) // n]] for k in range(n)]
-        assert _assembled(spark, tmp_path, f"r{n}", schema, parts) == {t: tuple(r[c] for c in RESULT) for t, r in want.items()}
-    late = [(1, 2, "b", False, "token", 0), (1, 3, "c", False, "token", 0)], [(1, 1, "a", False, "token", 0), (2, 1, "x", False, "token", 0)], [(1, 9, "", False, "end", 0)], [(1, 4, "z", False, "token", 0), (1, 9, "", False, "end", 0)]
-    assert _assembled(spark, tmp_path, "late", schema, late) == {1: ("abc", "abc", True, "", 3, "end")}
+        assert _assembled(spark, tmp_path, f"r{n}", schema, parts) == want
+    # a control that comes late takes the pieces behind it along
+    late = [(1, 1, "a", False, "token", 0), (1, 4, "X", False, "token", 0), (2, 1, "x", False, "token", 0)], [(1, 3, "", True, "token", 0), (1, 5, "", False, "end", 0)], [(1, 2, "b", False, "token", 0)], [(1, 6, "z", False, "token", 0), (1, 1, "again", False, "token", 0)]
+    assert _assembled(spark, tmp_path, "late", schema, late) == {1: ("ab", "ab", True, "", 2, "control")}
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a stream with a TTL waits for it
-    assert _assembled(spark, tmp_path, "ttl", schema, late[1:], ttl_ms=3_600_000) == {1: ("a", "a", True, "", 1, "end")}
+    assert _assembled(spark, tmp_path, "ttl", schema, late, ttl_ms=3_600_000) == {1: ("ab", "ab", True, "", 2, "control")}
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_shuffled_events_over_many_batches(spark, tmp_path):
+    """Any split and order of events, repeats among them, gives the batch form's result."""
+    import random
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(5)
+    tokens, tasks, events = [], [], []
+    for t in range(60):
+        pieces = [None if rng.random() < 0.04 else rng.choice(["a", "bc", " ", "\n", "é"]) for _ in range(rng.randint(0, 25))]
+        prompt, after = rng.choice([0, 0, 4090, 4080, 4096, 4097]), rng.choice([None, None, 0, 3, 10, 30])
+        tokens += [(t, i + 1, p or "", p is None) for i, p in enumerate(pieces)]
+        tasks.append((t, prompt, after))
+        own = [(p or "", p is None, "token") for p in pieces]
+        if after is not None and after <= len(own):
+            own.insert(after, ("", False, "cancel"))
+        events += [(t, i + 1, *e, prompt) for i, e in enumerate([*own, ("", False, "end"), ("behind", False, "token")])]
+    events += rng.sample(events, 100)
+    rng.shuffle(events)
+    batch = K.assemble_streams(spark.createDataFrame(tokens, "task_id long, seq int, piece string, is_control boolean"), spark.createDataFrame(tasks, "task_id long, prompt_tokens int, cancel_after int"), max_tokens=20)
+    want = {r.task_id: tuple(r[c] for c in RESULT) for r in batch.collect()}
+    assert len({w[-1] for w in want.values()}) == 6
+    cuts = sorted(rng.sample(range(1, len(events)), 5))
+    parts = [events[a:b] for a, b in zip([0, *cuts], [*cuts, len(events)], strict=True)]
+    schema = "task_id long, seq int, piece string, is_control boolean, event string, prompt_tokens int"
+    assert _assembled(spark, tmp_path, "mixed", schema, parts, max_tokens=20) == want

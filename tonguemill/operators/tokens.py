@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonguemill.functions.text import trim_artifacts
+from tonguemill.operators.merging import merged
 from tonguemill.operators.requests import CANCELLED
 
 MAX_TOKENS, CONTEXT = 4096, 4096
 CONTEXT_OCR = 8192
+#: Context of an engine that has no bound of its own.
+UNBOUNDED = 1 << 62
+#: Places of seq in a chunk of a running count.
+CHUNK = 1 << 16
 # Fixed values.
 DECODE_ERROR, DECODE_ERROR_OCR = "Llama.cpp 解码推理失败 (llama_decode error)。", "解码 Token 失败 (llama_decode error)"
 
@@ -36,44 +41,49 @@ def cap_tokens(tokens: DataFrame, budgets: DataFrame, max_tokens: int = MAX_TOKE
     return ranked.join(budgets.select("task_id", "prompt_tokens"), "task_id", "left").where(F.col("_n") <= room).select(*tokens.columns)
 
 
-def running_char_count(tokens: DataFrame) -> DataFrame:
-    """Adds n_chars: characters up to and with the piece."""
-    upto = _by_task().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tokens.withColumn("n_chars", F.sum(F.char_length("piece")).over(upto))
+def running_char_count(tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Adds n_chars: characters up to and with the piece. A task is counted in chunks of `chunk` places of seq: what the chunks before hold is summed over
+    chunk totals, so a task of any length takes as many tasks of Spark as it has chunks."""
+    rows = tokens.withColumn("_chunk", F.floor((F.col("seq") - 1) / chunk))
+    totals = rows.groupBy("task_id", "_chunk").agg(F.sum(F.char_length("piece")).alias("_n"))
+    ahead = F.sum("_n").over(_by_task().orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    before = totals.select(F.col("task_id").alias("_task"), F.col("_chunk").alias("_at"), ahead.alias("_before")).where("_before > 0")
+    upto = Window.partitionBy("task_id", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.withColumn("n_chars", F.sum(F.char_length("piece")).over(upto))  # dealt by task and chunk, as the join asks
+    met = counted.join(before, (F.col("task_id") == F.col("_task")) & (F.col("_chunk") == F.col("_at")), "left")
+    return met.select(*tokens.columns, (F.col("n_chars") + F.coalesce("_before", F.lit(0))).alias("n_chars"))
 
 
 def assemble_streams(tokens: DataFrame, tasks: DataFrame, max_tokens: int | None = MAX_TOKENS, context: int = CONTEXT, ocr: bool = False, dense: bool = False) -> DataFrame:
     """A stream result for every task of `tasks` (task_id, prompt_tokens, cancel_after).
 
     Kept are the pieces before the first control token, up to max_tokens and to the room that the prompt
-    leaves in the context, or exactly cancel_after of them where that is no more. No task can use more than
-    context + 1 pieces; with dense (seq counts from 1 without gaps) the rest is dropped before the shuffle,
-    else each task's pieces are numbered first.
+    leaves in the context, or exactly cancel_after of them where that is no more. With dense (seq counts from 1 without gaps)
+    what a task has no room for is dropped before the shuffle; Spark broadcasts the tasks for that where their size allows.
 
     With ocr there is no cap and the piece that no longer fits fails the task with what it has, itself included; the
-    text of a cancelled task is not trimmed.
+    text of a cancelled task is not trimmed. A control token with an error_message (where tokens have that column) fails its task
+    with what it has.
     """
-    most_pieces = context + 1 if ocr or max_tokens is None else min(max_tokens, context) + 1
+    most, extra = (None, 1) if ocr else (max_tokens, 0)
+    known = tasks.select("task_id", (context - F.coalesce(F.col("prompt_tokens"), F.lit(0)).cast("bigint")).alias("_room"), F.col("cancel_after").alias("_k"))
+    note = F.col("error_message") if "error_message" in tokens.columns else F.lit(None).cast("string")
+    rows = tokens.select("task_id", "seq", "piece", "is_control", note.alias("note"))
     if dense:
-        ranked = tokens.where(F.col("seq") <= most_pieces).select("task_id", F.col("seq").cast("int").alias("_n"), "piece", "is_control")
-    else:
-        ranked = tokens.select("task_id", F.row_number().over(_by_task().orderBy("seq")).alias("_n"), "piece", "is_control").where(F.col("_n") <= most_pieces)
-    logs = ranked.groupBy("task_id").agg(F.count(F.lit(1)).alias("_total"), F.min(F.when(F.col("is_control"), F.col("_n"))).alias("_control"), F.array_sort(F.collect_list(F.struct("_n", "piece"))).alias("_pieces"))
-    rows = tasks.select("task_id", F.coalesce("prompt_tokens", F.lit(0)).alias("_p"), F.col("cancel_after").alias("_k")).join(logs, "task_id", "left")
-    room = context - F.col("_p")
-    spoken = F.coalesce(F.col("_control") - 1, F.coalesce("_total", F.lit(0)))
-    last = room + 1 if ocr else room if max_tokens is None else F.least(F.lit(max_tokens), room)
-    most = F.greatest(F.least(spoken, last), F.lit(0))
-    broken = room < 0
-    cancelled = ~broken & F.coalesce(F.col("_k") <= most, F.lit(False))
-    overrun = ~broken & ~cancelled & (spoken > room) if ocr else F.lit(False)
-    kept = F.when(broken, 0).when(cancelled, F.col("_k")).otherwise(most).cast("int")
-    raw = F.array_join(F.transform(F.slice(F.coalesce("_pieces", F.array().cast("array<struct<_n:int,piece:string>>")), F.lit(1), F.col("n_tokens")), lambda x: x["piece"]), "")
-    reason = F.when(F.col("_broken") | F.col("_overrun"), "error").when(F.col("_cancelled"), "cancelled")
+        last = F.col("_room") + extra if most is None else F.least(F.lit(most), F.col("_room"))
+        asked = known.groupBy(F.col("task_id").alias("_task")).agg(F.max(last).alias("_last"))
+        rows = rows.join(asked, (F.col("task_id") == F.col("_task")) & (F.col("seq") <= F.col("_last"))).drop("_task", "_last")
+    rows = merged(rows, known, most, extra)
+    broken = F.col("_room") < 0
+    cancelled = ~broken & F.coalesce(F.col("_k") <= F.col("spoken"), F.lit(False))
+    overrun = ~broken & ~cancelled & (F.col("spoken") > F.col("_room")) if ocr else F.lit(False)
+    failed = ~broken & ~cancelled & F.col("note").isNotNull()
+    n_tokens = F.when(cancelled, F.col("_k")).otherwise(F.col("spoken")).cast("int")
+    reason = F.when(broken | overrun | failed, "error").when(cancelled, "cancelled")
     if not ocr:
-        reason = reason.when(F.col("n_tokens") == F.lit(max_tokens), "max_tokens").when(F.col("n_tokens") == room, "context")
-    reason = reason.when(F.col("_control").isNotNull(), "control").otherwise("end")
-    rows = rows.withColumns({"_broken": broken, "_cancelled": cancelled, "_overrun": overrun, "n_tokens": kept}).withColumn("raw_text", raw)
-    error = F.when(F.col("_broken") | F.col("_overrun"), DECODE_ERROR_OCR if ocr else DECODE_ERROR).when(F.col("_cancelled"), CANCELLED).otherwise("")
+        reason = reason.when(n_tokens == F.lit(max_tokens), "max_tokens").when(n_tokens == F.col("_room"), "context")
+    reason = reason.when(F.col("stopped"), "control").otherwise("end")
+    error = F.when(broken | overrun, DECODE_ERROR_OCR if ocr else DECODE_ERROR).when(cancelled, CANCELLED).when(failed, F.col("note")).otherwise("")
+    rows = rows.select("task_id", "raw_text", cancelled.alias("_cancelled"), n_tokens.alias("n_tokens"), reason.alias("stop_reason"), error.alias("error_message"))
     text = F.when(F.col("_cancelled"), F.col("raw_text")).otherwise(trim_artifacts(F.col("raw_text"))) if ocr else trim_artifacts(F.col("raw_text"))
-    return rows.select("task_id", (error == "").alias("success"), text.alias("full_text"), "raw_text", error.alias("error_message"), "n_tokens", reason.alias("stop_reason"))
+    return rows.select("task_id", (F.col("error_message") == "").alias("success"), text.alias("full_text"), "raw_text", "error_message", "n_tokens", "stop_reason")

@@ -1,23 +1,33 @@
-"""Engines that a user plugs in, and the runner that calls them from mapInPandas.
+"""Engines that a user plugs in, and the runners that call them from mapInPandas.
 
 An engine is an object with `key` (names what it loads, so that a reused worker keeps a loaded engine),
-`is_loaded`, `load() -> bool`, and those of these methods that its jobs call, each from a
-pandas.DataFrame of rows to a Series: `translate` (text, source_lang, target_lang), `preview` (the same) and
-`recognize` (content, task_type, prompt; None for an image that it cannot read). `load` runs once a Python
-worker as long as it succeeds; where it fails, the rows come back without an answer and say so.
+`is_loaded`, `load() -> bool`, and those of these methods that its jobs call. From a
+pandas.DataFrame of rows to a Series: `translate` (text, source_lang, target_lang), `preview` (the same; needs no model) and
+`recognize` (content, task_type, prompt; None for an image that it cannot read). From one row to an iterator of
+(piece, is_control), piece by piece as they come: `translate_pieces` and `recognize_pieces`; an EngineError that it raises ends that row's
+pieces with its message. `load` runs once a Python worker as long as it succeeds; where it fails, the rows come back without
+an answer and say so.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonguemill.operators import phrasebook as P
+from tonguemill.operators.requests import NOT_LOADED_STREAM
 
 _loaded: dict = {}
+#: Pieces, and characters of them, that a runner holds back before it hands them on.
+HELD_PIECES, HELD_CHARS = 10_000, 1 << 20
+
+
+class EngineError(Exception):
+    """Ends one row's pieces; its message is that row's error."""
 
 
 class PhrasebookEngine:
@@ -35,8 +45,13 @@ class PhrasebookEngine:
         return rows["text"].map(lambda t: "" if not t else self.phrases.get(t, P.ANSWER_OPEN + t + P.answer_close(self.name)))
 
     def preview(self, rows: pd.DataFrame) -> pd.Series:
-        say = lambda t: "" if not t else self.phrases.get(t) or (P.greeting(self.name) if "Hello" in t else P.PREVIEW + t)
-        return rows["text"].map(say)
+        other = lambda t: P.greeting(self.name) if "Hello" in t else P.PREVIEW + t
+        return rows["text"].map(lambda t: self.phrases[t] if t in self.phrases else other(t))
+
+    def translate_pieces(self, row) -> Iterator[tuple[str, bool]]:
+        """The answer a character at a time."""
+        for piece in self.phrases.get(row.text, P.ANSWER_OPEN + row.text + P.answer_close(self.name)):
+            yield piece, False
 
 
 class FileEngine:
@@ -49,6 +64,10 @@ class FileEngine:
         self.is_loaded = bool(self.path) and os.path.isfile(self.path)
         return self.is_loaded
 
+    def preview(self, rows: pd.DataFrame) -> pd.Series:
+        """The fixed form of a preview, which no model is asked for."""
+        return P.PREVIEW_LLM + rows["text"]
+
 
 class StubOcrEngine:
     """Answers with the task's name and the content as text; empty content cannot be read."""
@@ -63,6 +82,14 @@ class StubOcrEngine:
         return pd.Series([f"{t}: {bytes(c).decode('utf-8', 'ignore')}" if c else None for t, c in zip(rows["task_type"], rows["content"], strict=True)], index=rows.index, dtype=object)
 
 
+def _ready(engine):
+    """The engine, loaded in this worker, or None."""
+    own = _loaded.get(engine.key)
+    if own is None and engine.load():
+        own = _loaded[engine.key] = engine
+    return own
+
+
 def run_engine(df: DataFrame, engine, method: str, out: str = "translated_text", drop: tuple[str, ...] = ()) -> DataFrame:
     """df (without `drop`) with the engine's answers in column `out` and engine_loaded, batch by batch.
 
@@ -72,9 +99,7 @@ def run_engine(df: DataFrame, engine, method: str, out: str = "translated_text",
     schema = df.select(*keep).schema.add(out, "string").add("engine_loaded", "boolean")
 
     def call(batches):
-        own = _loaded.get(engine.key)
-        if own is None and engine.load():
-            own = _loaded[engine.key] = engine
+        own = _ready(engine)
         for rows in batches:
             answers = getattr(own, method)(rows) if own is not None and len(rows) else pd.Series([None] * len(rows), index=rows.index, dtype=object)
             yield rows[keep].assign(**{out: answers, "engine_loaded": own is not None})
@@ -82,7 +107,52 @@ def run_engine(df: DataFrame, engine, method: str, out: str = "translated_text",
     return df.mapInPandas(call, schema)
 
 
+def run_engine_pieces(df: DataFrame, engine, method: str = "translate_pieces", id_col: str = "request_id", most: int | None = None, not_loaded: str = NOT_LOADED_STREAM) -> DataFrame:
+    """Token events (task_id, seq, piece, is_control, event, error_message) of df's rows as the engine says them: many rows out for one in.
+
+    seq counts a task's events from 1. A task ends with `end`, or with `error` (a control token with its message) where the engine raises EngineError for it or does not load. Its
+    iterator is left at its first control token, and after `most` pieces. Pieces are handed on by thousands, so a task of any length needs no
+    more memory than that.
+    """
+    kind = df.select(F.col(id_col).alias("task_id")).schema.simpleString()[7:-1]
+    names = ("task_id", "seq", "piece", "is_control", "event", "error_message")
+
+    def call(batches):
+        own = _ready(engine)
+        held, size = [], 0
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                task, seq, error = getattr(row, id_col), 0, not_loaded if own is None else None
+                try:
+                    for piece, control in getattr(own, method)(row) if own is not None else ():
+                        seq += 1
+                        size += len(piece)
+                        held.append((task, seq, piece, control, "token", None))
+                        if len(held) >= HELD_PIECES or size >= HELD_CHARS:
+                            yield pd.DataFrame(held, columns=names)
+                            held, size = [], 0
+                        if control or seq == most:
+                            break
+                except EngineError as e:
+                    error = str(e)
+                held.append((task, seq + 1, "", error is not None, "end" if error is None else "error", error))
+        if held:
+            yield pd.DataFrame(held, columns=names)
+
+    return df.mapInPandas(call, f"{kind}, seq bigint, piece string, is_control boolean, event string, error_message string")
+
+
 def quick_preview_engine(requests: DataFrame, engine) -> DataFrame:
-    """Adds preview, the engine's quick answer; empty texts get an empty one without it, others null where it does not load."""
-    rows = run_engine(requests.withColumn("text", F.coalesce("text", F.lit(""))), engine, "preview", "preview")
-    return rows.withColumn("preview", F.when(F.col("text") == "", "").otherwise(F.col("preview"))).drop("engine_loaded")
+    """Adds preview, the engine's quick answer, for which no model is loaded; empty texts get an empty one and never reach it."""
+    rows = requests.withColumn("text", F.coalesce("text", F.lit("")))
+    schema = rows.select("*", F.lit("").alias("preview")).schema
+
+    def call(batches):
+        for batch in batches:
+            asked = batch["text"] != ""
+            answers = pd.Series("", index=batch.index, dtype=object)
+            if asked.any():
+                answers[asked] = engine.preview(batch[asked])
+            yield batch.assign(preview=answers)
+
+    return rows.mapInPandas(call, schema)

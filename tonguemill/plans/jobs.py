@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tonguemill.functions.text import char_count, ocr_prompt, trim_artifacts
 from tonguemill.operators.phrasebook import translate_phrasebook
 from tonguemill.operators.requests import apply_default_pair, gate_model, respond
-from tonguemill.plans.engines import run_engine
+from tonguemill.operators.tokens import UNBOUNDED, assemble_streams
+from tonguemill.plans.engines import run_engine, run_engine_pieces
 
 # Fixed values.
 NO_IMAGE, BAD_IMAGE = "待识别图像文件不存在 (", "无法读取或解析图像文件 ("
@@ -44,6 +45,20 @@ def translate_batch_engine(requests: DataFrame, engine, partitions: int | None =
     return respond(gate_model(met, F.coalesce("engine_loaded", F.lit(False))))
 
 
+def translate_batch_pieces(requests: DataFrame, engine, most: int | None = None) -> DataFrame:
+    """Responses of an engine that answers piece by piece: its token events, assembled into texts. request_id is unique.
+
+    Empty texts never reach the engine. Where it does not load, or fails on a text, the response says so.
+    """
+    rows = apply_default_pair(requests).withColumn("text", F.coalesce("text", F.lit("")))
+    asked = rows.where("text <> ''")
+    said = run_engine_pieces(asked, engine, most=most).where("event <> 'end'")
+    tasks = asked.select(F.col("request_id").alias("task_id"), F.lit(0).alias("prompt_tokens"), F.lit(None).cast("int").alias("cancel_after"))
+    found = assemble_streams(said, tasks, max_tokens=most, context=UNBOUNDED)
+    answers = found.select(F.col("task_id").alias("_task"), F.col("full_text").alias("translated_text"), F.when(~F.col("success"), F.col("error_message")).alias("error_message"))
+    return respond(rows.join(answers, F.col("request_id") == F.col("_task"), "left"))
+
+
 def gate_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
     """Manifest rows (path, task_type) with error_message where the file is missing or empty; reads path and length only."""
     found = images.groupBy("path").agg(F.max("length").alias("_length"))

@@ -14,7 +14,7 @@ from tonguemill.operators.history import HISTORY, admit_history, append_history,
 from tonguemill.plans import engines, jobs
 from tonguemill.sources.readers import REQUESTS, is_image, read_images, read_requests
 from tonguemill.sources.shared import new_path
-from tonguemill.streaming.streams import STATE_STORE, stream_assemble, stream_translate
+from tonguemill.streaming.streams import state_store, stream_assemble, stream_translate
 
 SOURCE = "CASE WHEN doc_id % 7 = 0 THEN 'auto' WHEN doc_id % 19 = 0 THEN NULL ELSE lang END"
 TARGET = "CASE doc_id % 6 WHEN 0 THEN 'zh' WHEN 1 THEN 'ja' WHEN 2 THEN 'ko' WHEN 3 THEN 'zh-Hant' WHEN 4 THEN 'auto' ELSE 'xx' END"
@@ -63,6 +63,24 @@ def engine_quick_preview(spark, sf_dir):
     return engines.quick_preview_engine(req(spark, sf_dir), engines.PhrasebookEngine(P.PHRASES)).select("request_id", "preview")
 
 
+def engine_pieces(spark, sf_dir):
+    """Answers that an engine gives piece by piece, assembled."""
+    return jobs.translate_batch_pieces(req(spark, sf_dir), engines.PhrasebookEngine(P.PHRASES))
+
+
+def engine_pieces_not_loaded(spark, sf_dir):
+    return jobs.translate_batch_pieces(req(spark, sf_dir), engines.FileEngine(""))
+
+
+def quick_preview_llm(spark, sf_dir):
+    return P.quick_preview(req(spark, sf_dir), P.phrasebook(spark), llm=True).select("request_id", "preview")
+
+
+def engine_quick_preview_llm(spark, sf_dir):
+    """Previews of an engine whose model is not there."""
+    return engines.quick_preview_engine(req(spark, sf_dir), engines.FileEngine("")).select("request_id", "preview")
+
+
 def engine_not_loaded(spark, sf_dir):
     return jobs.translate_batch_engine(req(spark, sf_dir), engines.FileEngine(""))
 
@@ -251,21 +269,27 @@ def stream_translate_query(spark, sf_dir):
 
 
 def stream_assemble_query(spark, sf_dir):
-    """`documents` as a stream of token events (pieces up to the cap, a cancel where one is planned, an end), assembled; equals assemble_streams."""
-    spark.conf.set(*STATE_STORE)
+    """`documents` as a stream of token events (a cancel after its hundredth piece where one is planned, an end behind the last), assembled; equals assemble_streams.
+    Each text's events are dealt anew, so most come out of order."""
     at = new_path(spark, "stream")
+    cancelled = "doc_id % 100 = 0"
+    pieces = "CASE WHEN text <> '' THEN split(text, '') ELSE array() END"
+    events = _stream(spark, sf_dir).selectExpr("doc_id AS task_id", "cast(3000 + doc_id % 1000 AS int) AS prompt_tokens", f"{pieces} AS pieces", f"{cancelled} AS stops")
+    # a cancel that lies behind the last piece stays away: the text is whole by then
+    late = "stops AND size(pieces) >= 100"
+    token = f"transform(pieces, (p, i) -> named_struct('seq', cast(i + 1 + CASE WHEN {late} AND i >= 100 THEN 1 ELSE 0 END AS bigint), 'piece', p, 'is_control', p = '\n', 'event', 'token'))"
+    cancel = f"CASE WHEN {late} THEN array(named_struct('seq', 101L, 'piece', '', 'is_control', false, 'event', 'cancel')) ELSE array() END"
+    end = f"array(named_struct('seq', cast(size(pieces) + 1 + CASE WHEN {late} THEN 1 ELSE 0 END AS bigint), 'piece', '', 'is_control', false, 'event', 'end'))"
     kind = "array<struct<seq:bigint,piece:string,is_control:boolean,event:string>>"
-    piece = f"transform(slice(split(text, ''), 1, {K.MAX_TOKENS + 1}), (p, i) -> named_struct('seq', 2L * i + 2, 'piece', p, 'is_control', p = '\n', 'event', 'token'))"
-    cancel = "CASE WHEN doc_id % 100 = 0 THEN array(named_struct('seq', 201L, 'piece', '', 'is_control', false, 'event', 'cancel')) ELSE array() END"
-    end = "array(named_struct('seq', 1000000L, 'piece', '', 'is_control', false, 'event', 'end'))"
-    events = _stream(spark, sf_dir).selectExpr("doc_id AS task_id", "cast(3000 + doc_id % 1000 AS int) AS prompt_tokens", f"explode(concat(CASE WHEN text <> '' THEN {piece} ELSE cast(array() AS {kind}) END, cast({cancel} AS {kind}), {end})) AS e")
+    events = events.selectExpr("task_id", "prompt_tokens", f"explode(concat({end}, cast({cancel} AS {kind}), reverse({token}))) AS e")
     found = stream_assemble(events.select("task_id", "prompt_tokens", "e.*"))
-    found.writeStream.format("parquet").option("path", f"{at}/results").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        found.writeStream.format("parquet").option("path", f"{at}/results").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{at}/results")
 
 
 QUERIES = {
-    **{f.__name__: f for f in (translate_batch, translate_batch_memory, engine_map_in_pandas, translate_no_model, task_status, quick_preview, resolve_languages, default_pair, eligible_targets, ineligible_targets, pairs_of_requests, build_prompt, swap_direction, char_counts, trim_artifacts, split_codepoints, stop_at_control, cap_tokens, running_char_count, assemble_streams, render_result, supersede_requests, history_admitted, ocr_prompt, recognize_batch, engine_quick_preview, engine_not_loaded, assemble_ocr_streams, render_ocr_result, history_scan, history_append_clear, requests_read, images_read, recognize_no_model)},
+    **{f.__name__: f for f in (translate_batch, translate_batch_memory, engine_map_in_pandas, translate_no_model, task_status, quick_preview, resolve_languages, default_pair, eligible_targets, ineligible_targets, pairs_of_requests, build_prompt, swap_direction, char_counts, trim_artifacts, split_codepoints, stop_at_control, cap_tokens, running_char_count, assemble_streams, render_result, supersede_requests, history_admitted, ocr_prompt, recognize_batch, engine_quick_preview, engine_not_loaded, engine_pieces, engine_pieces_not_loaded, quick_preview_llm, engine_quick_preview_llm, assemble_ocr_streams, render_ocr_result, history_scan, history_append_clear, requests_read, images_read, recognize_no_model)},
     "stream_translate": stream_translate_query,
     "stream_assemble": stream_assemble_query,
 }
@@ -318,6 +342,7 @@ def _sql_text(s: str) -> str:
 _HISTORY = f"WITH {_PAIR}, {_BOOK} SELECT request_id::VARCHAR AS id, text AS source_text, {_ANSWER} AS translated_text, source_lang, target_lang, 1700000000 + request_id AS ts FROM pair LEFT JOIN book ON text = source_text WHERE text <> ''"
 _NO_MODEL = f"WITH {_REQ} SELECT request_id, text = '' AS success, text AS original_text, '' AS translated_text, CASE WHEN text = '' THEN '' ELSE '{R.NOT_LOADED}' END AS error_message, strlen(text) AS source_char_count, 0::BIGINT AS target_char_count FROM req"
 _PREVIEW = f"WITH {_REQ}, {_BOOK} SELECT request_id, CASE WHEN text = '' THEN '' WHEN phrase IS NOT NULL THEN phrase WHEN contains(text, 'Hello') THEN '{P.greeting()}' ELSE '{P.PREVIEW}' || text END AS preview FROM req LEFT JOIN book ON text = source_text"
+_PREVIEW_LLM = f"WITH {_REQ} SELECT request_id, CASE WHEN text = '' THEN '' ELSE '{P.PREVIEW_LLM}' || text END AS preview FROM req"
 _SEEN = f"""WITH i AS (SELECT {IMAGE} AS path, {_TASK} AS task_type, html, page_id % 6 <> 5 AS there FROM pages),
 t AS (SELECT path, there, strlen(html) AS size, CASE WHEN there AND {{ready}} AND strlen(html) > 0 THEN rtrim(task_type || ': ' || html, chr(32) || chr(10) || chr(13) || chr(9)) ELSE '' END AS text FROM i)
 SELECT path, there AND {{ready}} AND size > 0 AS success, text, CASE WHEN NOT there THEN '{jobs.NO_IMAGE}' || path || ')' WHEN size = 0 THEN '{jobs.BAD_IMAGE}' || path || ')' WHEN NOT {{ready}} THEN '{jobs.NOT_LOADED_OCR}' ELSE '' END AS error_message, length(text) AS n_chars FROM t"""
@@ -331,6 +356,10 @@ ORACLE_SQL = {
     "task_status": f"WITH {_REQ} SELECT request_id, CASE WHEN text <> '' AND request_id % 2 <> 0 THEN 'Failed' WHEN request_id % 6 <> 2 THEN 'Completed' ELSE 'Pending' END AS status FROM req",
     "quick_preview": _PREVIEW,
     "engine_quick_preview": _PREVIEW,
+    "engine_pieces": _responses(_BOOK),
+    "engine_pieces_not_loaded": _NO_MODEL.replace(R.NOT_LOADED, R.NOT_LOADED_STREAM),
+    "quick_preview_llm": _PREVIEW_LLM,
+    "engine_quick_preview_llm": _PREVIEW_LLM,
     "resolve_languages": f"WITH {_LANG}, {_REQ}, r AS (SELECT request_id, source_lang FROM req UNION ALL SELECT request_id, upper(source_lang) FROM req), c AS (SELECT request_id, source_lang, coalesce(code, 'AutoDetect') AS code FROM r LEFT JOIN lang_t ON code_name = source_lang) SELECT request_id, source_lang, c.code, code_name, display_name, c.code AS back, c.code AS by_display FROM c JOIN lang_t ON lang_t.code = c.code",
     "default_pair": f"WITH {_PAIR} SELECT request_id, source_lang, target_lang FROM pair",
     "eligible_targets": f"WITH {_LANG}, {_REQ} SELECT request_id, target_lang FROM req SEMI JOIN lang_t ON code_name = target_lang AND code <> 'AutoDetect'",

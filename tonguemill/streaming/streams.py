@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +19,18 @@ RESULT = "task_id bigint, success boolean, full_text string, raw_text string, er
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that stream_assemble needs, set for the session while a query starts and runs, and then as before."""
+    name, value = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def stream_translate(requests: DataFrame, book: DataFrame, responses: str, history: str, checkpoint: str):
     """Answers a stream of requests and files the good ones. Each batch overwrites its own partition, so a replay repeats nothing."""
 
@@ -32,50 +45,78 @@ def stream_translate(requests: DataFrame, book: DataFrame, responses: str, histo
 
 
 class _Assemble(StatefulProcessor):
-    """Pieces of a task until it ends: list state that grows by what each batch brings, read once, at the terminal event."""
+    """A task's events in the order of seq, whatever the order they come in.
+
+    `kept` holds the pieces up to the frontier, the first seq that has not come; they are appended and read once, when the task ends. `waiting` holds what lies beyond
+    it, by seq. What no room or cap lets a task use is never stored, so its state is at most the cap and one event.
+    """
 
     def __init__(self, max_tokens: int, context: int, ttl: int | None):
         self.max_tokens, self.context, self.ttl = max_tokens, context, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pieces = handle.getListState("pieces", "seq bigint, piece string", self.ttl)
-        self.count = handle.getValueState("count", "n int", self.ttl)
+        event = "piece string, is_control boolean, event string, prompt_tokens int"
+        self.kept = handle.getListState("kept", "piece string", self.ttl)
+        self.waiting = handle.getMapState("waiting", "seq bigint", event, self.ttl)
+        self.place = handle.getValueState("place", "n bigint, waits bigint", self.ttl)
         self.ended = handle.getValueState("ended", "done boolean", self.ttl)
 
+    def _reason(self, n: int, piece: str, is_control: bool, event: str, prompt_tokens: int) -> str | None:
+        """Why a task with n pieces ends at this event, if it does."""
+        room = self.context - prompt_tokens
+        if room < 0:  # the prompt is refused before anything is said
+            return "error"
+        if event == "cancel":
+            return "cancelled"
+        if n >= self.max_tokens:
+            return "max_tokens"
+        if n >= room:
+            return "context"
+        return "end" if event == "end" else "control" if is_control else None
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        parts = list(rows)  # one task's events of one batch
-        if self.ended.exists():
+        new = {}
+        for part in rows:
+            # n pieces are followed by event n + 1, so a task looks at none beyond its cap and one more
+            cap = (self.context - part["prompt_tokens"]).clip(0, self.max_tokens) + 1
+            for seq, *event in part[part["seq"] <= cap][["seq", "piece", "is_control", "event", "prompt_tokens"]].itertuples(index=False, name=None):
+                new[int(seq)] = event
+        if not new or self.ended.exists():
             return
-        n, new = self.count.get()[0] if self.count.exists() else 0, []
-        for row in pd.concat(parts).sort_values("seq", kind="stable").itertuples(index=False):
-            room = self.context - int(row.prompt_tokens)
-            if row.event == "cancel":
-                reason = "cancelled"
-            elif room < 0:
-                reason = "error"
-            elif n >= self.max_tokens:
-                reason = "max_tokens"
-            elif n >= room:
-                reason = "context"
-            elif row.event == "end":
-                reason = "end"
-            elif row.is_control:
-                reason = "control"
+        n, waits = self.place.get() if self.place.exists() else (0, 0)
+        pieces, reason = [], None
+        while reason is None:
+            here = (n + 1,)
+            if n + 1 in new:
+                event = new.pop(n + 1)
+                if waits and self.waiting.containsKey(here):  # came before already
+                    self.waiting.removeKey(here)
+                    waits -= 1
+            elif waits and self.waiting.containsKey(here):
+                event = self.waiting.getValue(here)
+                self.waiting.removeKey(here)
+                waits -= 1
             else:
-                new.append((int(row.seq), row.piece))
+                break
+            if (reason := self._reason(n, *event)) is None:
+                pieces.append((event[0] or "",))
                 n += 1
-                continue
-            known = [(r[0], r[1]) for r in self.pieces.get()] if self.pieces.exists() else []
-            raw = "" if reason == "error" else "".join(p for _, p in sorted([*known, *new], key=lambda x: x[0]))
-            error = {"cancelled": CANCELLED, "error": DECODE_ERROR}.get(reason, "")
-            self.pieces.clear()
-            self.count.clear()
-            self.ended.update((True,))
-            yield pd.DataFrame([(key[0], not error, raw.rstrip(" \n\r\t"), raw, error, 0 if reason == "error" else n, reason)], columns=[c.split()[0] for c in RESULT.split(", ")])
+        if reason is None:
+            for seq, event in new.items():
+                if seq > n:
+                    waits += not (waits and self.waiting.containsKey((seq,)))
+                    self.waiting.updateValue((seq,), tuple(event))
+            if pieces:
+                self.kept.appendList(pieces)
+            self.place.update((n, waits))
             return
-        if new:
-            self.pieces.appendList(new)
-            self.count.update((n,))
+        before = [r[0] for r in self.kept.get()] if self.kept.exists() else []
+        raw = "" if reason == "error" else "".join([*before, *(p for (p,) in pieces)])
+        error = {"cancelled": CANCELLED, "error": DECODE_ERROR}.get(reason, "")
+        for state in (self.kept, self.waiting, self.place):
+            state.clear()
+        self.ended.update((True,))
+        yield pd.DataFrame([(key[0], not error, raw.rstrip(" \n\r\t"), raw, error, n, reason)], columns=[c.split()[0] for c in RESULT.split(", ")])
 
     def close(self) -> None:
         pass
@@ -84,9 +125,10 @@ class _Assemble(StatefulProcessor):
 def stream_assemble(events: DataFrame, max_tokens: int = MAX_TOKENS, context: int = CONTEXT, ttl_ms: int | None = None) -> DataFrame:
     """A result row for each task once it ends, from events (task_id, seq, piece, is_control, event, prompt_tokens).
 
-    event: token, cancel or end. A task without a terminal event gives nothing. Pieces may come in any order and over any number of
-    batches, they are joined by seq; what ends the task (control, cap, cancel, end) ends it with what has come by then,
-    and what comes later is ignored. With ttl_ms, tasks that have heard nothing for so long (processing time) are
+    event: token, cancel or end; seq counts a task's events, of whatever kind, from 1 without gaps. They may come in any order, more than once, and over any
+    number of batches: a task's events take effect in the order of seq, as in the batch form, so a control, a cap, a cancel or an end ends
+    it at its own place once all before it have come, and what lies behind is ignored. A task whose end has not come, or which lacks an
+    event before it, gives nothing yet. With ttl_ms, tasks that have heard nothing for so long (processing time) are
     forgotten, and so are the marks of ended ones; without it both stay. Such a query ends under availableNow only where
     spark.sql.streaming.noDataMicroBatches.enabled is false.
     """
