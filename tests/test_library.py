@@ -1,7 +1,10 @@
 """The library's queries against DuckDB, the known cases, and stream against batch."""
 
 import os
+import random
+import struct
 import time
+import zlib
 
 import duckdb
 import pytest
@@ -12,9 +15,11 @@ from tonguemill.functions.languages import from_code_name, from_display_name
 from tonguemill.operators import phrasebook as P
 from tonguemill.operators import requests as R
 from tonguemill.operators import tokens as K
+from tonguemill.operators.balance import deal_by_cost
 from tonguemill.operators.history import append_history, clear_history, scan_history
 from tonguemill.plans import engines, jobs
 from tonguemill.plans.queries import ORACLE_SQL, QUERIES
+from tonguemill.sources import images
 from tonguemill.sources.readers import read_images, read_requests
 from tonguemill.streaming.streams import stream_assemble
 
@@ -175,23 +180,105 @@ def test_running_count_in_chunks(spark):
     assert "Window" in plan and all("_chunk" in line for line in plan.split("\n") if "windowspecdefinition" in line)
 
 
-def test_recognize_batch(spark):
-    manifest = spark.createDataFrame([("a.png", "ocr"), ("b.png", "table"), ("c.png", "ocr"), (None, "ocr"), ("d.png", None)], "path string, task_type string")
-    images = spark.createDataFrame([("a.png", bytearray(b"x" * 5000 + b" \n")), ("b.png", bytearray(b"")), ("d.png", bytearray("é".encode()))], "path string, content binary").withColumn("length", F.octet_length("content").cast("bigint"))
-    for jobs.MOST_BROADCAST_ROWS in (1, 200_000):
-        got = {r.path: tuple(r)[1:] for r in jobs.recognize_batch(manifest, images, engines.StubOcrEngine()).collect()}
-        assert got == {"a.png": (True, "ocr: " + "x" * 5000, "", 5005), "b.png": (False, "", jobs.BAD_IMAGE + "b.png)", 0), "c.png": (False, "", jobs.NO_IMAGE + "c.png)", 0), None: (False, "", jobs.NO_IMAGE + ")", 0), "d.png": (True, "None: é", "", 7)}
-    failed = {r.path: r.error_message for r in jobs.recognize_batch(manifest, images, engines.FileEngine("")).collect()}
-    assert failed["a.png"] == jobs.NOT_LOADED_OCR and failed["c.png"] == jobs.NO_IMAGE + "c.png)"
+def _png(width=3, height=2, tail=b""):
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes((width + 1) * height)) + tail) + chunk(b"IEND", b"")
+
+
+def _jpeg(width=5, height=4, junk=b""):
+    comment = b"\xff\xfe" + (len(junk) + 2).to_bytes(2, "big") + junk
+    return b"\xff\xd8\xff\xe0\x00\x04ab" + comment + b"\xff\xff\xc2\x00\x0b\x08" + struct.pack(">HH", height, width) + b"\x01\x01\x11\x00" + b"\xff\xda\x00\x02pixels\xff\xd9"
+
+
+def _bmp(width=3, height=-2, cut=0):
+    rows = (width * 24 + 31) // 32 * 4 * abs(height)
+    return b"BM" + struct.pack("<IHHI", 54 + rows, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows, 0, 0, 0, 0) + bytes(rows - cut)
+
+
+def _webp(body):
+    return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
+
+
+VP8 = b"VP8 \x0a\x00\x00\x00" + b"\x00\x00\x00\x9d\x01\x2a" + struct.pack("<HH", 7 | 0x4000, 6)
+VP8L = b"VP8L\x05\x00\x00\x00\x2f" + (6 | 4 << 14).to_bytes(4, "little") + b"\x00"
+VP8X = b"VP8X\x0a\x00\x00\x00" + bytes(4) + (8).to_bytes(3, "little") + (9).to_bytes(3, "little")
+
+
+def test_image_headers():
+    see = lambda data: images.image_header(lambda at, n: data[at : at + n] if at >= 0 else b"", len(data))
+    good = {_png(): ("png", 3, 2), _jpeg(): ("jpeg", 5, 4), _jpeg(junk=b"\xff\xc0" * 300): ("jpeg", 5, 4), _bmp(): ("bmp", 3, 2), _webp(VP8): ("webp", 7, 6), _webp(VP8L): ("webp", 7, 5), _webp(VP8X): ("webp", 9, 10)}
+    for data, want in good.items():
+        assert see(data) == want
+        for cut in range(len(data)):  # cut off anywhere
+            assert see(data[:cut]) is None, (want, cut)
+    wrong = [b"", b"text", b"x" * 100, _png(0), _jpeg(0), _bmp(0), _bmp(cut=1), _png()[:20] + b"\x09" + _png()[21:], b"RIFF" + bytes(40), b"\xff\xd8" + bytes(60) + b"\xff\xd9", _webp(b"VP8 " + bytes(40))]
+    assert [see(x) for x in wrong] == [None] * len(wrong)
+
+
+def test_recognize_batch(spark, tmp_path):
+    files = {"a.png": _png(tail=b"x" * 5000), "b.png": b"", "d.JPG": _jpeg(junk=b"e"), "cut.png": _png()[:-1], "text.bmp": b"no image", "jpeg.png": _jpeg(), "e.webp": _webp(VP8L), "f.bmp": _bmp(), "g.txt": _png()}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    listed = images.list_images(spark, str(tmp_path))
+    assert listed.columns == ["path", "length"] and listed.count() == len(files) - 2  # one is empty, one no image by its name
+    at = f"file:{tmp_path}/"
+    tasks = {**dict.fromkeys(files, "ocr"), "c.png": "table", "d.JPG": None}
+    manifest = spark.createDataFrame([*((at + n, t) for n, t in tasks.items()), (None, "ocr")], "path string, task_type string")
+    text = lambda n: f"{tasks[n]}: {files[n].decode('utf-8', 'ignore')}".rstrip(" \n\r\t")
+    want = {at + n: (True, text(n), "", len(text(n))) for n in ("a.png", "d.JPG", "e.webp", "f.bmp")}
+    want |= {at + n: (False, "", engines.bad_image(at + n), 0) for n in ("b.png", "cut.png", "text.bmp", "jpeg.png", "g.txt")}
+    want |= {at + n: (False, "", f"{jobs.NO_IMAGE}{at}{n})", 0) for n in ("c.png",)} | {None: (False, "", jobs.NO_IMAGE + ")", 0)}
+    for pieces in (False, True):
+        seen = jobs.recognize_batch(manifest, listed, engines.StubOcrEngine(), partitions=3, pieces=pieces)
+        assert {r.path: tuple(r)[1:] for r in seen.collect()} == want
+        assert "content" not in seen._jdf.queryExecution().executedPlan().toString()
+    loose = {r.path: r.success for r in jobs.recognize_batch(manifest, listed, engines.StubOcrEngine(), by_content=True).collect()}
+    assert loose[at + "jpeg.png"] and not loose[at + "cut.png"]
+    failed = {r.path: r.error_message for r in jobs.recognize_batch(manifest, listed, engines.FileEngine("")).collect()}
+    assert failed[at + "a.png"] == failed[at + "cut.png"] == jobs.NOT_LOADED_OCR and failed[at + "c.png"] == f"{jobs.NO_IMAGE}{at}c.png)"
 
     class Blind(engines.StubOcrEngine):
         key = ("blind",)
 
         def recognize(self, rows):
+            assert all(images.image_header(lambda a, n, c=c: c[a : a + n], len(c)) for c in rows["content"])  # bad files never come here
             return super().recognize(rows).map(lambda t: None)
 
-    unread = {r.path: r.error_message for r in jobs.recognize_batch(manifest, images, Blind()).collect()}
-    assert unread["a.png"] == jobs.BAD_IMAGE + "a.png)"
+    unread = {r.path: r.error_message for r in jobs.recognize_batch(manifest, listed, Blind()).collect()}
+    assert unread[at + "a.png"] == engines.bad_image(at + "a.png")
+
+
+def test_images_are_read_in_groups(tmp_path, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(engines, "READ_BYTES", 3 * len(_png()))
+    for i in range(8):
+        (tmp_path / f"{i}.png").write_bytes(_png() if i != 2 else b"none")
+    sizes = []
+
+    class Counting(engines.StubOcrEngine):
+        def recognize(self, rows):
+            sizes.append(len(rows))
+            return rows["path"]
+
+    rows = pd.DataFrame({"path": [str(tmp_path / f"{i}.png") for i in range(8)]}, index=range(10, 18))
+    got = engines.ReadingLate(Counting()).recognize(rows)
+    assert sizes == [3, 3, 1] and [x is None for x in got] == [i == 2 for i in range(8)] and got[17] == rows["path"][17]
+
+
+def test_rows_dealt_by_cost(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(i, "x" * int(rng.paretovariate(1.1) * 20) if i % 50 else None) for i in range(4000)], "id long, text string").where("length(text) < 5000 or text is null")
+    dealt = deal_by_cost(rows, F.char_length("text"), [F.col("id")], 16).withColumn("at", F.spark_partition_id())
+    by = [r[1] for r in dealt.groupBy("at").agg(F.sum(F.coalesce(F.char_length("text"), F.lit(0)))).collect()]
+    longest = rows.agg(F.max(F.char_length("text"))).first()[0]
+    mean = sum(by) / 16
+    assert len(by) == 16 and max(by) <= mean * (1 + 1 / 16) + longest and dealt.count() == rows.count() and dealt.columns == ["id", "text", "at"]
+    assert deal_by_cost(rows.limit(0), F.char_length("text"), [F.col("id")], 4).count() == 0
+    asked = _requests(spark, *(t.text for t in rows.limit(300).collect()), "Hello World")
+    want = sorted(map(repr, jobs.translate_batch(asked, P.phrasebook(spark)).collect()))
+    for collapse in (True, False):
+        assert sorted(map(repr, jobs.translate_batch_engine(asked, engines.PhrasebookEngine(P.PHRASES), 5, collapse).collect())) == want
 
 
 def test_assemble_ocr_and_dense(spark):
@@ -227,8 +314,8 @@ def test_history_and_readers(spark, tmp_path):
     for name in ("a.png", "b.JPEG", "c.txt"):
         (tmp_path / "i").mkdir(exist_ok=True)
         (tmp_path / "i" / name).write_bytes(b"x")
-    images = read_images(spark, str(tmp_path / "i"))
-    assert sorted(os.path.basename(r.path) for r in images.select("path").collect()) == ["a.png", "b.JPEG"]
+    found = read_images(spark, str(tmp_path / "i"))
+    assert sorted(os.path.basename(r.path) for r in found.select("path").collect()) == ["a.png", "b.JPEG"]
 
 
 RESULT = ("full_text", "raw_text", "success", "error_message", "n_tokens", "stop_reason")
@@ -280,8 +367,6 @@ def test_stream_assemble_is_batch(spark, tmp_path):
 
 def test_shuffled_events_over_many_batches(spark, tmp_path):
     """Any split and order of events, repeats among them, gives the batch form's result."""
-    import random
-
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rng = random.Random(5)
     tokens, tasks, events = [], [], []

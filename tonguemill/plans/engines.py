@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,10 +21,19 @@ from pyspark.sql import functions as F
 
 from tonguemill.operators import phrasebook as P
 from tonguemill.operators.requests import NOT_LOADED_STREAM
+from tonguemill.sources.images import read_checked
 
 _loaded: dict = {}
 #: Pieces, and characters of them, that a runner holds back before it hands them on.
 HELD_PIECES, HELD_CHARS = 10_000, 1 << 20
+#: Bytes of images that an engine is given at once (one longer image goes alone).
+READ_BYTES = 64 << 20
+# Fixed values.
+NO_IMAGE, BAD_IMAGE = "待识别图像文件不存在 (", "无法读取或解析图像文件 ("
+
+
+def bad_image(path: str) -> str:
+    return f"{BAD_IMAGE}{path})"
 
 
 class EngineError(Exception):
@@ -78,10 +88,55 @@ class StubOcrEngine:
         self.is_loaded = True
         return True
 
+    def recognize_pieces(self, row) -> Iterator[tuple[str, bool]]:
+        yield f"{row.task_type}: ", False
+        yield bytes(row.content).decode("utf-8", "ignore"), False
+
     def recognize(self, rows: pd.DataFrame) -> pd.Series:
         return pd.Series([f"{t}: {bytes(c).decode('utf-8', 'ignore')}" if c else None for t, c in zip(rows["task_type"], rows["content"], strict=True)], index=rows.index, dtype=object)
 
 
+class ReadingLate:
+    """An image engine that gets rows with path instead of content: a file's header is checked by range reads, then its bytes are
+    read, in the task that uses them and for READ_BYTES of images at a time."""
+
+    def __init__(self, engine, by_content: bool = False):
+        self.engine, self.by_content, self.key = engine, by_content, ("late", by_content, engine.key)
+
+    @property
+    def is_loaded(self) -> bool:
+        return self.engine.is_loaded
+
+    def load(self) -> bool:
+        return self.engine.load()
+
+    def _groups(self, rows: pd.DataFrame) -> Iterator[tuple[list, list[bytes]]]:
+        """Labels and contents of the rows whose images can be read."""
+        at, contents, size = [], [], 0
+        for label, path in rows["path"].items():
+            if (content := read_checked(path, self.by_content)) is not None:
+                if contents and size + len(content) > READ_BYTES:
+                    yield at, contents
+                    at, contents, size = [], [], 0
+                at.append(label)
+                contents.append(content)
+                size += len(content)
+        if contents:
+            yield at, contents
+
+    def recognize(self, rows: pd.DataFrame) -> pd.Series:
+        out = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+        for at, contents in self._groups(rows):
+            out[at] = self.engine.recognize(rows.loc[at].assign(content=contents))
+        return out
+
+    def recognize_pieces(self, row) -> Iterator[tuple[str, bool]]:
+        content = read_checked(row.path, self.by_content)
+        if content is None:
+            raise EngineError(bad_image(row.path))
+        yield from self.engine.recognize_pieces(SimpleNamespace(**row._asdict(), content=content))
+
+
 def _ready(engine):
     """The engine, loaded in this worker, or None."""
     own = _loaded.get(engine.key)
