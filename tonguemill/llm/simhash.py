@@ -12,9 +12,10 @@ is at most two bits apart, so work stays in proportion and no group exceeds 65.
 `similar_texts` links texts by the share of word shingles they have in common. At a share of 0.8 a seventh of the
 majority bits differ and no segment of 64 of them is a usable key, so its segments are min-wise: each
 holds 16 bits of the shingle that comes first in an order of its own, and two differ with the share of shingles
-not in common. Distances count segments. RING of the segments form the ring; all of them are checked in full.
-Fingerprints of a hot key meet its smallest one first; only what does not link with that is compared with the
-others, in chunks, which yield at most one link per fingerprint and chunk, so nothing is left out.
+not in common. Distances count segments. RING of the segments form the ring; all of them are checked in full. What passes is
+a candidate, and links if the distinct shingles (by 64-bit hashes) of both texts say so: only the texts of candidates are read for that.
+Fingerprints of a hot key meet its smallest one first; only what these links, over any keys, leave in another component than the
+key's smallest is compared with the key's others, in chunks, whose task finds candidates and settles them itself, so nothing is left out.
 
 Edge cases: null and empty texts have fingerprint zero (or the segments of no shingle) and link like any other; null ids get a
 component like other rows but never name one unless no other id is in it (then null); repeated rows
@@ -32,10 +33,11 @@ from tonguemill.llm.common import mix, new_path, removed, written
 
 #: Fingerprints of a key beyond which they are not paired.
 HOT_KEY = 32
-CHUNK = 1024
+CHUNK = 256
 #: Min-wise segments of a text, and how many of them form the ring.
 SEGMENTS, RING = 128, 32
 _BITS = 1 << 15
+_BUCKETS = 1 << 20
 _ORDERS = np.random.default_rng(77).integers(0, 1 << 32, (2, SEGMENTS, 1), dtype=np.uint32) | np.array([[[1]], [[0]]], np.uint32)  # odd factors, any masks
 
 
@@ -158,10 +160,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _placed(rows: DataFrame, node: str, edges: DataFrame, id_col: str) -> DataFrame:
-    """node, component_id for every distinct node of rows, by the links."""
+def _placed(rows: DataFrame, node: str, roots: DataFrame, id_col: str) -> DataFrame:
+    """node, component_id for every distinct node of rows, by the components' roots."""
     own = rows.groupBy(node).agg(F.min(id_col).alias("first"))
-    roots = components(edges).withColumnRenamed("node", "_node")
+    roots = roots.withColumnRenamed("node", "_node")
     placed = written(own.join(roots, F.col(node) == F.col("_node"), "left").select(node, "first", F.coalesce("root", node).alias("root")), "placed")
     smallest = written(placed.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     return placed.select(node, "root").join(smallest, "root").select(node, "component_id")
@@ -170,7 +172,7 @@ def _placed(rows: DataFrame, node: str, edges: DataFrame, id_col: str) -> DataFr
 def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, segments: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable over links) for every row."""
     rows = written(fingerprints(df, words, id_col, text_col), "simhash")
-    known = _placed(rows, "fp", links(rows.select("fp").distinct(), radius, segments), id_col)
+    known = _placed(rows, "fp", components(links(rows.select("fp").distinct(), radius, segments)), id_col)
     return rows.join(known, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -183,8 +185,8 @@ def budget(n: int, similarity: float, deviations: float) -> int:
 
 
 def radii(similarity: float) -> tuple[int, int]:
-    """Most differing segments of the ring, and of all."""
-    return budget(RING, similarity, 1.6), budget(SEGMENTS, similarity, 2.0)
+    """Most differing segments of the ring, and of all, in a candidate."""
+    return budget(RING, similarity, 1.6), budget(SEGMENTS, similarity, 3.0)
 
 
 def minwise(text: str | None, words: int) -> np.ndarray:
@@ -197,16 +199,44 @@ def minwise(text: str | None, words: int) -> np.ndarray:
     return (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
+def _texts_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def minwise_segments(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and wide (the segments' bytes) for every row."""
-    schema = df.select(id_col).schema.simpleString()[7:-1] + ", wide binary"
+    """id, hash (of the text) and wide (the segments' bytes) for every row."""
+    schema = df.select(id_col).schema.simpleString()[7:-1] + ", hash bigint, wide binary"
 
     def run(batches):
         for batch in batches:
-            wide = [minwise(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], [id_col, "wide"])
+            wide = [minwise(t, words).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide, pa.binary())], [id_col, "hash", "wide"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, _texts_hash(text_col).alias("hash"), text_col).mapInArrow(run, schema)
+
+
+def shingles_of(df: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
+    """node and grams (sorted hashes of the distinct shingles, packed) for each of wanted (node, hash), from the texts of df."""
+    # at most _BUCKETS rows for the driver, however many are wanted; other texts are not shuffled
+    bucket = F.pmod(F.col("hash"), F.lit(_BUCKETS)).alias("bucket")
+    asked = F.broadcast(wanted.select(bucket).distinct())
+    texts = df.select(_texts_hash(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("bucket", bucket).join(asked, "bucket", "left_semi")
+    once = texts.groupBy("hash").agg(F.first("text").alias("text")).join(wanted, "hash")
+
+    def run(batches):
+        for batch in batches:
+            grams = [np.unique(shingles(t, words)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["node", "grams"])
+
+    return once.select("node", "text").mapInArrow(run, "node bigint, grams binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """True where two sets (sorted) share that much of what they hold together; two empty ones do."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
 def _close(ring: int, radius: int):
@@ -226,44 +256,51 @@ def _close(ring: int, radius: int):
     return run
 
 
-def _compare(ring: int, radius: int):
-    """Links between the rows of side 0 and of side 1: at most one for each, that leave the same components as all would."""
+def _alike(similarity: float):
+    """Keeps the pairs whose shingles say so."""
+
+    def run(batches):
+        for batch in batches:
+            sides = [[np.frombuffer(g.as_buffer(), np.uint64) for g in batch.column(k)] for k in (2, 3)]
+            keep = pa.array([i for i, (a, b) in enumerate(zip(*sides, strict=True)) if alike(a, b, similarity)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _compare(ring: int, radius: int, similarity: float):
+    """Links between rows of side 0 and of side 1 in different groups (column group): enough of them to leave the same components as all would."""
 
     def run(table: pa.Table) -> pa.Table:
-        side, node = table["side"].to_numpy(), table["node"].to_numpy()
+        side, node, group = (table[c].to_numpy() for c in ("side", "node", "group"))
         wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint16).reshape(-1, SEGMENTS)
-        a, b = node[side == 0], node[side == 1]
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(a) and len(b):
-            one, two = (np.ascontiguousarray(wide[side == k].T) for k in (0, 1))
-            differ, near = np.zeros((len(a), len(b)), np.uint8), True
-            for k in range(SEGMENTS):
-                differ += one[k][:, None] != two[k][None, :]
-                if k == RING - 1:
-                    near = differ <= ring
-            near &= differ <= radius
-            rows, columns = np.nonzero(near)
-            label_a, label_b = np.arange(len(a)), np.full(len(b), len(a))
-            while True:  # smallest place of side 0 reachable
-                new_b = label_b.copy()
-                np.minimum.at(new_b, columns, label_a[rows])
-                new_a = label_a.copy()
-                np.minimum.at(new_a, rows, new_b[columns])
-                if (new_a == label_a).all() and (new_b == label_b).all():
-                    break
-                label_a, label_b = new_a, new_b
-            linked = label_b < len(a)
-            out_a += [a[label_a], a[label_b[linked]]]
-            out_b += [a, b[linked]]
-        x, y = np.concatenate(out_a), np.concatenate(out_b)
-        keep = x != y
-        return pa.table({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
+        grams = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+        root = {g: g for g in np.unique(group).tolist()}
+
+        def find(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = []
+        for i in one:
+            differ = wide[two] != wide[i]
+            near = two[(differ[:, :RING].sum(1) <= ring) & (differ.sum(1) <= radius)]
+            for j in near:
+                x, y = find(int(group[i])), find(int(group[j]))
+                if x != y and alike(grams[i], grams[j], similarity):
+                    root[max(x, y)] = min(x, y)
+                    out.append(sorted((int(node[i]), int(node[j]))))
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
 
-def minwise_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """a < b: nodes (distinct; node, wide) such that links join exactly those within the radii, directly or over others."""
+def minwise_components(nodes: DataFrame, df: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """node, root of nodes (distinct; node, hash, wide), as components has them, over the links of all candidates whose texts share `similarity` of their shingles."""
     ring, radius = radii(similarity)
     n = key_length(ring, RING)
     circle = F.concat(F.substring("wide", 1, 2 * RING), F.substring("wide", 1, 2 * (n - 1)))
@@ -274,22 +311,32 @@ def minwise_links(nodes: DataFrame, similarity: float) -> DataFrame:
     pairs = cool.select("key", F.col("node").alias("a")).join(cool.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     asked = pairs.union(hot.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
     sides = [nodes.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b")]
-    close = written(asked.join(sides[0], "a").join(sides[1], "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_close(ring, radius), "a bigint, b bigint"), "minwise-links")
-    rest = written(hot.where("node > least").join(close, (F.col("least") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("key", "node", "n"), "minwise-rest")
+    near = written(asked.join(sides[0], "a").join(sides[1], "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_close(ring, radius), "a bigint, b bigint"), "minwise-near")
+    meant = near.select(F.col("a").alias("node")).union(near.select("b")).union(hot.select("node")).distinct()
+    grams = written(shingles_of(df, nodes.join(meant, "node", "left_semi").select("node", "hash"), words, text_col), "shingles")
+    sides = [grams.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b")]
+    close = written(near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_alike(similarity), "a bigint, b bigint"), "minwise-links")
+    roots = written(components(close), "minwise-roots")
+    placed = hot.select("key", "node", "n", "least").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+    first = placed.where("node = least").select("key", F.col("group").alias("_first"))
+    placed = written(placed.join(first, "key"), "minwise-placed")
+    rest = placed.where(F.col("group") != F.col("_first"))
     chunks = written(rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("cn"), F.ceil(F.max("n") / CHUNK).cast("int").alias("cp")), "minwise-chunks")
     own, other = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = (
-        rest.select("key", "node").join(chunks, "key").select("key", "node", F.lit(0).alias("side"), own("cn").alias("x"), other("cp").alias("y")),
-        hot.select("key", "node").join(chunks, "key").select("key", "node", F.lit(1).alias("side"), own("cp").alias("y"), other("cn").alias("x")),
+        rest.join(chunks, "key").select("key", "node", "group", F.lit(0).alias("side"), own("cn").alias("x"), other("cp").alias("y")),
+        placed.join(chunks, "key").select("key", "node", "group", F.lit(1).alias("side"), own("cp").alias("y"), other("cn").alias("x")),
     )
-    dense = dealt[0].unionByName(dealt[1]).join(nodes, "node").groupBy("key", "x", "y").applyInArrow(_compare(ring, radius), "a bigint, b bigint")
-    return close.union(dense).distinct()
+    held = nodes.select("node", "wide").join(grams, "node")
+    dense = dealt[0].unionByName(dealt[1]).join(held, "node").groupBy("key", "x", "y").applyInArrow(_compare(ring, radius, similarity), "a bigint, b bigint")
+    dense = written(dense, "minwise-dense")
+    return roots if dense.isEmpty() else components(close.union(dense).distinct())
 
 
 def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and component_id (smallest id reachable over links) for every row; texts link when their segments are as close as those
-    of texts that share `similarity` of their distinct word shingles. Equal segments (by a 64-bit hash) are one node."""
+    """id and component_id (smallest id reachable over links) for every row; texts link when they share `similarity` of their distinct word
+    shingles and their segments made them candidates (nearly all do; see the README's recall). Equal segments (by a 64-bit hash) are one node."""
     rows = written(minwise_segments(df, words, id_col, text_col).withColumn("node", F.xxhash64("wide")), "minwise")
-    nodes = written(rows.groupBy("node").agg(F.min("wide").alias("wide")), "minwise-nodes")
-    known = _placed(rows.select(id_col, "node"), "node", minwise_links(nodes, similarity), id_col)
+    nodes = written(rows.groupBy("node").agg(F.min("wide").alias("wide"), F.min("hash").alias("hash")), "minwise-nodes")
+    known = _placed(rows.select(id_col, "node"), "node", minwise_components(nodes, df, words, similarity, text_col), id_col)
     return rows.select(id_col, "node").join(known, "node").select(id_col, "component_id")
