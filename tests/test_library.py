@@ -5,6 +5,8 @@ import random
 import struct
 import time
 import zlib
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -12,16 +14,18 @@ from pyspark.sql import functions as F
 
 from tonguemill.functions import text as T
 from tonguemill.functions.languages import from_code_name, from_display_name
+from tonguemill.operators import memory as M
 from tonguemill.operators import phrasebook as P
 from tonguemill.operators import requests as R
 from tonguemill.operators import tokens as K
 from tonguemill.operators.balance import deal_by_cost
-from tonguemill.operators.history import append_history, clear_history, scan_history
+from tonguemill.operators.history import append_history, clear_history, scan_history, vacuum_history
 from tonguemill.plans import engines, jobs
 from tonguemill.plans.queries import ORACLE_SQL, QUERIES
 from tonguemill.sources import images
 from tonguemill.sources.readers import read_images, read_requests
-from tonguemill.streaming.streams import stream_assemble
+from tonguemill.sources.shared import put_new
+from tonguemill.streaming.streams import stream_assemble, stream_translate
 
 DATA = "/root/testdata/sf0.001"
 
@@ -301,16 +305,106 @@ def test_requests_without_words_and_greetings(spark):
     assert got == {t or "": a for t, a in rows}
 
 
-def test_history_and_readers(spark, tmp_path):
-    at = str(tmp_path / "h")
-    rows = spark.sql("SELECT '2' AS id, 'b' AS source_text, 'B' AS translated_text, 'en' AS source_lang, 'zh' AS target_lang, timestamp'2024-01-02' AS ts UNION ALL SELECT '1', 'a', 'A', 'en', 'ja', timestamp'2024-01-01'")
-    append_history(rows, at)
-    append_history(rows, at)
-    assert [r.id for r in scan_history(spark, at).collect()] == ["1", "1", "2", "2"]
+HISTORY_ROWS = "SELECT '2' AS id, 'b' AS source_text, 'B' AS translated_text, 'en' AS source_lang, 'zh' AS target_lang, timestamp'2024-01-02' AS ts UNION ALL SELECT '1', 'a', 'A', 'en', 'ja', timestamp'2024-01-01'"
+
+
+def test_history(spark, tmp_path):
+    at, rows = str(tmp_path / "h"), spark.sql(HISTORY_ROWS)
+    ids = lambda *range_: [r.id for r in scan_history(spark, at, *range_).collect()]
+    assert ids() == []
+    assert append_history(rows, at) and append_history(rows, at)
+    assert ids() == ["1", "1", "2", "2"] and scan_history(spark, at).columns == ["id", "source_text", "translated_text", "source_lang", "target_lang", "ts"]
     clear_history(spark, at)
-    assert scan_history(spark, at).count() == 0
-    _requests(spark, "a,\"b", "").write.json(str(tmp_path / "r"))
-    assert read_requests(spark, str(tmp_path / "r"), "json").count() == 2
+    assert ids() == []
+    # a batch is filed once, however often it is tried, also after a clear
+    assert append_history(rows, at, "b1") and not append_history(rows, at, "b1") and append_history(rows.limit(0), at, "none")
+    assert ids() == ["1", "2"]
+    reader = scan_history(spark, at)
+    clear_history(spark, at)
+    assert ids() == [] and reader.count() == 2  # who has begun sees all
+    assert not append_history(rows, at, "b1") and ids() == []
+    vacuum_history(spark, at)
+    assert append_history(rows, at, "b2") and ids() == ["1", "2"] and len(os.listdir(tmp_path / "h" / "data")) == 1
+    log = sorted(f for f in os.listdir(tmp_path / "h" / "log") if f.endswith(".json"))
+    assert [int(f[:20]) for f in log] == list(range(len(log)))
+
+
+def test_history_ranges_and_half_done_attempts(spark, tmp_path):
+    at = str(tmp_path / "h")
+    for day in range(1, 6):
+        append_history(spark.sql(f"SELECT '{day}' AS id, 't' AS source_text, 't' AS translated_text, 'en' AS source_lang, 'zh' AS target_lang, timestamp'2024-01-0{day} 12:00:00' AS ts"), at, f"day {day}")
+    append_history(spark.sql("SELECT 'none' AS id, 't' AS source_text, 't' AS translated_text, 'en' AS source_lang, 'zh' AS target_lang, cast(null AS timestamp) AS ts"), at)
+    found = scan_history(spark, at, datetime(2024, 1, 2, 12), datetime(2024, 1, 4, 12))
+    assert [r.id for r in found.collect()] == ["2", "3"] and len(found.inputFiles()) == 2  # others are not opened
+    assert [r.id for r in scan_history(spark, at, since=datetime(2024, 1, 5)).collect()] == ["5"]
+    assert [r.id for r in scan_history(spark, at).collect()] == ["none", "1", "2", "3", "4", "5"]
+    # data without a commit, a commit that is being written, and one that somebody else wrote first
+    spark.sql(HISTORY_ROWS).write.partitionBy("target_lang").parquet(f"{at}/data/commit=lost")
+    (tmp_path / "h" / "log" / f"{6:020d}.json").write_text('{"number": 6, "da')
+    assert scan_history(spark, at).count() == 6
+    assert append_history(spark.sql(HISTORY_ROWS), at, "after") and scan_history(spark, at).count() == 8
+    assert not put_new(spark, f"{at}/log/{6:020d}.json", "x") and put_new(spark, f"{at}/log/new.txt", "x")
+
+
+def test_history_written_by_many(spark, tmp_path):
+    """Writers of one batch at the same time leave one copy, writers of several each theirs."""
+    at, rows = str(tmp_path / "h"), spark.sql(HISTORY_ROWS)
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(lambda i: append_history(rows, at, f"b{i % 3}"), range(6)))
+    assert sorted(done) == [False] * 3 + [True] * 3 and scan_history(spark, at).count() == 6
+    assert len(os.listdir(tmp_path / "h" / "data")) == 3
+
+
+def test_stream_replays_file_nothing_twice(spark, tmp_path):
+    book, at = P.phrasebook(spark), str(tmp_path)
+    _requests(spark, "Hello World", "", "x").write.parquet(f"{at}/in")
+    asked = lambda: spark.readStream.schema("request_id long, text string, source_lang string, target_lang string").parquet(f"{at}/in")
+    for _ in range(2):
+        stream_translate(asked(), book, f"{at}/responses", f"{at}/history", f"{at}/c").awaitTermination()
+        for name in os.listdir(f"{at}/c/commits"):  # the second run finds its last batch unfinished and does it again
+            os.remove(f"{at}/c/commits/{name}")
+    assert [r.source_text for r in scan_history(spark, f"{at}/history").orderBy("id").collect()] == ["Hello World", "x"]
+    assert spark.read.parquet(f"{at}/responses").count() == 3
+
+
+def test_stored_memory(spark, tmp_path):
+    rng = random.Random(9)
+    book = [(f"text {i}", f"t{i}") for i in range(500)] + [("", "never"), (None, "null"), ("Hello World", "own")]
+    M.store_memory(spark.createDataFrame(book, "source_text string, translated_text string"), "stored_memory", buckets=6, path=str(tmp_path))
+    asked = _requests(spark, *(rng.choice([f"text {rng.randrange(700)}", "", None, "Hello World", "Text 1"]) for _ in range(900)))
+    found = M.translate_memory(asked, "stored_memory")
+    want = P.translate_phrasebook(asked, spark.createDataFrame([b for b in book if b[0]], "source_text string, translated_text string"))
+    assert sorted(map(repr, found.select("request_id", "translated_text").collect())) == sorted(map(repr, want.select("request_id", "translated_text").collect()))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for partitions in ("3", "6", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            plan = M.translate_memory(asked, "stored_memory")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("stored_memory[") == 1 and "Bucketed: true" in plan
+            assert "hashpartitioning(hash#" not in plan and "hashpartitioning(_h2#" in plan  # the memory lies where it is, the texts come to it
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    bits = spark.table("stored_memory_filter")
+    passes = spark.range(20_000).select(F.xxhash64(F.concat(F.lit("other "), F.col("id").cast("string"))).alias("h"))
+    assert bits.count() <= M.WORDS and passes.join(bits, M._word(F.col("h")) == F.col("word")).where(F.col("bits").bitwiseAND(M._mask(F.col("h"))) == M._mask(F.col("h"))).count() < 20
+
+
+def test_readers(spark, tmp_path):
+    texts = ["a,\"b", "", "two\nlines", "back\\slash", None, " spaces ", "é😀"]
+    rows = _requests(spark, *texts)
+    plain = lambda df: sorted(((r.request_id, r.text, r.source_lang, r.target_lang) for r in df.collect()), key=lambda r: r[0])
+    rows.write.json(str(tmp_path / "json"))
+    rows.write.parquet(str(tmp_path / "parquet"))
+    for fmt in ("json", "parquet"):
+        read = read_requests(spark, str(tmp_path / fmt), fmt)
+        assert plain(read) == plain(rows) and read.schema.simpleString() == "struct<request_id:bigint,text:string,source_lang:string,target_lang:string>"
+    (tmp_path / "r.csv").write_text('request_id,text,source_lang,target_lang\n0,"a,""b",en,zh\n1,"two\nlines",,zh\n2," spaces ",en,zh\n3,,en,\n', encoding="utf-8")
+    assert plain(read_requests(spark, str(tmp_path / "r.csv"), "csv")) == [(0, 'a,"b', "en", "zh"), (1, "two\nlines", None, "zh"), (2, " spaces ", "en", "zh"), (3, None, "en", None)]
+    (tmp_path / "s.csv").write_text("request_id;text;source_lang;target_lang\n0;a,b;en;zh\n")
+    assert plain(read_requests(spark, str(tmp_path / "s.csv"), "csv", sep=";")) == [(0, "a,b", "en", "zh")]
     for name in ("a.png", "b.JPEG", "c.txt"):
         (tmp_path / "i").mkdir(exist_ok=True)
         (tmp_path / "i" / name).write_bytes(b"x")

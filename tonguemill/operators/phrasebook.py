@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Phrases, and the forms of an answer without a phrase. NAME, the product in them, is the caller's.
@@ -45,11 +45,15 @@ def _met(requests: DataFrame, book: DataFrame) -> DataFrame:
     return rows.join(side, (F.col("_h") == F.col("_hash")) & (text == F.col("source_text")), "left").drop("_h", "_hash", "source_text")
 
 
+def answer(text: Column, phrase: Column, name: str = NAME) -> Column:
+    """What a text is answered with, given its phrase (null: none)."""
+    return F.when(text == "", "").otherwise(F.coalesce(phrase, F.concat(F.lit(ANSWER_OPEN), text, F.lit(answer_close(name)))))
+
+
 def translate_phrasebook(requests: DataFrame, book: DataFrame, name: str = NAME) -> DataFrame:
     """Adds translated_text; the book has one row a source text."""
-    text = F.coalesce("text", F.lit(""))
-    answer = F.when(text == "", "").otherwise(F.coalesce("_phrase", F.concat(F.lit(ANSWER_OPEN), text, F.lit(answer_close(name)))))
-    return _met(requests, book).withColumn("translated_text", answer).drop("_phrase")
+    said = answer(F.coalesce("text", F.lit("")), F.col("_phrase"), name)
+    return _met(requests, book).withColumn("translated_text", said).drop("_phrase")
 
 
 def quick_preview(requests: DataFrame, book: DataFrame, llm: bool = False, name: str = NAME) -> DataFrame:

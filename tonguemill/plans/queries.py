@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemill.functions import text as T
 from tonguemill.functions.languages import LANGUAGES, from_display_name, language_pairs
+from tonguemill.operators import memory as M
 from tonguemill.operators import phrasebook as P
 from tonguemill.operators import requests as R
 from tonguemill.operators import tokens as K
-from tonguemill.operators.history import HISTORY, admit_history, append_history, clear_history, scan_history
+from tonguemill.operators.history import admit_history, append_history, clear_history, scan_history
 from tonguemill.plans import engines, jobs
 from tonguemill.sources.images import FORMATS, list_images
 from tonguemill.sources.readers import REQUESTS, read_images, read_requests
@@ -56,6 +59,16 @@ def translate_batch_memory(spark, sf_dir):
     return jobs.translate_batch(req(spark, sf_dir), P.latest(book))
 
 
+def translate_batch_stored_memory(spark, sf_dir):
+    """The same from the memory as it is stored: bucketed, behind its filter."""
+    book = _table(spark, sf_dir, "documents").selectExpr("text AS source_text", "concat(lang, ':', cast(doc_id AS string)) AS translated_text", "doc_id AS version")
+    at = new_path(spark, "memory")
+    table = at.rsplit("/", 1)[1].replace("-", "_")
+    M.store_memory(P.latest(book), table, path=at)
+    rows = M.translate_memory(R.apply_default_pair(req(spark, sf_dir)), table)
+    return R.respond(rows.withColumn("error_message", F.lit(None).cast("string")))
+
+
 def engine_map_in_pandas(spark, sf_dir):
     return jobs.translate_batch_engine(req(spark, sf_dir), engines.PhrasebookEngine(P.PHRASES))
 
@@ -207,13 +220,22 @@ def history_scan(spark, sf_dir):
     return _shown(scan_history(spark, at))
 
 
+def history_range(spark, sf_dir):
+    """The history filed in three batches, and what a scan of two and a half hours finds."""
+    at, rows = new_path(spark, "history"), _history(spark, sf_dir)
+    for hour in range(3):
+        append_history(rows.where(F.floor(F.unix_timestamp("ts") / 3600) % 3 == hour), at, batch=f"hour {hour}")
+    since = datetime.fromtimestamp(1700000000 + 100, timezone.utc)
+    return _shown(scan_history(spark, at, since, since + timedelta(minutes=150)))
+
+
 def history_append_clear(spark, sf_dir):
-    """Filed, cleared, filed twice: each record is there two times."""
+    """Filed, cleared, filed as two batches and each of these once more, as a retry would: each record is there two times."""
     at, rows = new_path(spark, "history"), _history(spark, sf_dir)
     append_history(rows, at)
     clear_history(spark, at)
-    append_history(rows, at)
-    append_history(rows, at)
+    for batch in ("one", "two", "one", "two"):
+        append_history(rows, at, batch)
     return _shown(scan_history(spark, at)).groupBy("id", "ts", "target_lang").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -321,7 +343,7 @@ def stream_translate_query(spark, sf_dir):
     at = new_path(spark, "stream")
     asked = _stream(spark, sf_dir).selectExpr("doc_id AS request_id", "text", f"{SOURCE} AS source_lang", f"{TARGET} AS target_lang")
     stream_translate(asked, P.phrasebook(spark), f"{at}/responses", f"{at}/history", f"{at}/checkpoint").awaitTermination()
-    return spark.read.schema(HISTORY).parquet(f"{at}/history/batch=*").select("id", "source_text", "translated_text", "source_lang", "target_lang")
+    return scan_history(spark, f"{at}/history").select("id", "source_text", "translated_text", "source_lang", "target_lang")
 
 
 def stream_assemble_query(spark, sf_dir):
@@ -345,7 +367,7 @@ def stream_assemble_query(spark, sf_dir):
 
 
 QUERIES = {
-    **{f.__name__: f for f in (translate_batch, translate_batch_memory, engine_map_in_pandas, engine_dealt_by_cost, translate_no_model, task_status, quick_preview, resolve_languages, default_pair, eligible_targets, ineligible_targets, pairs_of_requests, build_prompt, swap_direction, char_counts, trim_artifacts, split_codepoints, stop_at_control, cap_tokens, running_char_count, assemble_streams, render_result, supersede_requests, history_admitted, ocr_prompt, recognize_batch, recognize_batch_pieces, engine_quick_preview, engine_not_loaded, engine_pieces, engine_pieces_not_loaded, quick_preview_llm, engine_quick_preview_llm, assemble_ocr_streams, render_ocr_result, history_scan, history_append_clear, requests_read, images_read, recognize_no_model)},
+    **{f.__name__: f for f in (translate_batch, translate_batch_memory, translate_batch_stored_memory, engine_map_in_pandas, engine_dealt_by_cost, translate_no_model, task_status, quick_preview, resolve_languages, default_pair, eligible_targets, ineligible_targets, pairs_of_requests, build_prompt, swap_direction, char_counts, trim_artifacts, split_codepoints, stop_at_control, cap_tokens, running_char_count, assemble_streams, render_result, supersede_requests, history_admitted, ocr_prompt, recognize_batch, recognize_batch_pieces, engine_quick_preview, engine_not_loaded, engine_pieces, engine_pieces_not_loaded, quick_preview_llm, engine_quick_preview_llm, assemble_ocr_streams, render_ocr_result, history_scan, history_range, history_append_clear, requests_read, images_read, recognize_no_model)},
     "stream_translate": stream_translate_query,
     "stream_assemble": stream_assemble_query,
 }
@@ -408,6 +430,7 @@ ORACLE_SQL = {
     "engine_map_in_pandas": _responses(_BOOK),
     "engine_dealt_by_cost": _responses(_BOOK),
     "translate_batch_memory": _responses(_MEMORY),
+    "translate_batch_stored_memory": _responses(_MEMORY),
     "translate_no_model": _NO_MODEL,
     "engine_not_loaded": _NO_MODEL,
     "task_status": f"WITH {_REQ} SELECT request_id, CASE WHEN text <> '' AND request_id % 2 <> 0 THEN 'Failed' WHEN request_id % 6 <> 2 THEN 'Completed' ELSE 'Pending' END AS status FROM req",
@@ -437,6 +460,7 @@ ORACLE_SQL = {
     "supersede_requests": f"WITH s AS (SELECT user_id AS session_id, event_id AS request_id, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < ts + to_minutes(ceil(value)::BIGINT), false) AS c FROM events) SELECT session_id, request_id, c::INTEGER AS cancelled, CASE WHEN c THEN '{R.CANCELLED}' ELSE '' END AS error_message FROM s",
     "history_admitted": _HISTORY,
     "history_scan": _HISTORY,
+    "history_range": f"SELECT * FROM ({_HISTORY}) WHERE ts >= 1700000100 AND ts < 1700009100",
     "history_append_clear": f"SELECT id, ts, target_lang, count(*) * 2 AS n FROM ({_HISTORY}) GROUP BY ALL",
     "requests_read": f"WITH {_REQ} SELECT request_id, text, source_lang, target_lang FROM req",
     "images_read": f"SELECT {IMAGE} AS name, strlen(html) AS length, sha256(html) AS content_sha256 FROM pages WHERE page_id % 6 <> 5",

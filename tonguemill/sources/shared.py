@@ -27,8 +27,37 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def qualified(spark: SparkSession, path: str) -> str:
     """A path with its scheme, as Spark's readers report it."""
+    store, at = _hadoop(spark, path)
+    return store.makeQualified(at).toString()
+
+
+def _hadoop(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder that nothing reads any more."""
+    store, at = _hadoop(spark, path)
+    store.delete(at, True)
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small ASCII file; False where there is one of that name."""
+    from py4j.protocol import Py4JJavaError
+
+    store, at = _hadoop(spark, path)
+    try:
+        out = store.create(at, False)
+    except Py4JJavaError:
+        if store.exists(at):
+            return False
+        raise
+    try:
+        out.writeBytes(text)
+    finally:
+        out.close()
+    return True
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

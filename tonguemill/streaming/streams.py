@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tonguemill.operators.history import admit_history
+from tonguemill.operators.history import admit_history, append_history
 from tonguemill.operators.phrasebook import translate_phrasebook
 from tonguemill.operators.requests import CANCELLED, RESPONSE, apply_default_pair, respond
 from tonguemill.operators.tokens import CONTEXT, DECODE_ERROR, MAX_TOKENS
@@ -32,13 +32,13 @@ def state_store(spark: SparkSession):
 
 
 def stream_translate(requests: DataFrame, book: DataFrame, responses: str, history: str, checkpoint: str):
-    """Answers a stream of requests and files the good ones. Each batch overwrites its own partition, so a replay repeats nothing."""
+    """Answers a stream of requests and files the good ones in a history. Each batch overwrites its own responses and is filed once, so a replay repeats nothing."""
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = translate_phrasebook(apply_default_pair(rows), book).withColumns({"error_message": F.lit(None).cast("string"), "ts": F.current_timestamp()})
         answered = respond(rows, keep=("source_lang", "target_lang", "ts")).persist()
         answered.select(*RESPONSE).write.mode("overwrite").parquet(f"{responses}/batch={number}")
-        admit_history(answered, streamed=True).write.mode("overwrite").parquet(f"{history}/batch={number}")
+        append_history(admit_history(answered, streamed=True), history, batch=f"{checkpoint}#{number}")
         answered.unpersist()
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
