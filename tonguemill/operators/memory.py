@@ -46,7 +46,9 @@ def translate_memory(requests: DataFrame, table: str, name: str = NAME) -> DataF
     asked = met.where(may).drop("word", "bits")
     memory = spark.table(table).withColumnRenamed("translated_text", "_phrase")
     # each text is looked up once, so one that a third of the requests share is no hot bucket; its requests meet it in a join that Spark can split
-    hits = asked.select(F.col("_h").alias("_h2"), F.col("text").alias("_text")).distinct().join(memory, (F.col("_h2") == F.col("hash")) & (F.col("_text") == F.col("source_text"))).select("_h2", "_text", "_phrase")
+    buckets = int(spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first().data_type)
+    wanted = asked.select(F.col("_h").alias("_h2"), F.col("text").alias("_text")).distinct().repartition(buckets, "_h2", "_text")
+    hits = wanted.join(memory, (F.col("_h2") == F.col("hash")) & (F.col("_text") == F.col("source_text"))).select("_h2", "_text", "_phrase")
     found = asked.join(hits, (F.col("_h") == F.col("_h2")) & (F.col("text") == F.col("_text")), "left").drop("_h2", "_text")
     rest = met.where(~may).drop("word", "bits").withColumn("_phrase", F.lit(None).cast("string"))
     return found.unionByName(rest).withColumn("translated_text", answer(text, F.col("_phrase"), name)).drop("_phrase", "_h")
