@@ -2,11 +2,13 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers found by pattern and
 checked (parts, Luhn, digit counts). Each distinct value is a protected entity. A term (a run of 4 or more letters
-that overlaps no base span) discloses an entity when their pointwise mutual information over the corpus's
-documents reaches DISCLOSE of the entity's information content. Documents in which a term, an entity or both
-occur are counted over whole documents, and entities of a single document are judged like others. A disclosing
+that overlaps no base span) discloses an entity when at least SHARE of the documents that hold the term hold the entity, and their pointwise
+mutual information over the corpus's documents, less its standard error at the number of documents that hold both, reaches
+DISCLOSE of the entity's information content. So a rare word is no disclosure by itself, and one shared document is weaker evidence than many.
+Documents are counted whole, and entities of a single document are judged like others. A disclosing
 term is marked wherever it occurs, in documents without the entity too: removed from REMOVE of the information content on,
-below it generalised; with several entities the stronger mark holds.
+below it generalised; with several entities the stronger mark holds. Entities of exactly the same documents tell nothing apart, so one stands
+for all, and a page of thousands of addresses is counted once.
 
 The patterns are those of the contract, rewritten so that Java's matcher never backtracks over long
 runs or recurses: possessive runs that start where a run starts (or the last match ended), and cards
@@ -31,27 +33,42 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-DISCLOSE, REMOVE = 0.75, 0.95
-#: Stands for the letters of base values where a text's terms are taken.
-_HIDDEN = "\uffff"
+DISCLOSE, REMOVE, SHARE = 0.75, 0.95, 0.5
+#: Runs that terms are.
+_RUN = r"(?<!\p{L})\p{L}{4,}+"
+#: Matches whose offsets are summed up at once.
+_CHUNK = 128
 _BUCKETS = 1 << 20
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
-def found(text, pattern, kind: str):
-    """Every match of pattern as struct(kind, start, end, value), offsets from the lengths of gaps and matches."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+def _let(value, then):
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def found(text, pattern: str, kind: str):
+    """Every match of pattern as struct(kind, start, end, value). Offsets are sums of the lengths of gaps and matches: within chunks, and over the chunks' totals, so that
+    no list grows by one at a time but for a chunk's length."""
+    kind, zero = F.lit(kind).alias("kind"), F.lit(0).cast("bigint")
+    pairs = lambda v: F.zip_with(F.slice(F.split(text, F.lit(pattern), -1), F.lit(1), F.size(v)), v, lambda g, x: F.struct(F.char_length(g).cast("bigint").alias("gap"), x.alias("value")))
 
     def step(acc, pair):
-        begin = acc["at"] + F.char_length(pair["gap"])
+        begin = acc["at"] + pair["gap"]
         end = begin + F.char_length(pair["value"])
-        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(kind, begin.alias("start"), end.alias("end"), pair["value"].alias("value"))).alias("out"))
+
+    def chunked(p):
+        firsts = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _CHUNK).cast("int")), lambda c: F.slice(p, c * _CHUNK + 1, F.lit(_CHUNK)))
+        return F.transform(firsts, lambda own: F.aggregate(own, F.struct(zero.alias("at"), F.array().cast(_SPAN).alias("out")), step))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def shifted(chunks):
+        ahead = F.aggregate(chunks, F.array(zero), lambda acc, c: F.array_append(acc, F.element_at(acc, -1) + c["at"]))
+        moved = lambda c, by: F.transform(c["out"], lambda s: F.struct(kind, (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(chunks, F.slice(ahead, F.lit(1), F.size(chunks)), moved))
+
+    none = F.array().cast(_SPAN)
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.when(F.size(v) > 0, _let(pairs(v), lambda p: _let(chunked(p), shifted))).otherwise(none))
 
 
 def luhn(digits):
@@ -76,71 +93,79 @@ def _replaced(text, spans, word):
 
     def step(acc, s):
         from_ = F.greatest(acc["at"], s["start"])
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (from_ - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.when(s["end"] > acc["at"], word(s)).otherwise("")).alias("out"))
-
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
-
-
-def _words(text, base):
-    """Distinct terms of a text, as written."""
-    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    inside = lambda s: F.regexp_replace(F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), r"\p{L}", _HIDDEN)
-    hidden = F.filter(F.split(_replaced(text, spans, inside), rf"[^\p{{L}}{_HIDDEN}]+"), lambda w: ~F.contains(w, F.lit(_HIDDEN)))
-    runs = F.when(F.size(base) > 0, hidden).otherwise(F.split(text, r"\P{L}+"))
-    return F.filter(F.array_distinct(runs), lambda w: F.char_length(w) >= 4)
-
-
-def _terms(words):
-    return F.array_distinct(F.transform(words, lambda w: F.lower(w)))
-
-
-def _disclosing(facts: DataFrame) -> DataFrame:
-    """term, kind: the terms that disclose an entity, of documents with columns entities and words."""
-    n_term = facts.select(F.explode(_terms("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    having = written(facts.where(F.size("entities") > 0).select("entities", _terms("words").alias("terms")), "pii")
-    n_entity = having.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    both = having.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    known = both.join(n_term, "term").crossJoin(F.broadcast(facts.agg(F.count(F.lit(1)).alias("n"))))  # n is one row
-    # n_entity is n_both at least, so no other pair can reach DISCLOSE; the rest is rounding
-    known = known.where(F.col("n_term") <= 1.000001 * F.pow("n_both", F.lit(DISCLOSE)) * F.pow("n", F.lit(1 - DISCLOSE)))
-    known = known.join(n_entity, "entity")
-    content = F.log2(F.col("n") / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
+        one = F.struct(acc["at"].alias("after"), from_.alias("from"), s.alias("span"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], one).alias("out"))
+
+    def joined(cuts):
+        say = lambda c: F.concat(F.substr(text, (c["after"] + 1).cast("int"), (c["from"] - c["after"]).cast("int")), F.when(c["span"]["end"] > c["after"], word(c["span"])).otherwise(""))
+        return F.concat(F.array_join(F.transform(cuts["out"], say), ""), F.substr(text, (cuts["at"] + 1).cast("int"), F.char_length(text)))
+
+    none = "array<struct<after:bigint,from:bigint,span:struct<start:bigint,end:bigint,kind:string>>>"
+    return _let(F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(none).alias("out")), step), joined)
+
+
+def _apart(runs, base):
+    """Those of runs that overlap no base span."""
+    return F.when(F.size(base) > 0, F.filter(runs, lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))).otherwise(runs)
+
+
+def _terms(text, base):
+    """Distinct terms of a text."""
+    plain = F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: F.char_length(w) >= 4)
+    beside = F.transform(_apart(found(text, _RUN, "term"), base), lambda t: F.lower(t["value"]))
+    # lower-casing may turn a letter into two characters of which one is no letter; such texts go by their runs
+    same = F.char_length(F.lower(text)) == F.char_length(text)
+    return F.array_distinct(F.when((F.size(base) == 0) & same, plain).otherwise(beside))
+
+
+def _bucket(column: str):
+    """At most _BUCKETS values, for a broadcast that spares a shuffle nearly all rows that it cannot need."""
+    return F.pmod(F.xxhash64(column), F.lit(_BUCKETS)).alias("bucket")
+
+
+def _disclosing(docs: DataFrame) -> DataFrame:
+    """term, kind: the terms that disclose an entity, of distinct documents (doc, entities, terms)."""
+    having = docs.where(F.size("entities") > 0)
+    held = written(having.select("doc", F.explode("entities").alias("entity")), "pii-entities")
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.sum(F.col("doc").cast("decimal(38,0)")).alias("_sum"), F.bit_xor("doc").alias("_xor"))
+    one = written(entities.groupBy("n_entity", "_sum", "_xor").agg(F.min("entity").alias("entity")).select("entity", "n_entity"), "pii-distinct")
+    both = held.join(one, "entity").join(having.select("doc", "terms"), "doc").select("entity", "n_entity", F.explode("terms").alias("term"))
+    both = written(both.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.count(F.lit(1)).alias("n_both")), "pii-both")
+    n, most = docs.count(), one.agg(F.max("n_entity")).first()[0] or 0
+    words = docs.select(F.explode("terms").alias("term")).withColumn("bucket", _bucket("term"))
+    words = words.join(F.broadcast(both.select(_bucket("term")).distinct()), "bucket", "left_semi")
+    # a term in more documents than that has too small a share with any entity
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") * SHARE <= most)
+    known = both.join(counted, "term").where(F.col("n_both") >= SHARE * F.col("n_term"))
+    content = F.log2(F.lit(n) / F.col("n_entity"))
+    shared = F.log2(F.col("n_both") * F.lit(n) / (F.col("n_term") * F.col("n_entity"))) - F.log2(F.exp(F.lit(1.0))) / F.sqrt("n_both")
     kind = F.when(shared >= REMOVE * content, "removed").otherwise("generalised")
     return known.where((content > 0) & (shared >= DISCLOSE * content)).groupBy("term").agg(F.max(kind).alias("kind"))
 
 
-def _added(text, base, words):
-    """Spans (kind, start, end) of the words in text, by start."""
-
-    def spans(kind):
-        own = F.transform(F.filter(words, lambda w: w["kind"] == kind), lambda w: w["word"])
-        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(own, "|"), F.lit(r")(?!\p{L})"))
-        return F.when(F.size(own) > 0, found(text, pattern, kind)).otherwise(F.array().cast(_SPAN))
-
-    clear = F.filter(F.concat(spans("generalised"), spans("removed")), lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return F.array_sort(F.transform(clear, lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end"))))
-
-
 def analyse(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, _key, base (spans) and added (struct kind, start, end: terms to generalise or remove) for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), text.alias("_text"))
-    rows = rows.withColumn("base", base_spans(F.col("_text")))
-    twice = not rows.groupBy("_id", "_key").count().where("count > 1").isEmpty()
-    once = rows.dropDuplicates(["_id", "_key"]) if twice else rows
+    source = df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), text.alias("_text"))
+    facts = source.withColumn("base", base_spans(F.col("_text")))
+    facts = written(facts.select("_id", "_key", F.xxhash64("_id", "_key").alias("doc"), "base", _terms(F.col("_text"), F.col("base")).alias("terms")), "pii")
+    twice = not facts.groupBy("doc").count().where("count > 1").isEmpty()
+    once = facts.dropDuplicates(["doc"]) if twice else facts
     entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))
-    terms = written(_disclosing(once.select(entities.alias("entities"), _words(F.col("_text"), F.col("base")).alias("words"))), "pii-terms")
-    words = rows.select("_id", "_key", F.explode(_words(F.col("_text"), F.col("base"))).alias("word")).withColumn("term", F.lower("word"))
-    # at most _BUCKETS rows for the driver, however many terms; spares the shuffle nearly all words
-    bucket = F.pmod(F.xxhash64("term"), F.lit(_BUCKETS)).alias("bucket")
-    words = words.withColumn("bucket", bucket).join(F.broadcast(terms.select(bucket).distinct()), "bucket", "left_semi").join(terms, "term")
-    marked = words.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct("word", "kind"))).alias("_marks")).select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "_marks")
-    rows = rows.join(marked, F.col("_key").eqNullSafe(F.col("_key2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
-    added = F.when(F.col("_marks").isNotNull(), _added(F.col("_text"), F.col("base"), F.col("_marks"))).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))
-    return rows.select(F.col("_id").alias(id_col), "_key", "base", added.alias("added"))
+    disclosing = written(_disclosing(once.select("doc", entities.alias("entities"), "terms")), "pii-terms")
+    words = once.select("doc", F.explode("terms").alias("term")).withColumn("bucket", _bucket("term"))
+    words = words.join(F.broadcast(disclosing.select(_bucket("term")).distinct()), "bucket", "left_semi").join(disclosing, "term")
+    marks = written(words.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("marks")), "pii-marks")
+
+    # only texts with marks are shuffled
+    asked = source.select(F.xxhash64("_id", "_key").alias("doc"), "_text").withColumn("bucket", _bucket("doc")).join(F.broadcast(marks.select(_bucket("doc")).distinct()), "bucket", "left_semi")
+    asked = asked.groupBy("doc").agg(F.first("_text").alias("_text")) if twice else asked
+    texts = asked.join(marks, "doc").join(once.select("doc", "base"), "doc")
+    runs = F.filter(found(F.col("_text"), _RUN, "term"), lambda t: F.map_contains_key("marks", F.lower(t["value"])))
+    span = lambda t: F.struct(F.element_at("marks", F.lower(t["value"])).alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
+    added = texts.select("doc", F.array_sort(F.transform(_apart(runs, F.col("base")), span)).alias("added"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
+    return facts.drop("terms").join(added, "doc", "left").select(F.col("_id").alias(id_col), "_key", "base", F.coalesce("added", none).alias("added"))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
