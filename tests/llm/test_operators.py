@@ -164,9 +164,40 @@ def test_decontamination(spark):
     for limit in (10**6, 1):
         got = {r.doc_id: r for r in decontam.flag(frame(spark, docs), bench, broadcast_bytes=limit).collect()}
         assert {d: r.item_id for d, r in got.items() if r.contaminated} == want and got[4].coverage == 0 and 0 < got[6].coverage < 0.6
+        assert all(c in r for r in got.values() for c in ("block", "fp"))
+    with pytest.raises(TypeError):
+        decontam.flag(frame(spark, docs), bench.select(F.col("item_id").cast("string").alias("item_id"), "text"))
+    with pytest.raises(TypeError):
+        passages.repeated_passages(frame(spark, docs).withColumn("doc_id", F.col("doc_id").cast("string")))
     assert decontam.tile(np.array([1, 2, 3, 4, 5, 6], np.uint64), np.array([4, 5, 6, 9, 1, 2, 3], np.uint64), 3) == 6
 
 
+@pytest.mark.parametrize("limit", (10**6, 1))
+def test_decontamination_against_plain_tiling(spark, docs, limit):
+    """op6's coverage and item for every document of the given tables and made ones, by the definition; by broadcast and by join."""
+    cut = lambda t: re.findall(r"\w+", (t or "").lower())  # noqa: E731  (the texts are in scripts with spaces)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rng = random.Random(30)
+    made = []
+    for k, (i, text) in enumerate(rng.sample(items, 12)):
+        w = text.split()
+        a, b = sorted(rng.sample(range(len(w)), 2))
+        made.append((9000 + k, " ".join(["vorweg", *w[b:], "mitten", *w[:a], "und", *items[(i + 1) % len(items)][1].split()[:9]])))
+    more = [d for d in docs if d[0] < 1000][:80] + made + [made[0], (9100, None)]
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    tokens_of, want = {i: cut(t) for i, t in items}, {}
+    for d, t in more:
+        w = cut(t)
+        seeds = five(w)
+        scored = [(brute_tiles(x, w) / len(x), -i) for i, x in tokens_of.items() if seeds & five(x)]
+        best = max(scored, default=(0.0, None))
+        want[d] = (round(best[0], 9), -best[1] if best[0] else None)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.flag(frame(spark, more), bench, broadcast_bytes=limit).collect()
+    assert len(got) == len(more) and {r.doc_id: (round(r.coverage, 9), r.item_id) for r in got} == want
+    assert sum(c >= 0.6 for c, _ in want.values()) >= 5 and all(r.contaminated == (r.coverage >= 0.6) for r in got)
+
+
 def test_decontamination_beyond_ascii(spark):
     rng = random.Random(8)
     word = lambda low, n: "".join(chr(low + rng.randrange(24)) for _ in range(n))
@@ -289,9 +320,24 @@ def test_url_rules_without_tokens_and_case(spark):
     rules = rules.union(spark.createDataFrame([("path", r"/A$", None)], rules.schema))
     got = {r.page_id: (r.verdict, r.patterns) for r in url_filter.judge(pages, rules, host_rules=()).collect()}
     assert got == {0: ("block", ["path", "spam farm host"]), 1: ("block", ["spam farm host"]), 2: ("block", ["ads"]), 3: ("allow", []), 4: ("block", ["ads"]), 5: ("allow", [])}
-    many = spark.createDataFrame([(f"r{i}", f"x{i}", []) for i in range(url_filter.MOST_ALWAYS + 1)], rules.schema)
-    with pytest.raises(ValueError):
-        url_filter.judge(pages, many)
+
+
+def test_very_many_url_rules_without_tokens(spark, monkeypatch):
+    """One more than the plan takes, and several rows of them: the same results as from the plan."""
+    urls = ["http://a.com/x500y", "http://X7Z.org/x77", "x3", None, "http://a.com/x9?feed", "http://spam-farm.org/x1"]
+    pages = spark.createDataFrame(list(enumerate([*urls, urls[0]])), "page_id long, url string")
+    made = [(f"r{i}", f"[xX]{i}(?![0-9])", [] if i % 2 else None) for i in range(url_filter.MOST_ALWAYS + 1)]
+    schema = "name string, pattern string, tokens array<string>"
+    rules = url_filter.pattern_rules(spark).union(spark.createDataFrame([*made, made[3]], schema))
+    want = {}
+    for i, u in enumerate([*urls, urls[0]]):
+        low = None if u is None else re.sub(r"^[^/?#]*://[^/?#]*", lambda m: m[0].lower(), u)
+        want[i] = sorted([n for n, p, _ in made if low and re.search(p, low)] + (["spam farm host"] if low and "spam-farm" in low else []))
+    assert want[0] == ["r500"] and want[3] == []
+    assert {r.page_id: r.patterns for r in url_filter.judge(pages, rules).collect()} == want
+    monkeypatch.setattr(url_filter, "MOST_ALWAYS", 100)
+    assert {r.page_id: r.patterns for r in url_filter.judge(pages, rules).collect()} == want
+    assert url_filter.judge(pages.limit(0), rules).collect() == []
 
 
 def brute_bytes(docs):

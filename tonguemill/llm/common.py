@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from tonguemill.sources.shared import new_path, shared_dir
 
@@ -16,14 +18,38 @@ __all__ = ["new_path", "shared_dir"]
 BATCH_ROWS = 1000
 
 
+#: Tables written within each `scratch` that is open.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the tables that were written within it: what is to stay is written by other means, or after it."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            removed(spark, path)
+
+
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """Raises where a column holds no integers."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{column} must hold integers, not {kind.simpleString()}")
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

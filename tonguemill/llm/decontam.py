@@ -10,7 +10,7 @@ The benchmark is broadcast only while its texts take at most BROADCAST_BYTES; be
 are joined by shuffle and only documents and items that share one meet. Both ways cut and compare tokens alike.
 
 Edge cases: null and empty texts and items, and items shorter than SEED tokens, match nothing
-(coverage 0, item null); ties in coverage go to the smallest item id; null item ids are ignored;
+(coverage 0, item null); ties in coverage go to the smallest item id; item ids are integers (others raise before a job starts), null ones are ignored;
 repeated items and rows and null document ids do no harm; extra columns stay; empty tables work.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import mix, put_back, row_key, set_aside
+from tonguemill.llm.common import mix, put_back, row_key, set_aside, whole_numbers, written
 
 SEED = 5
 COVERAGE = 0.6
@@ -35,6 +35,7 @@ BROADCAST_BYTES = 24 << 20
 _SINGLE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_SINGLE}]|[^\W{_SINGLE}]+")
 _P = 0x9E3779B97F4A7C15 | 1
+_BUCKETS = 1 << 20
 
 
 def tokens(text: str | None) -> list[str]:
@@ -136,7 +137,7 @@ class Benchmark:
 
 
 def _flag(df: DataFrame, make, text_col: str) -> DataFrame:
-    keep = [c for c in df.columns if c not in ADDED]
+    keep = [c for c in df.columns if c.lower() not in ADDED]
     schema = df.select(*keep).schema.add("coverage", "double").add("item_id", "long").add("contaminated", "boolean")
     place = keep.index(text_col)
 
@@ -169,28 +170,30 @@ def _seeds_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _flag_by_join(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For benchmarks beyond the bound: documents and items meet over shared seeds, one pair a task row."""
+    """For benchmarks beyond the bound: documents and items meet over shared seeds; a document's text travels once, and meets its items in a group of its own."""
     df, own = set_aside(df, ADDED)
-    keep = {c: n for c, n in own.items() if c not in ADDED}
+    keep = {c: n for c, n in own.items() if c.lower() not in ADDED}
     id_col, text_col = own[id_col], own[text_col]
     items = benchmark.select("item_id", "text").where("item_id is not null")
     item_seeds = _seeds_of(items, "item_id", "text").select(F.col("_id").alias("item_id"), F.col("_key").alias("item_key"), "seed")
-    pairs = _seeds_of(df, id_col, text_col).join(item_seeds, "seed").select("_id", "_key", "item_id", "item_key").distinct()
-    texts = df.select(F.col(id_col).alias("_id2"), row_key(F.col(id_col), F.col(text_col)).alias("_key2"), F.col(text_col).alias("doc_text")).dropDuplicates(["_id2", "_key2"])
+    doc = F.xxhash64("_id", "_key")
+    pairs = written(_seeds_of(df, id_col, text_col).join(item_seeds, "seed").select("_id", "_key", "item_id", "item_key").distinct(), "leak-pairs")
     item_texts = items.select(F.col("item_id").alias("item2"), row_key(F.col("item_id"), F.col("text")).alias("item_key2"), F.col("text").alias("item_text")).dropDuplicates(["item2", "item_key2"])
-    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2"))
-    met = pairs.join(item_texts, (F.col("item_id") == F.col("item2")) & (F.col("item_key") == F.col("item_key2"))).join(texts, same).select("_id", "_key", "item_id", "item_text", "doc_text")
+    asked = pairs.join(item_texts, (F.col("item_id") == F.col("item2")) & (F.col("item_key") == F.col("item_key2"))).select(doc.alias("doc"), "_id", "_key", "item_id", "item_text")
+    # only texts that meet an item are shuffled: at most _BUCKETS rows are broadcast to tell them
+    bucket = F.pmod(F.col("doc"), F.lit(_BUCKETS)).alias("bucket")
+    texts = df.select(F.xxhash64(F.col(id_col), row_key(F.col(id_col), F.col(text_col))).alias("doc"), F.col(text_col).alias("doc_text")).withColumn("bucket", bucket)
+    texts = texts.join(F.broadcast(pairs.select(doc.alias("doc")).select(bucket).distinct()), "bucket", "left_semi").groupBy("doc").agg(F.first("doc_text").alias("doc_text"))
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            items_, texts_, docs_ = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            cover = [Benchmark([(i, t)]).best(d)[0] for i, t, d in zip(items_, texts_, docs_, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cover, pa.float64())], ["_id", "_key", "item_id", "coverage"])
+    def run(text: pa.Table, met: pa.Table) -> pa.Table:
+        if not (text.num_rows and met.num_rows):
+            return pa.table({"_id": met["_id"].slice(0, 0), "_key": met["_key"].slice(0, 0), "item_id": pa.array([], pa.int64()), "coverage": pa.array([], pa.float64())})
+        coverage, item = Benchmark(list(zip(met["item_id"].to_pylist(), met["item_text"].to_pylist(), strict=True))).best(text["doc_text"][0].as_py())
+        return pa.table({"_id": met["_id"].slice(0, 1), "_key": met["_key"].slice(0, 1), "item_id": pa.array([item], pa.int64()), "coverage": pa.array([coverage], pa.float64())})
 
-    scored = met.mapInArrow(run, f"_id {kind}, _key bigint, item_id bigint, coverage double").where("coverage > 0")
-    best = scored.groupBy("_id", "_key").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("item"))).alias("best"))
-    best = best.select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), F.col("best.coverage").alias("_c"), (-F.col("best.item")).alias("_i"))
+    scored = texts.select("doc", "doc_text").groupBy("doc").cogroup(asked.groupBy("doc")).applyInArrow(run, f"_id {kind}, _key bigint, item_id bigint, coverage double")
+    best = scored.where("coverage > 0").select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), F.col("coverage").alias("_c"), F.col("item_id").alias("_i"))
     rows = df.withColumn("_key", row_key(F.col(id_col), F.col(text_col))).join(best, F.col(id_col).eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left")
     coverage = F.coalesce("_c", F.lit(0.0))
     found = rows.withColumns({"coverage": coverage, "item_id": F.col("_i"), "contaminated": coverage >= COVERAGE})
@@ -198,8 +201,9 @@ def _flag_by_join(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
 
 
 def flag(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """df with coverage (highest of an item), item_id (that item) and contaminated, which replace columns so named."""
+    """df with coverage (highest of an item), item_id (that item) and contaminated, which replace columns so named in any case."""
     spark = df.sparkSession
+    whole_numbers(benchmark, "item_id")
     size = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     if size > broadcast_bytes:
         return _flag_by_join(df, benchmark, id_col, text_col)

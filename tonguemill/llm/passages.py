@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tonguemill.llm import blocks as B
-from tonguemill.llm.common import PrefixHash, window_minima
+from tonguemill.llm.common import PrefixHash, whole_numbers, window_minima
 
 WINDOW, SEED = 20, 8
 _NULL_ID = np.iinfo(np.int64).min
@@ -169,6 +169,7 @@ def _locate(table: pa.Table, shards: int, answers: pa.Table, keep_text: bool) ->
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 and (if keep_text) the kept words joined by spaces, for every row."""
+    whole_numbers(df, id_col)
     docs, shards = B.blocks(df, id_col, text_col)
 
     def ask_seeds(key, table):

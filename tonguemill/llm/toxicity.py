@@ -189,10 +189,10 @@ _remembered: dict = {}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and `score` and `predicted`, which replace columns so named."""
+    """All columns of docs, and `score` and `predicted`, which replace columns so named in any case."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast((model.value.astype(np.float32), model.bias))  # BUCKETS numbers, whatever the input
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
     place = keep.index(text_col)
 

@@ -3,8 +3,8 @@
 Each pattern rule is a regular expression with literal tokens that any matching URL contains as
 whole tokens (runs of letters and digits, lower case). How many URLs of the table hold each token is
 counted, each rule is filed under its rarest one, a URL's tokens fetch the rules filed under them,
-and only those rules' expressions run on that URL. A rule without tokens runs on every URL; at most MOST_ALWAYS
-such rules are taken (more raise). Expressions see the URL with its scheme and host in lower case.
+and only those rules' expressions run on that URL. A rule without tokens runs on every URL: as part of the plan up to MOST_ALWAYS such rules, beyond
+that from rows of so many rules each, with the same results. Expressions see the URL with its scheme and host in lower case.
 
 Above the pattern rules stand host rules (allow or block for a host with its subdomains and a path
 prefix); the longest that fits decides, and the pattern rules decide the rest.
@@ -31,8 +31,10 @@ PATTERN_RULES = (
     ("adult host", r"://([^/?#]*[.-])?xxx[.-]", ("xxx",)),
     ("feed tracking on org", r"\.org/[^?#]*\?utm_source=feed", ("org", "utm", "source", "feed")),
 )
-#: Rules without tokens, which become part of the plan, at most.
+#: Rules without tokens that become part of the plan, at most; and those of a row, where there are more.
 MOST_ALWAYS = 500
+#: Parts of the URLs that a row of rules without tokens meets apart.
+SALTS = 16
 #: Broadcasting is left to Spark's own size check above this many rules.
 MOST_BROADCAST_RULES = 100_000
 
@@ -82,15 +84,26 @@ def _small(df: DataFrame, rules: DataFrame) -> DataFrame:
     return F.broadcast(df) if rules.limit(MOST_BROADCAST_RULES + 1).count() <= MOST_BROADCAST_RULES else df
 
 
-def _always(url, rules: DataFrame):
-    """Names of the rules without tokens that match, as an array column."""
-    found = rules.where(F.coalesce(F.size("tokens"), F.lit(0)) <= 0).select("name", "pattern").distinct().orderBy("name", "pattern").limit(MOST_ALWAYS + 1).collect()
-    if len(found) > MOST_ALWAYS:
-        raise ValueError(f"more than {MOST_ALWAYS} rules have no token")
-    hits = F.array(*(F.when(F.rlike(url, F.lit(r.pattern)), F.lit(r.name)) for r in found)).cast("array<string>")
+def _without_tokens(rules: DataFrame) -> DataFrame:
+    return rules.where(F.coalesce(F.size("tokens"), F.lit(0)) <= 0).select("name", "pattern").distinct()
+
+
+def _always(url, rules: list):
+    """Names of the rules that match, as an array column."""
+    hits = F.array(*(F.when(F.rlike(url, F.lit(r.pattern)), F.lit(r.name)) for r in rules)).cast("array<string>")
     return F.filter(hits, lambda n: n.isNotNull())
 
 
+def _always_from_rows(urls: DataFrame, rules: DataFrame, count: int) -> DataFrame:
+    """_url and name of the rules that match, for urls (distinct, _url); each meets every row of some MOST_ALWAYS rules."""
+    rows = -(-count // MOST_ALWAYS)
+    packed = rules.groupBy(F.pmod(F.xxhash64("name", "pattern"), F.lit(rows)).cast("int").alias("_row")).agg(F.collect_list(F.struct("name", "pattern")).alias("_rules"))
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = urls.select("_url", lowered(F.col("_url")).alias("_low"), F.pmod(F.xxhash64("_url"), F.lit(SALTS)).cast("int").alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_row"))
+    hit = F.filter("_rules", lambda r: F.rlike(F.col("_low"), r["pattern"]))
+    return asked.join(packed, ["_row", "_salt"]).select("_url", F.explode(hit).alias("_hit")).select("_url", "_hit.name")
+
+
 def pattern_rules(spark, rules=PATTERN_RULES) -> DataFrame:
     return spark.createDataFrame([(n, p, list(t)) for n, p, t in rules], "name string, pattern string, tokens array<string>")
 
@@ -102,9 +115,14 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "page_
     distinct = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     index = rule_index(pages, rules, url_col)
     fetched = distinct.select("_url", F.explode(tokens(F.col("_url"))).alias("token")).join(_small(index, rules), "token")
-    hits = fetched.where(F.rlike(lowered(F.col("_url")), F.col("pattern"))).groupBy("_url").agg(F.array_sort(F.collect_set("name")).alias("patterns"))
+    hits = fetched.where(F.rlike(lowered(F.col("_url")), F.col("pattern"))).select("_url", "name")
+    always = _without_tokens(rules)
+    known = always.orderBy("name", "pattern").limit(MOST_ALWAYS + 1).collect()
+    if len(known) > MOST_ALWAYS:
+        hits, known = hits.unionByName(_always_from_rows(distinct, always, always.count())), []
+    hits = hits.groupBy("_url").agg(F.array_sort(F.collect_set("name")).alias("patterns"))
     rows = pages.select(F.col(id_col), F.col(url_col).alias("_url")).join(hits, "_url", "left")
-    found = rows.select(id_col, host.alias("host"), path.alias("path"), F.array_sort(F.array_union(F.coalesce("patterns", F.array().cast("array<string>")), F.coalesce(_always(lowered(F.col("_url")), rules), F.array().cast("array<string>")))).alias("patterns"))
+    found = rows.select(id_col, host.alias("host"), path.alias("path"), F.array_sort(F.array_union(F.coalesce("patterns", F.array().cast("array<string>")), F.coalesce(_always(lowered(F.col("_url")), known), F.array().cast("array<string>")))).alias("patterns"))
     found = found.withColumn("_rule", host_rule(F.col("host"), F.col("path"), host_rules))
     own = F.when(F.size("patterns") > 0, "block").otherwise("allow")
     return found.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", own).alias("verdict"), "patterns")
