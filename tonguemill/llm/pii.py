@@ -2,7 +2,7 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers found by pattern and
 checked (parts, Luhn, digit counts). Each distinct value is a protected entity. A term (a run of 4 or more letters
-that overlaps no base span) discloses an entity when at least SHARE of the documents that hold the term hold the entity, and their pointwise
+that overlaps no base span) discloses an entity when more than SHARE of the documents that hold the term hold the entity, and their pointwise
 mutual information over the corpus's documents, less its standard error at the number of documents that hold both, reaches
 DISCLOSE of the entity's information content. So a rare word is no disclosure by itself, and one shared document is weaker evidence than many.
 Documents are counted whole, and entities of a single document are judged like others. A disclosing
@@ -123,20 +123,20 @@ def _bucket(column: str):
     return F.pmod(F.xxhash64(column), F.lit(_BUCKETS)).alias("bucket")
 
 
-def _disclosing(docs: DataFrame) -> DataFrame:
-    """term, kind: the terms that disclose an entity, of distinct documents (doc, entities, terms)."""
+def _disclosing(docs: DataFrame, n: int) -> DataFrame:
+    """term, kind: the terms that disclose an entity, of n distinct documents (doc, entities, terms)."""
     having = docs.where(F.size("entities") > 0)
-    held = written(having.select("doc", F.explode("entities").alias("entity")), "pii-entities")
+    held = having.select("doc", F.explode("entities").alias("entity"))
     entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.sum(F.col("doc").cast("decimal(38,0)")).alias("_sum"), F.bit_xor("doc").alias("_xor"))
-    one = written(entities.groupBy("n_entity", "_sum", "_xor").agg(F.min("entity").alias("entity")).select("entity", "n_entity"), "pii-distinct")
+    one = entities.groupBy("n_entity", "_sum", "_xor").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
     both = held.join(one, "entity").join(having.select("doc", "terms"), "doc").select("entity", "n_entity", F.explode("terms").alias("term"))
     both = written(both.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.count(F.lit(1)).alias("n_both")), "pii-both")
-    n, most = docs.count(), one.agg(F.max("n_entity")).first()[0] or 0
     words = docs.select(F.explode("terms").alias("term")).withColumn("bucket", _bucket("term"))
     words = words.join(F.broadcast(both.select(_bucket("term")).distinct()), "bucket", "left_semi")
     # a term in more documents than that has too small a share with any entity
-    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") * SHARE <= most)
-    known = both.join(counted, "term").where(F.col("n_both") >= SHARE * F.col("n_term"))
+    most = F.broadcast(both.agg(F.max("n_entity").alias("most")))  # one row
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).crossJoin(most).where(F.col("n_term") * SHARE < F.col("most")).drop("most")
+    known = both.join(counted, "term").where(F.col("n_both") > SHARE * F.col("n_term"))
     content = F.log2(F.lit(n) / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * F.lit(n) / (F.col("n_term") * F.col("n_entity"))) - F.log2(F.exp(F.lit(1.0))) / F.sqrt("n_both")
     kind = F.when(shared >= REMOVE * content, "removed").otherwise("generalised")
@@ -149,10 +149,11 @@ def analyse(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     source = df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), text.alias("_text"))
     facts = source.withColumn("base", base_spans(F.col("_text")))
     facts = written(facts.select("_id", "_key", F.xxhash64("_id", "_key").alias("doc"), "base", _terms(F.col("_text"), F.col("base")).alias("terms")), "pii")
-    twice = not facts.groupBy("doc").count().where("count > 1").isEmpty()
+    n, most = facts.groupBy("doc").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    twice = (most or 0) > 1
     once = facts.dropDuplicates(["doc"]) if twice else facts
     entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))
-    disclosing = written(_disclosing(once.select("doc", entities.alias("entities"), "terms")), "pii-terms")
+    disclosing = written(_disclosing(once.select("doc", entities.alias("entities"), "terms"), n), "pii-terms")
     words = once.select("doc", F.explode("terms").alias("term")).withColumn("bucket", _bucket("term"))
     words = words.join(F.broadcast(disclosing.select(_bucket("term")).distinct()), "bucket", "left_semi").join(disclosing, "term")
     marks = written(words.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("marks")), "pii-marks")
