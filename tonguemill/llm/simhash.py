@@ -33,7 +33,8 @@ from tonguemill.llm.common import mix, new_path, removed, written
 
 #: Fingerprints of a key beyond which they are not paired.
 HOT_KEY = 32
-CHUNK = 256
+#: Fingerprints, and bytes of shingles, of a chunk.
+CHUNK, CHUNK_BYTES = 1024, 32 << 20
 #: Min-wise segments of a text, and how many of them form the ring.
 SEGMENTS, RING = 128, 32
 _BITS = 1 << 15
@@ -319,9 +320,10 @@ def minwise_components(nodes: DataFrame, df: DataFrame, words: int, similarity:
     roots = written(components(close), "minwise-roots")
     placed = hot.select("key", "node", "n", "least").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
     first = placed.where("node = least").select("key", F.col("group").alias("_first"))
-    placed = written(placed.join(first, "key"), "minwise-placed")
+    placed = written(placed.join(first, "key").join(grams.select("node", F.octet_length("grams").alias("size")), "node"), "minwise-placed")
     rest = placed.where(F.col("group") != F.col("_first"))
-    chunks = written(rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("cn"), F.ceil(F.max("n") / CHUNK).cast("int").alias("cp")), "minwise-chunks")
+    parts = lambda name: F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_BYTES, F.lit(1))).cast("int").alias(name)
+    chunks = written(rest.groupBy("key").agg(parts("cn")).join(placed.groupBy("key").agg(parts("cp")), "key"), "minwise-chunks")
     own, other = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = (
         rest.join(chunks, "key").select("key", "node", "group", F.lit(0).alias("side"), own("cn").alias("x"), other("cp").alias("y")),
