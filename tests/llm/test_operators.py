@@ -32,6 +32,14 @@ def docs(spark):
     return own + made + odd
 
 
+def plain_png(payload):
+    """A grey image of 64 columns, a row after the other."""
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    rows = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
+    size = (64).to_bytes(4, "big") + (len(payload) // 64).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", size + b"\x08\0\0\0\0") + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
 def test_media(spark, docs):
     got = {r.doc_id: r for r in media.media_columns(frame(spark, docs)).collect()}
     assert len(got) == len(docs)
@@ -40,7 +48,11 @@ def test_media(spark, docs):
         payload = raw + bytes((-len(raw)) % 64 or (0 if raw else 64))
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
-        assert (r.width, r.height, r.bit_depth, r.media_sha256) == (64, len(payload) // 64, 8, sha(media.to_png(payload)))
+        assert (r.width, r.height, r.bit_depth, r.media_sha256) == (64, len(payload) // 64, 8, sha(plain_png(payload)))
+        counts = Counter(payload)
+        mode = min(counts, key=lambda v: (-counts[v], v))
+        edges = sum(a != b for a, b in zip(payload, payload[1:], strict=False))
+        assert r.feature == f"n={len(payload)};sum={sum(payload)};squares={sum(v * v for v in payload)};levels={len(counts)};mode={mode};edges={edges}"
 
 
 def test_bpe(spark, docs):
@@ -71,6 +83,76 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in none)
 
 
+def plain_training(rows, labels):
+    """The classifier once more, a document and a number at a time in double precision: rows are [(distinct bucket, weight)] lists."""
+    rng = np.random.default_rng(5)
+    seen = Counter(b for row in rows for b, _ in row)
+    used = sorted(b for b, n in seen.items() if n >= toxicity.MIN_DOCUMENTS)
+    at = {b: i for i, b in enumerate(used)}
+    docs = [[(at[b], w * toxicity.SCALE) for b, w in row if b in at] for row in rows]
+    params = [rng.uniform(-0.01, 0.01, (len(used), toxicity.WIDTH)).astype(np.float32).astype(float), rng.normal(0, 0.5, (toxicity.WIDTH, 2)).astype(np.float32).astype(float), np.zeros(2)]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    share = [0.5 * len(labels) / labels.count(c) for c in (0, 1)]
+    per = -(-len(labels) // 128)
+    epochs = max(10, -(-toxicity.LEAST_STEPS // per))
+    step, steps = 0, epochs * per
+    for _ in range(epochs):
+        order = rng.permutation(len(labels))
+        for k in range(0, len(labels), 128):
+            grads, pick = [1e-5 * params[0], np.zeros_like(params[1]), np.zeros(2)], order[k : k + 128]
+            for i in pick:
+                hidden = sum((params[0][b] * w for b, w in docs[i]), np.zeros(toxicity.WIDTH))
+                logits = hidden @ params[1] + params[2]
+                p = np.exp(logits - max(logits))
+                error = p / p.sum() - np.eye(2)[labels[i]]
+                error *= share[labels[i]] / len(pick)
+                for b, w in docs[i]:
+                    grads[0][b] = grads[0][b] + w * (params[1] @ error)
+                grads[1] += np.outer(hidden, error)
+                grads[2] += error
+            step += 1
+            rate = 0.03 * (1 - step / (steps + 1))
+            for j, g in enumerate(grads):
+                first[j], second[j] = 0.9 * first[j] + 0.1 * g, 0.999 * second[j] + 0.001 * g * g
+                params[j] = params[j] - rate * first[j] / (1 - 0.9**step) / (np.sqrt(second[j] / (1 - 0.999**step)) + 1e-8)
+            for b in range(len(used)):
+                norm = np.sqrt((params[0][b] ** 2).sum())
+                params[0][b] *= max(0.0, 1 - rate * 0.5 / max(norm, 1e-9))
+    value = {b: float(params[0][i] @ (params[1][:, 1] - params[1][:, 0])) * toxicity.SCALE for b, i in at.items()}
+    return value, float(params[2][1] - params[2][0])
+
+
+def test_toxicity_against_plain_training(monkeypatch):
+    """Grams cut one by one, weights as the definition has them, training and scores in plain loops."""
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 40)
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(["ab", "Cde!", "éf", "ghij"]) for _ in range(6)) + (" vile" + rng.choice(["st", "r"]) if i % 3 == 0 else "") for i in range(60)]
+    labels = [int(i % 3 == 0) for i in range(60)]
+
+    def plain_grams(text):
+        weight, words = Counter(), text.split()
+        for w in words:
+            raw = b"<" + w.strip(toxicity._EDGES).lower().encode() + b">"
+            grams = [raw] + [raw[i : i + n] for n in (3, 4, 5) for i in range(len(raw) - n + 1)]
+            for g in grams:
+                data = np.frombuffer(g, np.uint8)
+                weight[int(toxicity._HASH.spans(toxicity._HASH.prefix(data), np.array([0]), np.array([len(g)]))[0] % np.uint64(toxicity.BUCKETS))] += 1 / len(grams) / len(words)
+        return sorted(weight.items())
+
+    rows = [plain_grams(t) for t in texts]
+    for t, row in zip(texts, rows, strict=True):
+        buckets, weights = toxicity.document_grams(t)
+        assert [b for b, _ in row] == buckets.tolist() and np.allclose([w for _, w in row], weights)
+    sizes = np.array([len(r) for r in rows])
+    ends = np.cumsum(sizes)
+    model = toxicity.train(np.array([b for r in rows for b, _ in r]), np.array([w for r in rows for _, w in r]), ends - sizes, ends, np.array(labels))
+    value, bias = plain_training(rows, labels)
+    assert abs(model.bias - bias) < 0.02 * max(1, abs(bias)) and set(np.flatnonzero(model.value)) <= set(value)
+    for row in rows:
+        plain, own = bias + sum(value.get(b, 0.0) * w for b, w in row), model.bias + sum(model.value[b] * w for b, w in row)
+        assert abs(plain - own) < 0.05 * max(1, abs(plain))
+
+
 def brute_passages(docs):
     starts, split = {}, [(d, WORD.findall((t or "").encode())) for d, t in docs]
     for d, w in split:
