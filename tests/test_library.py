@@ -459,6 +459,19 @@ def test_stream_assemble_is_batch(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
+def test_an_engine_s_pieces_as_a_stream(spark, tmp_path):
+    """What run_engine_pieces says, shuffled over micro-batches, gives what the batch job gives."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = _requests(spark, "ab|c", "", "xy!z", "plain \n", "|", "!", "one two")
+    events = [(*e[:5], 0, e[5]) for e in map(tuple, engines.run_engine_pieces(rows.where("text <> ''"), _spelling()).collect())]
+    random.Random(7).shuffle(events)
+    schema = "task_id long, seq long, piece string, is_control boolean, event string, prompt_tokens int, error_message string"
+    got = _assembled(spark, tmp_path, "pieces", schema, [events[:9], events[9:20], events[20:]])
+    want = {r.request_id: (r.success, r.translated_text, r.error_message) for r in jobs.translate_batch_pieces(rows, _spelling()).collect() if r.request_id != 1}
+    assert {t: (g[2], g[0] if g[2] else "", g[3]) for t, g in got.items()} == want
+    assert got[2][1] == "xy" and got[2][-1] == "error"  # what was said before the error
+
+
 def test_shuffled_events_over_many_batches(spark, tmp_path):
     """Any split and order of events, repeats among them, gives the batch form's result."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

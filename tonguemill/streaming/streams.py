@@ -55,13 +55,13 @@ class _Assemble(StatefulProcessor):
         self.max_tokens, self.context, self.ttl = max_tokens, context, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        event = "piece string, is_control boolean, event string, prompt_tokens int"
+        event = "piece string, is_control boolean, event string, prompt_tokens int, error_message string"
         self.kept = handle.getListState("kept", "piece string", self.ttl)
         self.waiting = handle.getMapState("waiting", "seq bigint", event, self.ttl)
         self.place = handle.getValueState("place", "n bigint, waits bigint", self.ttl)
         self.ended = handle.getValueState("ended", "done boolean", self.ttl)
 
-    def _reason(self, n: int, piece: str, is_control: bool, event: str, prompt_tokens: int) -> str | None:
+    def _reason(self, n: int, piece: str, is_control: bool, event: str, prompt_tokens: int, error_message: str | None) -> str | None:
         """Why a task with n pieces ends at this event, if it does."""
         room = self.context - prompt_tokens
         if room < 0:  # the prompt is refused before anything is said
@@ -72,14 +72,14 @@ class _Assemble(StatefulProcessor):
             return "max_tokens"
         if n >= room:
             return "context"
-        return "end" if event == "end" else "control" if is_control else None
+        return event if event in ("end", "error") else "control" if is_control else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         new = {}
         for part in rows:
             # n pieces are followed by event n + 1, so a task looks at none beyond its cap and one more
             cap = (self.context - part["prompt_tokens"]).clip(0, self.max_tokens) + 1
-            for seq, *event in part[part["seq"] <= cap][["seq", "piece", "is_control", "event", "prompt_tokens"]].itertuples(index=False, name=None):
+            for seq, *event in part[part["seq"] <= cap][["seq", "piece", "is_control", "event", "prompt_tokens", "error_message"]].itertuples(index=False, name=None):
                 new[int(seq)] = event
         if not new or self.ended.exists():
             return
@@ -111,8 +111,8 @@ class _Assemble(StatefulProcessor):
             self.place.update((n, waits))
             return
         before = [r[0] for r in self.kept.get()] if self.kept.exists() else []
-        raw = "" if reason == "error" else "".join([*before, *(p for (p,) in pieces)])
-        error = {"cancelled": CANCELLED, "error": DECODE_ERROR}.get(reason, "")
+        raw = "".join([*before, *(p for (p,) in pieces)])
+        error = {"cancelled": CANCELLED, "error": event[4] if event[2] == "error" and event[4] else DECODE_ERROR}.get(reason, "")
         for state in (self.kept, self.waiting, self.place):
             state.clear()
         self.ended.update((True,))
@@ -125,11 +125,13 @@ class _Assemble(StatefulProcessor):
 def stream_assemble(events: DataFrame, max_tokens: int = MAX_TOKENS, context: int = CONTEXT, ttl_ms: int | None = None) -> DataFrame:
     """A result row for each task once it ends, from events (task_id, seq, piece, is_control, event, prompt_tokens).
 
-    event: token, cancel or end; seq counts a task's events, of whatever kind, from 1 without gaps. They may come in any order, more than once, and over any
+    event: token, cancel, end, or error (with error_message, where events have that column; run_engine_pieces makes such events); seq counts a task's events, of whatever kind, from 1 without gaps. They may come in any order, more than once, and over any
     number of batches: a task's events take effect in the order of seq, as in the batch form, so a control, a cap, a cancel or an end ends
     it at its own place once all before it have come, and what lies behind is ignored. A task whose end has not come, or which lacks an
     event before it, gives nothing yet. With ttl_ms, tasks that have heard nothing for so long (processing time) are
     forgotten, and so are the marks of ended ones; without it both stay. Such a query ends under availableNow only where
     spark.sql.streaming.noDataMicroBatches.enabled is false.
     """
+    if "error_message" not in events.columns:
+        events = events.withColumn("error_message", F.lit(None).cast("string"))
     return events.groupBy("task_id").transformWithStateInPandas(_Assemble(max_tokens, context, ttl_ms), RESULT, "Append", "None" if ttl_ms is None else "ProcessingTime")
