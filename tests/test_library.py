@@ -180,6 +180,7 @@ def test_running_count_in_chunks(spark):
     for chunk in (1, 7, 1000):
         got = {(r.task_id, r.seq): r.n_chars for r in K.running_char_count(rows, chunk).collect()}
         assert {k: v for k, v in got.items() if k[0]} == {k: v for k, v in want.items() if k[0] and k[1] != "sum"} and len(got) == len(tokens)
+        assert all(v is None for k, v in got.items() if k[0] is None)
     plan = K.running_char_count(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and all("_chunk" in line for line in plan.split("\n") if "windowspecdefinition" in line)
 

@@ -43,7 +43,7 @@ def cap_tokens(tokens: DataFrame, budgets: DataFrame, max_tokens: int = MAX_TOKE
 
 def running_char_count(tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Adds n_chars: characters up to and with the piece. A task is counted in chunks of `chunk` places of seq: what the chunks before hold is summed over
-    chunk totals, so a task of any length takes as many tasks of Spark as it has chunks."""
+    chunk totals, so a task of any length takes as many tasks of Spark as it has chunks. Pieces without a task_id get no count."""
     rows = tokens.withColumn("_chunk", F.floor((F.col("seq") - 1) / chunk))
     totals = rows.groupBy("task_id", "_chunk").agg(F.sum(F.char_length("piece")).alias("_n"))
     ahead = F.sum("_n").over(_by_task().orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
@@ -51,7 +51,8 @@ def running_char_count(tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
     upto = Window.partitionBy("task_id", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = rows.withColumn("n_chars", F.sum(F.char_length("piece")).over(upto))  # dealt by task and chunk, as the join asks
     met = counted.join(before, (F.col("task_id") == F.col("_task")) & (F.col("_chunk") == F.col("_at")), "left")
-    return met.select(*tokens.columns, (F.col("n_chars") + F.coalesce("_before", F.lit(0))).alias("n_chars"))
+    count = F.when(F.col("task_id").isNotNull(), F.col("n_chars") + F.coalesce("_before", F.lit(0)))
+    return met.select(*tokens.columns, count.alias("n_chars"))
 
 
 def assemble_streams(tokens: DataFrame, tasks: DataFrame, max_tokens: int | None = MAX_TOKENS, context: int = CONTEXT, ocr: bool = False, dense: bool = False) -> DataFrame:
