@@ -126,8 +126,9 @@ def test_engine_that_answers_in_pieces(spark, monkeypatch):
     said = lambda t: [e[1:] for e in events if e[0] == t]
     assert said(0) == [(1, "a", False, "token", None), (2, "b", False, "token", None), (3, "|", True, "token", None), (4, "", False, "end", None)]
     assert said(2) == [(1, "x", False, "token", None), (2, "y", False, "token", None), (3, "", True, "error", "stuck at 2")] and said(6)[0][1:3] == ("|", True)
-    got = {r.request_id: (r.success, r.translated_text, r.error_message) for r in jobs.translate_batch_pieces(rows, _spelling(), most=30_000).collect()}
-    assert got == {0: (True, "ab", ""), 1: (True, "", ""), 2: (False, "", "stuck at 2"), 3: (True, "", ""), 4: (True, "plain", ""), 5: (True, "~" * 30_000, ""), 6: (True, "", ""), 7: (False, "", "stuck at 7")}
+    for partitions in (None, 3):
+        got = {r.request_id: (r.success, r.translated_text, r.error_message) for r in jobs.translate_batch_pieces(rows, _spelling(), 30_000, partitions).collect()}
+        assert got == {0: (True, "ab", ""), 1: (True, "", ""), 2: (False, "", "stuck at 2"), 3: (True, "", ""), 4: (True, "plain", ""), 5: (True, "~" * 30_000, ""), 6: (True, "", ""), 7: (False, "", "stuck at 7")}
     failed = {r.request_id: (r.success, r.error_message) for r in jobs.translate_batch_pieces(_requests(spark, "a", ""), engines.FileEngine("")).collect()}
     assert failed == {0: (False, R.NOT_LOADED_STREAM), 1: (True, "")}
 

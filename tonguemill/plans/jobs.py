@@ -48,14 +48,18 @@ def translate_batch_engine(requests: DataFrame, engine, partitions: int | None =
     return respond(gate_model(met, F.coalesce("engine_loaded", F.lit(False))))
 
 
-def translate_batch_pieces(requests: DataFrame, engine, most: int | None = None) -> DataFrame:
+def translate_batch_pieces(requests: DataFrame, engine, most: int | None = None, partitions: int | None = None) -> DataFrame:
     """Responses of an engine that answers piece by piece: its token events, assembled into texts. request_id is unique.
 
-    Empty texts never reach the engine. Where it does not load, or fails on a text, the response says so.
+    Empty texts never reach the engine. Where it does not load, or fails on a text, the response says so. most cuts an answer off after so many pieces; partitions deals
+    the calls as in translate_batch_engine.
     """
     rows = apply_default_pair(requests).withColumn("text", F.coalesce("text", F.lit("")))
     asked = rows.where("text <> ''")
-    said = run_engine_pieces(asked, engine, most=most).where("event <> 'end'")
+    if partitions:
+        asked = stored(asked, "asked")
+    dealt = deal_by_cost(asked, F.char_length("text"), [F.col("request_id")], partitions) if partitions else asked
+    said = run_engine_pieces(dealt, engine, most=most).where("event <> 'end'")
     tasks = asked.select(F.col("request_id").alias("task_id"), F.lit(0).alias("prompt_tokens"), F.lit(None).cast("int").alias("cancel_after"))
     found = assemble_streams(said, tasks, max_tokens=most, context=UNBOUNDED)
     answers = found.select(F.col("task_id").alias("_task"), F.col("full_text").alias("translated_text"), F.when(~F.col("success"), F.col("error_message")).alias("error_message"))
