@@ -35,6 +35,8 @@ from tonguemill.llm.common import mix, new_path, removed, written
 HOT_KEY = 32
 #: Fingerprints, and bytes of shingles, of a chunk.
 CHUNK, CHUNK_BYTES = 1024, 32 << 20
+#: Bytes of a chunk's bits of shared shingles, beyond which pairs are compared one by one.
+BITS_BYTES = 128 << 20
 #: Min-wise segments of a text, and how many of them form the ring.
 SEGMENTS, RING = 128, 32
 _BITS = 1 << 15
@@ -269,31 +271,57 @@ def _alike(similarity: float):
     return run
 
 
+def _shared_bits(grams: list[np.ndarray]) -> np.ndarray | None:
+    """A bit for each shingle that two of the rows have, row by row; None where that would not fit into BITS_BYTES."""
+    found, times = np.unique(np.concatenate(grams), return_counts=True)
+    found = found[times > 1]
+    if len(grams) * len(found) > 8 * BITS_BYTES:
+        return None
+    bits = np.zeros((len(grams), -(-max(1, len(found)) // 8)), np.uint8)
+    for row, own in zip(bits, grams, strict=True):
+        at = np.searchsorted(found, own)
+        at = at[found[np.minimum(at, len(found) - 1)] == own] if len(found) else at[:0]
+        np.bitwise_or.at(row, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+def _first_shared(equal: np.ndarray, n: int) -> np.ndarray:
+    """For each row of equal segments of the ring, where the first run of n of them begins."""
+    runs = equal.copy()
+    for k in range(1, n):
+        runs &= np.roll(equal, -k, axis=1)
+    return np.where(runs.any(1), runs.argmax(1), -1)
+
+
 def _compare(ring: int, radius: int, similarity: float):
-    """Links between rows of side 0 and of side 1 in different groups (column group): enough of them to leave the same components as all would."""
+    """Links between rows of side 0 and of side 1 in different groups (column group): enough of them to leave the same components as all would.
+
+    A pair is looked at in the first key that it shares, and nowhere else: there it was joined if the key is cool, and is here if it is hot."""
+    n = key_length(ring, RING)
 
     def run(table: pa.Table) -> pa.Table:
         side, node, group = (table[c].to_numpy() for c in ("side", "node", "group"))
         wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint16).reshape(-1, SEGMENTS)
         grams = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
-        root = {g: g for g in np.unique(group).tolist()}
-
-        def find(g: int) -> int:
-            while root[g] != g:
-                root[g] = root[root[g]]
-                g = root[g]
-            return g
-
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = []
-        for i in one:
+        place, size = table["place"][0].as_py(), np.array([len(g) for g in grams])
+        label, two, bits, out = group.copy(), np.flatnonzero(side == 1), None, []
+        for i in np.flatnonzero(side == 0):
             differ = wide[two] != wide[i]
-            near = two[(differ[:, :RING].sum(1) <= ring) & (differ.sum(1) <= radius)]
-            for j in near:
-                x, y = find(int(group[i])), find(int(group[j]))
-                if x != y and alike(grams[i], grams[j], similarity):
-                    root[max(x, y)] = min(x, y)
+            near = (label[two] != label[i]) & (differ[:, :RING].sum(1) <= ring) & (differ.sum(1) <= radius)
+            near[near] = _first_shared(~differ[near][:, :RING], n) == place
+            others = two[near]
+            if not len(others):
+                continue
+            bits = _shared_bits(grams) if bits is None else bits
+            if bits is None:
+                same = np.array([alike(grams[i], grams[j], similarity) for j in others])
+            else:
+                both = np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64)
+                same = both >= similarity * (size[others] + size[i] - both)
+            for j in others[same]:
+                if label[j] != label[i]:
                     out.append(sorted((int(node[i]), int(node[j]))))
+                    label[label == label[j]] = label[i]
         found = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
@@ -305,7 +333,7 @@ def minwise_components(nodes: DataFrame, df: DataFrame, words: int, similarity:
     ring, radius = radii(similarity)
     n = key_length(ring, RING)
     circle = F.concat(F.substring("wide", 1, 2 * RING), F.substring("wide", 1, 2 * (n - 1)))
-    index = nodes.select("node", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring(circle, 2 * i + 1, 2 * n)) for i in range(RING)))).alias("key"))
+    index = nodes.select("node", F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.substring(circle, 2 * i + 1, 2 * n)) for i in range(RING)))).alias("place", "key"))
     shared = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1"), "minwise-keys")
     members = written(index.join(shared, "key"), "minwise-members")
     cool, hot = members.where(F.col("n") <= HOT_KEY), members.where(F.col("n") > HOT_KEY)
@@ -318,7 +346,7 @@ def minwise_components(nodes: DataFrame, df: DataFrame, words: int, similarity:
     sides = [grams.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b")]
     close = written(near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_alike(similarity), "a bigint, b bigint"), "minwise-links")
     roots = written(components(close), "minwise-roots")
-    placed = hot.select("key", "node", "n", "least").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+    placed = hot.select("key", "place", "node", "n", "least").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
     first = placed.where("node = least").select("key", F.col("group").alias("_first"))
     placed = written(placed.join(first, "key").join(grams.select("node", F.octet_length("grams").alias("size")), "node"), "minwise-placed")
     rest = placed.where(F.col("group") != F.col("_first"))
@@ -326,8 +354,8 @@ def minwise_components(nodes: DataFrame, df: DataFrame, words: int, similarity:
     chunks = written(rest.groupBy("key").agg(parts("cn")).join(placed.groupBy("key").agg(parts("cp")), "key"), "minwise-chunks")
     own, other = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = (
-        rest.join(chunks, "key").select("key", "node", "group", F.lit(0).alias("side"), own("cn").alias("x"), other("cp").alias("y")),
-        placed.join(chunks, "key").select("key", "node", "group", F.lit(1).alias("side"), own("cp").alias("y"), other("cn").alias("x")),
+        rest.join(chunks, "key").select("key", "place", "node", "group", F.lit(0).alias("side"), own("cn").alias("x"), other("cp").alias("y")),
+        placed.join(chunks, "key").select("key", "place", "node", "group", F.lit(1).alias("side"), own("cp").alias("y"), other("cn").alias("x")),
     )
     held = nodes.select("node", "wide").join(grams, "node")
     dense = dealt[0].unionByName(dealt[1]).join(held, "node").groupBy("key", "x", "y").applyInArrow(_compare(ring, radius, similarity), "a bigint, b bigint")
