@@ -171,6 +171,59 @@ def test_merging_over_batches(spark):
     assert got == {"b": (b, 12, "end"), "d": (text("d", 7), 7, "context"), "e": ("", 0, "control"), "none": ("", 0, "cancelled"), None: ("", 0, "end"), "c": (text("c", 4), 4, "cancelled")}
 
 
+def _dealt_rows(plan):
+    """Rows that the shuffles of an executed plan wrote."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _dealt_rows(plan.executedPlan())
+    n = plan.metrics().apply("shuffleRecordsWritten").value() if plan.getClass().getSimpleName() == "ShuffleExchangeExec" else 0
+    below = [plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return n + sum(map(_dealt_rows, below))
+
+
+def test_logs_are_packed_before_the_shuffle(spark):
+    """assemble_streams: a row a task and one for many of its pieces is shuffled, in whatever order they are read."""
+    text = "".join(chr(97 + i % 26) for i in range(1000))
+    docs = spark.createDataFrame([(t, text) for t in range(40)], "task_id long, text string").coalesce(2)
+    tasks = docs.selectExpr("task_id", "0 AS prompt_tokens", "CAST(NULL AS int) AS cancel_after")
+    rows = K.split_codepoints(docs).withColumn("is_control", F.lit(False))
+    backward = rows.sortWithinPartitions(F.desc("seq"), "task_id")
+    for tokens, settings in ((rows, {}), (rows, {"dense": True}), (rows, {"dense": True, "ocr": True}), (backward, {})):
+        found = K.assemble_streams(tokens, tasks, **settings)
+        assert {(r.raw_text, r.n_tokens) for r in found.collect()} == {(text, 1000)}
+        assert 80 <= _dealt_rows(found._jdf.queryExecution().executedPlan()) <= 400
+
+
+def test_merging_of_runs_that_overlap(spark, monkeypatch):
+    """Repeats, gaps, places below 1, nulls and controls, dealt to many runs: the same as pieces sorted one by one."""
+    rng, by_task, tokens = random.Random(11), {}, []
+    for t in range(120):
+        step, wide = rng.choice([1, 1, 7]), rng.random() < 0.1
+        for s in range(rng.randint(0, 60)):
+            for _ in range(1 + (rng.random() < 0.2) + 3 * (rng.random() < 0.03)):
+                control = None if rng.random() < 0.1 else rng.random() < 0.02
+                tokens.append((t, None if rng.random() < 0.01 else s * step - 3, None if rng.random() < 0.05 else rng.choice(["a", "bc", "é", "", "😀" * 100 if wide else "x"]), control, f"note {t}" if control and rng.random() < 0.5 else None))
+    for t, s, p, c, note in tokens:
+        by_task.setdefault(t, []).append((s or 0, 0 if c is None else 1 + c, (p or "").encode(), note))
+    tasks = [(t, rng.choice([0, 4076, 4090, 4096, 5000]), rng.choice([None, None, 0, 5, 40])) for t in range(125)]
+    rows = spark.createDataFrame(tokens, "task_id int, seq int, piece string, is_control boolean, error_message string")
+    known = spark.createDataFrame(tasks, "task_id int, prompt_tokens int, cancel_after int")
+    rng.shuffle(tokens)
+    mixed = spark.createDataFrame(tokens, rows.schema)
+    for frame, n, most in ((rows, 1 << 17, 30), (rows.repartition(7), 40, 30), (mixed, 1 << 17, None), (mixed.repartition(3), 20, 4096)):
+        monkeypatch.setattr("tonguemill.operators.merging._PACK_ROWS", n)
+        want = {}
+        for t, prompt, after in tasks:
+            room, said = 4096 - prompt, []
+            last = 0 if room < 0 else room if most is None else min(room, most)
+            for _, kind, piece, _note in sorted(by_task.get(t, []), key=lambda x: x[:3]):
+                if len(said) >= last or kind == 2:
+                    break
+                said.append(piece)
+            cancelled = room >= 0 and after is not None and after <= len(said)
+            want[t] = (b"".join(said[:after] if cancelled else said).decode(), after if cancelled else len(said))
+        assert {r.task_id: (r.raw_text, r.n_tokens) for r in K.assemble_streams(frame, known, max_tokens=most).collect()} == want
+
+
 def test_running_count_in_chunks(spark):
     tokens = [(t, s, "x" * (s % 4), False) for t in (1, 2, None) for s in range(1, 60, t or 3)]
     want = {}

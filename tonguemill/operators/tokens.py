@@ -60,7 +60,7 @@ def assemble_streams(tokens: DataFrame, tasks: DataFrame, max_tokens: int | None
 
     Kept are the pieces before the first control token, up to max_tokens and to the room that the prompt
     leaves in the context, or exactly cancel_after of them where that is no more. With dense (seq counts from 1 without gaps)
-    what a task has no room for is dropped before the shuffle; Spark broadcasts the tasks for that where their size allows.
+    what no task has room for goes where it is read; the tasks' largest room, one number, is found first.
 
     With ocr there is no cap and the piece that no longer fits fails the task with what it has, itself included; the
     text of a cancelled task is not trimmed. A control token with an error_message (where tokens have that column) fails its task
@@ -68,12 +68,11 @@ def assemble_streams(tokens: DataFrame, tasks: DataFrame, max_tokens: int | None
     """
     most, extra = (None, 1) if ocr else (max_tokens, 0)
     known = tasks.select("task_id", (context - F.coalesce(F.col("prompt_tokens"), F.lit(0)).cast("bigint")).alias("_room"), F.col("cancel_after").alias("_k"))
-    note = F.col("error_message") if "error_message" in tokens.columns else F.lit(None).cast("string")
-    rows = tokens.select("task_id", "seq", "piece", "is_control", note.alias("note"))
+    note = [F.col("error_message").alias("note")] if "error_message" in tokens.columns else []
+    rows = tokens.select("task_id", "seq", "piece", "is_control", *note)
     if dense:
         last = F.col("_room") + extra if most is None else F.least(F.lit(most), F.col("_room"))
-        asked = known.groupBy(F.col("task_id").alias("_task")).agg(F.max(last).alias("_last"))
-        rows = rows.join(asked, (F.col("task_id") == F.col("_task")) & (F.col("seq") <= F.col("_last"))).drop("_task", "_last")
+        rows = rows.where(F.col("seq") <= known.agg(F.max(last)).scalar())
     rows = merged(rows, known, most, extra)
     broken = F.col("_room") < 0
     cancelled = ~broken & F.coalesce(F.col("_k") <= F.col("spoken"), F.lit(False))
