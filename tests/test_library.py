@@ -514,6 +514,22 @@ def test_stream_assemble_is_batch(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
+def test_stream_packs_events_before_the_shuffle(spark, tmp_path):
+    """A task's events are a few runs for the shuffle; what lies behind its room or its end does not go there."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "task_id long, seq int, piece string, is_control boolean, event string, prompt_tokens int"
+    n = {1: 3000, 2: 50, 3: 700}
+    events = [(t, s, "" if s == k else "aé"[s % 2], False, "end" if s == k else "token", 3096) for t, k in n.items() for s in range(k, 0, -1)] + [(4, 1, "\n", True, "token", 0)] + [(4, s, "z", False, "token", 0) for s in range(2, 900)]
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = stream_assemble(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    query = found.writeStream.format("memory").queryName("packs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    said = lambda k: "".join("aé"[s % 2] for s in range(1, k))
+    assert {r.task_id: (r.raw_text, r.stop_reason) for r in spark.table("packs").collect()} == {1: (said(1001), "context"), 2: (said(50), "end"), 3: (said(700), "end"), 4: ("", "control")}
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] == 4  # only the marks of ended tasks
+    assert _dealt_rows(query._jsq.streamingQuery().lastExecution().executedPlan()) < 20
+
+
 def test_an_engine_s_pieces_as_a_stream(spark, tmp_path):
     """What run_engine_pieces says, shuffled over micro-batches, gives what the batch job gives."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

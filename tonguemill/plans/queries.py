@@ -351,16 +351,15 @@ def stream_assemble_query(spark, sf_dir):
     Each text's events are dealt anew, so most come out of order."""
     at = new_path(spark, "stream")
     cancelled = "doc_id % 100 = 0"
-    pieces = "CASE WHEN text <> '' THEN split(text, '') ELSE array() END"
-    events = _stream(spark, sf_dir).selectExpr("doc_id AS task_id", "cast(3000 + doc_id % 1000 AS int) AS prompt_tokens", f"{pieces} AS pieces", f"{cancelled} AS stops")
     # a cancel that lies behind the last piece stays away: the text is whole by then
-    late = "stops AND size(pieces) >= 100"
-    token = f"transform(pieces, (p, i) -> named_struct('seq', cast(i + 1 + CASE WHEN {late} AND i >= 100 THEN 1 ELSE 0 END AS bigint), 'piece', p, 'is_control', p = '\n', 'event', 'token'))"
-    cancel = f"CASE WHEN {late} THEN array(named_struct('seq', 101L, 'piece', '', 'is_control', false, 'event', 'cancel')) ELSE array() END"
-    end = f"array(named_struct('seq', cast(size(pieces) + 1 + CASE WHEN {late} THEN 1 ELSE 0 END AS bigint), 'piece', '', 'is_control', false, 'event', 'end'))"
-    kind = "array<struct<seq:bigint,piece:string,is_control:boolean,event:string>>"
-    events = events.selectExpr("task_id", "prompt_tokens", f"explode(concat({end}, cast({cancel} AS {kind}), reverse({token}))) AS e")
-    found = stream_assemble(events.select("task_id", "prompt_tokens", "e.*"))
+    late = f"({cancelled} AND char_length(text) >= 100)"
+    # a letter stands for the end, and one for the cancel; backward, the end comes first
+    said = f"concat(CASE WHEN {late} THEN concat(substr(text, 1, 100), 'c', substr(text, 101)) ELSE coalesce(text, '') END, 'e')"
+    events = _stream(spark, sf_dir).selectExpr("doc_id AS task_id", "cast(3000 + doc_id % 1000 AS int) AS prompt_tokens", f"coalesce({late}, false) AS late", f"{said} AS said")
+    events = events.selectExpr("task_id", "prompt_tokens", "late", "cast(char_length(said) AS bigint) AS n", "posexplode(split(reverse(said), '')) AS (at, piece)").withColumn("seq", F.col("n") - F.col("at"))
+    kind = "CASE WHEN at = 0 THEN 'end' WHEN late AND seq = 101 THEN 'cancel' ELSE 'token' END"
+    events = events.withColumn("event", F.expr(kind)).selectExpr("task_id", "prompt_tokens", "seq", "CASE WHEN event = 'token' THEN piece ELSE '' END AS piece", "event = 'token' AND piece = '\n' AS is_control", "event")
+    found = stream_assemble(events)
     with state_store(spark):
         found.writeStream.format("parquet").option("path", f"{at}/results").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{at}/results")
