@@ -133,6 +133,18 @@ def test_engine_that_answers_in_pieces(spark, monkeypatch):
     assert failed == {0: (False, R.NOT_LOADED_STREAM), 1: (True, "")}
 
 
+def test_answers_in_pieces_are_joined_where_they_are_said(spark, monkeypatch):
+    """No shuffle, answers handed on by HELD_CHARS, and rows told apart without their ids."""
+    monkeypatch.setattr(engines, "HELD_CHARS", 7)
+    texts = ["ab|c", "xy!z", "plain \r\n", "~", "", None, "é😀", "|", "!"]
+    rows = spark.createDataFrame([(None if i % 2 else (1 << 60) + 1, t, "en", None) for i, t in enumerate(texts)], "request_id long, text string, source_lang string, target_lang string").coalesce(1)
+    found = jobs.translate_batch_pieces(rows, _spelling(), 12)
+    own = {0: "ab", 2: "plain", 3: "~" * 12, 6: "é😀"}
+    want = [(None if i % 2 else (1 << 60) + 1, t or "", own.get(i, ""), "!" not in (t or "")) for i, t in enumerate(texts)]
+    assert sorted(map(repr, want)) == sorted(repr((r.request_id, r.original_text, r.translated_text, r.success)) for r in found.collect())
+    assert _dealt_rows(found._jdf.queryExecution().executedPlan()) == 0
+
+
 def test_pieces_are_handed_on_as_they_come(monkeypatch):
     """No more than HELD_PIECES wait in a runner, even within one text that never ends."""
     import pandas as pd

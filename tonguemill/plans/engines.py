@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from io import StringIO
 from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,6 +199,43 @@ def run_engine_pieces(df: DataFrame, engine, method: str = "translate_pieces", i
     return df.mapInPandas(call, f"{kind}, seq bigint, piece string, is_control boolean, event string, error_message string")
 
 
+def answer_pieces(df: DataFrame, engine, method: str = "translate_pieces", out: str = "translated_text", most: int | None = None, not_loaded: str = NOT_LOADED_STREAM) -> DataFrame:
+    """df with column `out`, what the engine says for a row before its first control token, `most` pieces at the most, end to end, and error_message (null: none).
+
+    The pieces of a row come one behind the other, so the task that asks for them joins them: no piece is a row, none is shuffled, and rows are told apart without an id. A
+    row's iterator is left at its first control token, and after `most` pieces. Answers are handed on by the million characters.
+    """
+    schema = df.select("*").schema.add(out, "string").add("error_message", "string")
+
+    def answer(own, row) -> tuple[str, str | None]:
+        text, n = StringIO(), 0
+        try:
+            for piece, control in getattr(own, method)(row) if most != 0 else ():
+                if control:
+                    break
+                text.write(piece)
+                n += 1
+                if n == most:
+                    break
+        except EngineError as e:
+            return text.getvalue(), str(e)
+        return text.getvalue(), None
+
+    def call(batches):
+        own = _ready(engine)
+        for rows in batches:
+            said, start, size = [], 0, 0
+            for end, row in enumerate(rows.to_pandas().itertuples(index=False), 1):
+                said.append(("", not_loaded) if own is None else answer(own, row))
+                size += len(said[-1][0])
+                if size >= HELD_CHARS or end == rows.num_rows:
+                    answers = [pa.array(x, pa.string()) for x in zip(*said, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*rows.slice(start, end - start).columns, *answers], names=schema.names)
+                    said, start, size = [], end, 0
+
+    return df.mapInArrow(call, schema)
+
+
 def quick_preview_engine(requests: DataFrame, engine) -> DataFrame:
     """Adds preview, the engine's quick answer, for which no model is loaded; empty texts get an empty one and never reach it."""
     rows = requests.withColumn("text", F.coalesce("text", F.lit("")))

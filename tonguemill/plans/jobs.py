@@ -11,7 +11,7 @@ from tonguemill.operators.balance import deal_by_cost
 from tonguemill.operators.phrasebook import translate_phrasebook
 from tonguemill.operators.requests import apply_default_pair, gate_model, respond
 from tonguemill.operators.tokens import UNBOUNDED, assemble_streams
-from tonguemill.plans.engines import BAD_IMAGE, NO_IMAGE, ReadingLate, run_engine, run_engine_pieces
+from tonguemill.plans.engines import BAD_IMAGE, NO_IMAGE, ReadingLate, answer_pieces, run_engine, run_engine_pieces
 from tonguemill.sources.images import file_size
 from tonguemill.sources.shared import stored
 
@@ -49,21 +49,17 @@ def translate_batch_engine(requests: DataFrame, engine, partitions: int | None =
 
 
 def translate_batch_pieces(requests: DataFrame, engine, most: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Responses of an engine that answers piece by piece: its token events, assembled into texts. request_id is unique.
+    """Responses of an engine that answers piece by piece, each joined into a text by the task that asks for it; nothing is shuffled unless calls are dealt.
 
     Empty texts never reach the engine. Where it does not load, or fails on a text, the response says so. most cuts an answer off after so many pieces; partitions deals
     the calls as in translate_batch_engine.
     """
-    rows = apply_default_pair(requests).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = apply_default_pair(requests).drop("translated_text", "error_message").withColumn("text", F.coalesce("text", F.lit("")))
     asked = rows.where("text <> ''")
     if partitions:
-        asked = stored(asked, "asked")
-    dealt = deal_by_cost(asked, F.char_length("text"), [F.col("request_id")], partitions) if partitions else asked
-    said = run_engine_pieces(dealt, engine, most=most).where("event <> 'end'")
-    tasks = asked.select(F.col("request_id").alias("task_id"), F.lit(0).alias("prompt_tokens"), F.lit(None).cast("int").alias("cancel_after"))
-    found = assemble_streams(said, tasks, max_tokens=most, context=UNBOUNDED)
-    answers = found.select(F.col("task_id").alias("_task"), F.col("full_text").alias("translated_text"), F.when(~F.col("success"), F.col("error_message")).alias("error_message"))
-    return respond(rows.join(answers, F.col("request_id") == F.col("_task"), "left"))
+        asked = deal_by_cost(stored(asked, "asked"), F.char_length("text"), [F.col("request_id")], partitions)
+    answers = answer_pieces(asked, engine, most=most).withColumn("translated_text", trim_artifacts(F.col("translated_text")))
+    return respond(answers.unionByName(rows.where("text = ''").withColumns({"translated_text": F.lit(""), "error_message": F.lit(None).cast("string")})))
 
 
 def gate_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
