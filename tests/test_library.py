@@ -205,6 +205,14 @@ def test_logs_are_packed_before_the_shuffle(spark):
         assert 80 <= _dealt_rows(found._jdf.queryExecution().executedPlan()) <= 400
 
 
+@pytest.mark.parametrize("name", ["assemble_ocr_streams"])
+def test_log_queries_shuffle_runs(spark, name):
+    """Over whole documents: a few rows a document are shuffled, not one a character."""
+    found = QUERIES[name](spark, DATA)
+    assert len(found.collect()) == (n := spark.read.parquet(f"{DATA}/documents.parquet").count())
+    assert 2 * n <= _dealt_rows(found._jdf.queryExecution().executedPlan()) <= 6 * n
+
+
 def test_merging_of_runs_that_overlap(spark, monkeypatch):
     """Repeats, gaps, places below 1, nulls and controls, dealt to many runs: the same as pieces sorted one by one."""
     rng, by_task, tokens = random.Random(11), {}, []
