@@ -205,7 +205,7 @@ def test_logs_are_packed_before_the_shuffle(spark):
         assert 80 <= _dealt_rows(found._jdf.queryExecution().executedPlan()) <= 400
 
 
-@pytest.mark.parametrize("name", ["assemble_ocr_streams", "render_ocr_result"])
+@pytest.mark.parametrize("name", ["assemble_streams", "assemble_ocr_streams", "render_result", "render_ocr_result"])
 def test_log_queries_shuffle_runs(spark, name):
     """Over whole documents: a few rows a document are shuffled, not one a character."""
     found = QUERIES[name](spark, DATA)
